@@ -53,20 +53,27 @@ def chart_series(
     ``sort`` is ``asc`` or ``desc`` by the group's sum, whatever ``agg`` is; ``none`` keeps
     the order in which groups appear in ``order_by`` (by label without one).
     """
-    position = F.struct(*[cell(c) for c in order_by]) if order_by else _label(x)
+    by_place = sort == "none" and order_by
+    place = [cell(c) for c in order_by]
     points = df.select(
-        _label(x).alias("label"), number(df, y, prefix=True).alias("y"), position.alias("at")
+        _label(x).alias("label"),
+        number(df, y, prefix=True).alias("y"),
+        *([(place[0] if len(place) == 1 else F.struct(*place)).alias("at")] if by_place else []),
     )
     median = agg == "median"
+    # Rounded, so that equal sums are not ordered by the noise of summation.
+    keys = {
+        "asc": F.round(F.coalesce(F.sum("y"), F.lit(0.0)), 4),
+        "none": F.min("at") if by_place else None,
+    }
+    key = keys["asc" if sort in ("asc", "desc") else sort]
     groups = points.groupBy("label").agg(
-        F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"),
-        F.min("at").alias("first"),
+        F.lit(0).alias("present"),
+        *([] if key is None else [key.alias("key")]),
         *([] if median else [_aggregate(agg).alias("value")]),
     )
-    orders = {"asc": F.asc("total"), "desc": F.desc("total"), "none": F.asc("first")}
-    # The sum is rounded in the sort key: equal groups must not be ordered by summation noise.
-    ranked = groups.withColumn("total", F.round("total", 4))
-    shown = ranked.orderBy(orders[sort], "label").limit(max_groups)
+    order = [] if key is None else [F.desc("key") if sort == "desc" else F.asc("key")]
+    shown = groups.orderBy(*order, "label").limit(max_groups)
     if not median:
         return shown.select("label", "value")
     # At most max_groups labels on the broadcast side.

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.nulls import NARROW_TOKENS
-from burnish.operators.frequency import cell_counts, distinct_counts, keep_top, top_values
+from burnish.operators.frequency import cell_counts, distinct_counts, keep_top, ranked_values
 from burnish.operators.histogram import Bins, histogram
-from burnish.operators.typing import PROFILE_SHARE, cell, data_columns, number, present
+from burnish.operators.typing import PROFILE_SHARE, cell, data_columns, is_text, number, present
 from burnish.plans.fused import aggregate_row, column_aggregates, small_table, working_copy
 from burnish.plans.quantiles import exact_quantiles
 
@@ -83,10 +83,15 @@ def _column_stats(df: DataFrame, columns: list[str], fold_case: bool) -> DataFra
             for q1, _, q3 in [quartiles[c]]
         },
     )
-    unique = distinct_counts(df, filled, fold_case)
-    mode = {
-        r["column"]: r["value"] for r in top_values(df, columns, k=1).collect()
-    }
+    unique, mode = dict.fromkeys(columns, 0), dict.fromkeys(columns)
+    for c, rank, value, n in ranked_values(df, filled, 1, distinct=True):
+        if rank:
+            mode[c] = str(value)
+        else:
+            unique[c] = n
+    texts = {c: v for c, v in filled.items() if is_text(df.schema[c].dataType)}
+    if fold_case and texts:
+        unique |= distinct_counts(df, texts, fold_case)
     rows = []
     for c in columns:
         m, nulls = moments[c], total - fills[c]["n"]
@@ -99,7 +104,7 @@ def _column_stats(df: DataFrame, columns: list[str], fold_case: bool) -> DataFra
                     m["sum"], skew]
         else:
             row += [None] * 10
-        rows.append((*row, mode.get(c)))
+        rows.append((*row, mode[c]))
     return small_table(df.sparkSession, rows, STATS_SCHEMA)
 
 

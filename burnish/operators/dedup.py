@@ -28,6 +28,9 @@ def drop_duplicate_rows(
     """
     if keep == "none":
         return df
+    if not subset and keep != "drop_all" and ROW_ORDER not in df.columns:
+        # Equal rows are interchangeable.
+        return df.distinct()
     keys = list(subset or data_columns(df))
     position = list(order_by) or ([ROW_ORDER] if ROW_ORDER in df.columns else [])
     row = F.struct(*[cell(c) for c in df.columns])

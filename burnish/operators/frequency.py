@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.operators.typing import cell, data_columns, is_text, present
-from burnish.plans.fused import melt
+from burnish.plans.fused import melt, small_table
 
 # Longer texts are grouped by their first characters and a SHA-256 digest, so
 # that a shuffle carries at most about 130 characters per distinct text.
@@ -55,7 +54,13 @@ def _by_type(df: DataFrame, values: Mapping[str, Column]) -> list[dict[str, Colu
     schema = df.select(*[v.alias(c) for c, v in values.items()]).schema
     groups: dict[str, dict[str, Column]] = {}
     for c, v in values.items():
-        groups.setdefault(schema[c].dataType.simpleString(), {})[c] = v
+        dtype = schema[c].dataType
+        if isinstance(dtype, T.IntegralType):
+            groups.setdefault("bigint", {})[c] = v.cast("bigint")
+        elif isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+            groups.setdefault("double", {})[c] = v.cast("double")
+        else:
+            groups.setdefault(dtype.simpleString(), {})[c] = v
     return list(groups.values())
 
 
@@ -63,46 +68,53 @@ def _is_text_group(df: DataFrame, group: Mapping[str, Column]) -> bool:
     return is_text(df.select(next(iter(group.values())).alias("v")).schema["v"].dataType)
 
 
-def _whole_texts(df: DataFrame, top: DataFrame, group: Mapping[str, Column]) -> DataFrame:
-    """Put the whole text back where ``top`` holds a digest; ``top`` is a few rows per column."""
-    long_keys = top.filter(F.length("value") > SHORT).select("column", "value")
-    whole = (
+def _whole_texts(
+    df: DataFrame, group: Mapping[str, Column], digests: Sequence[tuple[str, str]]
+) -> dict[tuple[str, str], str]:
+    """The text behind each ``(column, digest)``; a few per column are asked for."""
+    wanted = small_table(df.sparkSession, digests, "column string, key string")
+    found = (
         melt(df, group)
         .filter(F.length("value") > SHORT)
         .select("column", short_key(F.col("value")).alias("key"), F.col("value").alias("text"))
-        .join(F.broadcast(long_keys.withColumnRenamed("value", "key")), ["column", "key"], "semi")
-        .groupBy("column", F.col("key").alias("value"))
+        .join(F.broadcast(wanted), ["column", "key"])
+        .groupBy("column", "key")
         .agg(F.min("text").alias("text"))
     )
-    return top.join(F.broadcast(whole), ["column", "value"], "left").select(
-        "column", "rank", F.coalesce("text", "value").alias("value"), "n"
-    )
+    return {(r["column"], r["key"]): r["text"] for r in found.collect()}
 
 
-def top_values(
-    df: DataFrame, columns: Sequence[str], k: int = 10, distinct: bool = False
-) -> DataFrame:
-    """``(column, rank, value, n)``: the ``k`` most frequent values, as text.
+def ranked_values(
+    df: DataFrame, values: Mapping[str, Column], k: int, distinct: bool = False
+) -> list[tuple[str, int, object, int]]:
+    """``(column, rank, value, n)`` of the ``k`` most frequent values of each column.
 
-    ``distinct=True`` adds a row of rank 0 per column whose ``n`` is the number of
-    distinct values; both come from one shuffle.
+    ``distinct=True`` adds rank 0, whose ``n`` is the number of distinct values, from the same
+    shuffle. At most ``k + 1`` rows per column reach the driver.
     """
-    parts = []
-    for group in _by_type(df, {c: present(df, c) for c in columns}):
+    out: list[tuple[str, int, object, int]] = []
+    for group in _by_type(df, values):
         text = _is_text_group(df, group)
         counts = cell_counts(df, {c: short_key(v) for c, v in group.items()} if text else group)
-        top = keep_top(counts, k)
-        if text:
-            top = _whole_texts(df, top, group)
-        parts.append(top.select("column", "rank", F.col("value").cast("string"), "n"))
+        rows = keep_top(counts, k).select("column", "rank", "value", "n")
         if distinct:
+            none = F.lit(None).cast(rows.schema["value"].dataType)
             found = counts.groupBy("column").agg(F.count("*").alias("n"))
-            parts.append(
-                found.select(
-                    "column", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"), "n"
-                )
-            )
-    return reduce(DataFrame.union, parts)
+            rows = rows.union(found.select("column", F.lit(0), none, "n"))
+        top = [tuple(r) for r in rows.collect()]
+        digests = [(c, v) for c, _, v, _ in top if text and v is not None and len(v) > SHORT]
+        if digests:
+            whole = _whole_texts(df, group, digests)
+            top = [(c, r, whole.get((c, v), v), n) for c, r, v, n in top]
+        out += top
+    return sorted(out, key=lambda r: (r[0], r[1]))
+
+
+def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
+    """``(column, rank, value, n)``: the ``k`` most frequent values, as whole text."""
+    shown = {c: present(df, c).cast("string") for c in columns}
+    rows = ranked_values(df, shown, k)
+    return small_table(df.sparkSession, rows, "column string, rank int, value string, n bigint")
 
 
 def distinct_counts(
@@ -110,18 +122,10 @@ def distinct_counts(
 ) -> dict[str, int]:
     """``{column: number of distinct non-null values}``, exact; one job per type."""
     found = dict.fromkeys(values, 0)
-    numbers = {}
     for group in _by_type(df, values):
-        dtype = df.select(next(iter(group.values())).alias("v")).schema["v"].dataType
-        if isinstance(dtype, T.NumericType) and not isinstance(dtype, T.DecimalType):
-            whole = isinstance(dtype, T.IntegralType)
-            numbers.setdefault("bigint" if whole else "double", {}).update(group)
-            continue
-        if is_text(dtype):
+        if _is_text_group(df, group):
             group = {c: short_key(F.lower(v) if fold_case else v) for c, v in group.items()}
         found |= _count_distinct(df, group)
-    for cast, group in numbers.items():
-        found |= _count_distinct(df, {c: v.cast(cast) for c, v in group.items()})
     return found
 
 
@@ -132,15 +136,8 @@ def _count_distinct(df: DataFrame, group: Mapping[str, Column]) -> dict[str, int
 
 def modes(df: DataFrame, values: Mapping[str, Column]) -> dict[str, object]:
     """Most frequent non-null value per column, the smallest on ties; None without values."""
-    found: dict[str, object] = dict.fromkeys(values)
-    for group in _by_type(df, values):
-        text = _is_text_group(df, group)
-        counts = cell_counts(df, {c: short_key(v) for c, v in group.items()} if text else group)
-        top = keep_top(counts, 1)
-        if text:
-            top = _whole_texts(df, top, group)
-        found.update({r["column"]: r["value"] for r in top.collect()})
-    return found
+    top = {c: v for c, _, v, _ in ranked_values(df, values, 1)}
+    return {c: top.get(c) for c in values}
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

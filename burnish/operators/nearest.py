@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from burnish.operators.typing import number
@@ -148,8 +148,10 @@ def _visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.Da
     return pd.DataFrame(found, columns=columns)
 
 
-def _into_cells(vectors: DataFrame, width: int, cell_rows: int) -> DataFrame:
-    """Add ``mask`` and ``leaf``: the finest tree whose cells still fit one small table."""
+def _into_cells(
+    vectors: DataFrame, width: int, cell_rows: int
+) -> tuple[DataFrame, pd.DataFrame]:
+    """The vectors with ``mask`` and ``leaf``, and the small table of all cells."""
     total = vectors.count()
     levels = max(0, min(_MOST_LEVELS, math.ceil(math.log2(max(total / cell_rows, 1)))))
     share = min(1.0, 2.0 * _TREE_SAMPLE / max(total, 1))
@@ -163,29 +165,39 @@ def _into_cells(vectors: DataFrame, width: int, cell_rows: int) -> DataFrame:
 
     bits = F.transform("x", lambda v: F.when(v.isNull(), "1").otherwise("0"))
     placed = vectors.withColumns({"mask": F.array_join(bits, ""), "leaf": leaf("x")})
-    while levels and placed.select("mask", "leaf").distinct().count() > MOST_CELLS:
-        levels -= 1
-        placed = placed.withColumn("leaf", F.shiftright("leaf", 1))
-    if placed.select("mask", "leaf").distinct().count() > MOST_CELLS:
-        placed = placed.withColumn("mask", F.lit(_MIXED)).withColumn("leaf", leaf("x"))
-    return placed
+    lo = [F.min(F.col("x")[j]).alias(f"lo{j}") for j in range(width)]
+    hi = [F.max(F.col("x")[j]).alias(f"hi{j}") for j in range(width)]
+    finest = materialize(
+        placed.groupBy("mask", "leaf").agg(
+            *lo, *hi, F.sum("n").alias("rows"), F.count("*").alias("vectors")
+        )
+    )
+    # Coarser cells, from the table of the finest, until they fit one small table.
+    dropped, mask = 0, F.col("mask")
+    while _coarser(finest, mask, dropped).count().count() > MOST_CELLS:
+        if dropped < levels:
+            dropped += 1
+        else:
+            dropped, mask = 0, F.lit(_MIXED)
+    boxes = _coarser(finest, mask, dropped).agg(
+        F.array(*[F.min(f"lo{j}") for j in range(width)]).alias("lo"),
+        F.array(*[F.max(f"hi{j}") for j in range(width)]).alias("hi"),
+        F.sum("rows").alias("rows"),
+        F.sum("vectors").alias("vectors"),
+    )
+    table = boxes.orderBy("mask", "leaf").toPandas()
+    return placed.withColumns({"mask": mask, "leaf": F.shiftright("leaf", dropped)}), table
+
+
+def _coarser(finest: DataFrame, mask: Column, dropped: int) -> GroupedData:
+    """The finest cells grouped by a shorter leaf code."""
+    return finest.groupBy(mask.alias("mask"), F.shiftright("leaf", dropped).alias("leaf"))
 
 
 def _predictions(vectors: DataFrame, width: int, k: int, cell_rows: int) -> DataFrame:
     """``(q, j, value)`` for every missing column ``j`` of every distinct vector ``q``."""
     spark = vectors.sparkSession
-    placed = _into_cells(vectors, width, cell_rows)
-    table = (
-        placed.groupBy("mask", "leaf")
-        .agg(
-            F.array(*[F.min(F.col("x")[j]) for j in range(width)]).alias("lo"),
-            F.array(*[F.max(F.col("x")[j]) for j in range(width)]).alias("hi"),
-            F.sum("n").alias("rows"),
-            F.count("*").alias("vectors"),
-        )
-        .orderBy("mask", "leaf")
-        .toPandas()
-    )
+    placed, table = _into_cells(vectors, width, cell_rows)
     cells = _Cells(table, width)
     shared = spark.sparkContext.broadcast(cells)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.operators.frequency import cell_counts, distinct_counts, top_values
+from burnish.operators.frequency import cell_counts, distinct_counts, ranked_values
 from burnish.operators.histogram import Bins, bin_counts
 from burnish.operators.typing import (
     LOAD_SHARE,
@@ -36,6 +36,7 @@ PROFILE_SCHEMA = """
     top_values array<struct<value: string, count: bigint>>, mode string, avg_length double
 """
 
+TOP = 10
 _QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -88,11 +89,13 @@ def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
     parsed = count_parsed(df, text_columns(df))
     numeric: dict[str, Column] = {}
     shown: dict[str, Column] = {}
+    loaded: set[str] = set()
     for c in columns:
         shown[c] = present(df, c)
         if c in parsed:
             if parsed[c].share_at_least(LOAD_SHARE):
                 shown[c] = number(df, c)
+                loaded.add(c)
             # A column without values stays text.
             if parsed[c].numbers >= max(1, PROFILE_SHARE * parsed[c].filled):
                 numeric[c] = number(df, c)
@@ -104,9 +107,11 @@ def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = {c: m for c, m in moments.items() if m["n"]}
     numeric = {c: numeric[c] for c in moments}
     texts = [c for c in columns if c not in numeric]
+    # Columns between the two shares are summed up as numbers but count their cells as text.
+    as_text = [c for c in columns if c in texts or (c in parsed and c not in loaded)]
     lengths = column_aggregates(
         df,
-        {c: shown[c].cast("string") for c in texts},
+        {c: shown[c].cast("string") for c in as_text},
         lambda v: {"n": F.count(v), "avg_length": F.avg(F.length(v))},
     )
     counts = {c: m["n"] for c, m in moments.items()}
@@ -136,16 +141,16 @@ def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
     unique = distinct_counts(df, {c: shown[c] for c in numeric}) | dict.fromkeys(texts, 0)
     tops: dict[str, list] = {c: [] for c in texts}
     if texts:
-        found = top_values(df, texts, distinct=True)
-        for r in sorted(found.collect(), key=lambda r: (r["column"], r["rank"])):
-            if r["rank"]:
-                tops[r["column"]].append({"value": r["value"], "count": r["n"]})
+        shown_text = {c: shown[c].cast("string") for c in texts}
+        for c, rank, value, n in ranked_values(df, shown_text, TOP, distinct=True):
+            if rank:
+                tops[c].append({"value": value, "count": n})
             else:
-                unique[r["column"]] = r["n"]
+                unique[c] = n
 
     rows = []
     for c in columns:
-        filled = (moments if c in numeric else lengths)[c]["n"]
+        filled = (lengths if c in lengths else moments)[c]["n"]
         row = {
             "column": c,
             "type": "numeric" if c in numeric else "text",

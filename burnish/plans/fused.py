@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 # The generated method of a wide aggregate is compiled to machine code only while
 # it is short; wider requests take another scan.
 AGG_WIDTH = 60
-_SMALL_SPLITS = 8
+# Inputs up to this estimate are copied into memory for several passes.
+SMALL_BYTES = 256 << 20
 
 
 def aggregate_row(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
@@ -63,24 +65,31 @@ def column_aggregates(
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A few driver-side rows as a local relation: no job is needed to read or broadcast it."""
     struct = T.StructType.fromDDL(schema)
-    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in struct]
+    fields = [pa.field(f.name, to_arrow_type(f.dataType), f.nullable) for f in struct]
     columns = [[r[i] for r in rows] for i in range(len(fields))]
     arrays = [pa.array(c, f.type) for c, f in zip(columns, fields)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=pa.schema(fields)), struct)
 
 
+def estimated_bytes(df: DataFrame) -> float:
+    """The optimizer's size estimate; infinite where there is none. Runs nothing."""
+    try:
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, PySparkException):
+        return float("inf")
+
+
 @contextmanager
 def working_copy(df: DataFrame) -> Iterator[DataFrame]:
     """For operators of several passes over one input.
 
-    An input of a few splits is spread over all cores and cached until the end; a larger
-    one is scanned again by every pass, which costs less than copying it.
+    A small input is spread over all cores and cached until the end; a larger one is
+    scanned again by every pass, which costs less than copying it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > min(_SMALL_SPLITS, cores):
+    if estimated_bytes(df) > SMALL_BYTES:
         yield df
         return
-    copy = df.repartition(cores).persist()
+    copy = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         yield copy
     finally:

@@ -43,13 +43,22 @@ class _Interval:
     hi: float = math.inf
 
     def brackets(self, grid: Sequence[float]) -> list[tuple[float, float]]:
-        """Per rank, two sketched values that should lie on either side of it."""
-        found = []
-        for r in self.ranks:
+        """Pairs of sketched values that should have the ranks between them.
+
+        Neighbouring ranks, as interpolation needs them, share a bracket.
+        """
+        spans: list[list[int]] = []
+        for r in sorted(self.ranks):
             at = (r - self.below + 0.5) / self.inside * _GRID
-            i, j = math.floor(at) - 1, math.ceil(at) + 1
-            found.append((grid[i] if i >= 0 else self.lo, grid[j] if j <= _GRID else self.hi))
-        return found
+            first, last = math.floor(at) - 1, math.ceil(at) + 1
+            if spans and first <= spans[-1][1]:
+                spans[-1][1] = last
+            else:
+                spans.append([first, last])
+        return [
+            (grid[i] if i >= 0 else self.lo, grid[j] if j <= _GRID else self.hi)
+            for i, j in spans
+        ]
 
 
 def _sketch(long: DataFrame, intervals: Sequence[_Interval]) -> list[list[float]]:
@@ -90,7 +99,7 @@ def _segments(
         (c, sorted(wanted[c]), *p, *[math.inf] * (width - len(p))) for c, p in pivots.items()
     ]
     names = [f"p{i}" for i in range(width)]
-    types = ["column string", "wanted array<int>", *[f"{n} double" for n in names]]
+    types = ["column string", "wanted array<int>", *[f"{n} double not null" for n in names]]
     table = small_table(long.sparkSession, rows, ", ".join(types))
     steps = [f"int(value > {n}) + int(value >= {n})" for n in names]
     segment = F.expr(" + ".join(["0", *steps]))
