@@ -108,6 +108,9 @@ def _segments(
     )
     kept = F.when(F.array_contains("wanted", F.col("segment")), F.col("value"))
     counted = marked.groupBy("column", "segment", kept.alias("value")).agg(F.count("*").alias("n"))
+    if not any(wanted.values()):
+        # Counts only: a few rows per pivot.
+        return counted.collect()
     found = counted.limit(RETURN_LIMIT + 1).collect()
     return None if len(found) > RETURN_LIMIT else found
 
