@@ -31,9 +31,20 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return fill_values(df, {c: s["mean"] for c, s in stats.items()})
 
 
+def medians_of_gaps(
+    df: DataFrame, columns: Sequence[str]
+) -> tuple[dict[str, float], int]:
+    """Medians of the columns that have both values and gaps, and the number of rows."""
+    values = {c: number(df, c) for c in columns}
+    found = column_aggregates(df, values, lambda x: {"n": F.count(x), "rows": F.count("*")})
+    counts = {c: f["n"] for c, f in found.items()}
+    rows = max((f["rows"] or 0 for f in found.values()), default=0)
+    gappy = {c: x for c, x in values.items() if 0 < counts[c] < rows}
+    return {c: m for c, (m,) in exact_quantiles(df, gappy, (0.5,), counts).items()}, rows
+
+
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    medians = exact_quantiles(df, {c: number(df, c) for c in columns}, (0.5,))
-    return fill_values(df, {c: m for c, (m,) in medians.items()})
+    return fill_values(df, medians_of_gaps(df, columns)[0])
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
 from burnish.plans.quantiles import exact_quantiles
 
@@ -176,12 +177,9 @@ def anomaly_scores(
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         raise ValueError("no numeric columns")
-    medians = exact_quantiles(df, {c: number(df, c) for c in columns}, (0.5,))
-    features = [
-        F.coalesce(number(df, c), F.lit(0.0 if medians[c][0] is None else medians[c][0]))
-        for c in columns
-    ]
-    forest = fit_forest(df, features, row_key)
+    medians, rows = medians_of_gaps(df, columns)
+    features = [F.coalesce(number(df, c), F.lit(medians.get(c, 0.0))) for c in columns]
+    forest = fit_forest(df, features, row_key, rows)
     score = _scorer(df, forest, features)
     # Only the scores are kept for the quantile; the table itself is scored again on use.
     scores = df.select(score.alias("score")).persist()

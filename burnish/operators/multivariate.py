@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.operators.chart import running_share
+from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
-from burnish.plans.fused import aggregate_row, column_aggregates, small_table
-from burnish.plans.quantiles import exact_quantiles
+from burnish.plans.fused import aggregate_row, small_table
 
 DEFAULT_COMPONENTS = 3
 
@@ -72,16 +72,17 @@ def principal_components(
     positive. ``scores`` is the input with ``pc1 .. pck``.
     """
     columns = _numeric(df, columns)
-    values = {c: number(df, c) for c in columns}
-    medians = {c: m or 0.0 for c, (m,) in exact_quantiles(df, values, (0.5,)).items()}
+    medians, n = medians_of_gaps(df, columns)
     filled = df.withColumns(
-        {f"__f{i}": F.coalesce(values[c], F.lit(medians[c])) for i, c in enumerate(columns)}
+        {
+            f"__f{i}": F.coalesce(number(df, c), F.lit(medians.get(c, 0.0)))
+            for i, c in enumerate(columns)
+        }
     )
     assembled = VectorAssembler(
         inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__raw"
     ).transform(filled)
     features = assembled.select("__raw")
-    n = column_aggregates(filled, {"n": F.col("__f0")}, lambda x: {"n": F.count(x)})["n"]["n"]
     k = min(components, len(columns), n)
     scaler = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True).fit(
         features

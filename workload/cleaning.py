@@ -329,12 +329,38 @@ def _(t):
 
 
 CUSTOMER_GAPS = """SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS balance,
-    CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE round(c_acctbal / 10 + c_nationkey, 2) END AS score,
+    CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal / 10 + c_nationkey END AS score,
     CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE length(c_mktsegment) END AS size FROM {customer}"""
 _GAPS = ["nation", "balance", "score", "size"]
 
 
-@query("impute_nearest_neighbours", "M11")
+def _knn_sql() -> str:
+    """Brute force: every row with a gap against every row that has the column."""
+    def gap(c: str) -> str:
+        return f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)"
+
+    shared = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INT)" for c in _GAPS)
+    d2 = f"({' + '.join(gap(c) for c in _GAPS)}) * 4.0 / ({shared})"
+    parts = [f"WITH t AS ({CUSTOMER_GAPS})"]
+    for c in ("score", "size"):
+        parts.append(
+            f""", {c}_near AS (SELECT a.c_custkey, {d2} AS d2, b.{c} AS v, row_number() OVER
+                  (PARTITION BY a.c_custkey ORDER BY {d2}, b.{c}) AS r
+                FROM t a JOIN t b ON a.{c} IS NULL AND b.{c} IS NOT NULL),
+              {c}_new AS (SELECT c_custkey, CASE WHEN min(d2) = 0
+                  THEN avg(CASE WHEN d2 = 0 THEN v END)
+                  ELSE sum(CASE WHEN d2 > 0 THEN v / sqrt(d2) END)
+                    / sum(CASE WHEN d2 > 0 THEN 1 / sqrt(d2) END) END AS v
+                FROM {c}_near WHERE r <= 5 GROUP BY c_custkey)"""
+        )
+    return " ".join(parts) + """ SELECT t.c_custkey, nation, balance,
+        round(coalesce(score, score_new.v), 4) AS score,
+        round(coalesce(CAST(size AS DOUBLE), size_new.v), 4) AS size
+        FROM t LEFT JOIN score_new ON t.c_custkey = score_new.c_custkey
+        LEFT JOIN size_new ON t.c_custkey = size_new.c_custkey"""
+
+
+@query("impute_nearest_neighbours", "M11", _knn_sql())
 def _(t):
     return rounded(impute_knn(t.sql(CUSTOMER_GAPS), _GAPS))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from burnish.operators.chart import chart_series
+from burnish.operators.relations import keep_in, keep_not_in, over_groups
 from burnish.sources.catalog import register
 from burnish.sql import quick_preview, run_sql, save_result
 from workload.registry import query, same_sql
@@ -48,12 +51,44 @@ same_sql(
     """SELECT c_custkey, c_name FROM {customer}
        WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000)""",
 )
-same_sql(
+
+@query(
     "sql_not_in_subquery",
     "P20 J4",
     """SELECT c_custkey, c_mktsegment FROM {customer}
        WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)""",
 )
+def _(t):
+    rich = t("orders").filter("o_totalprice > 300000").select("o_custkey")
+    return keep_not_in(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey", rich)
+
+
+@query(
+    "sql_not_in_with_null",
+    "P20 J4",
+    """SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM {orders})
+       UNION ALL SELECT s_suppkey FROM {supplier}
+       WHERE s_suppkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice < 0)""",
+)
+def _(t):
+    orders = t("orders")
+    some = orders.selectExpr("nullif(o_custkey, 1)")
+    none = orders.filter("o_totalprice < 0").select("o_custkey")
+    kept = keep_not_in(t("customer").select("c_custkey"), "c_custkey", some)
+    return kept.unionAll(keep_not_in(t("supplier").select("s_suppkey"), "s_suppkey", none))
+
+
+@query(
+    "in_list_of_rows",
+    "P20 J4",
+    """SELECT c_custkey, c_nationkey FROM {customer}
+       WHERE c_nationkey IN (SELECT s_nationkey FROM {supplier} WHERE s_acctbal < 0)""",
+)
+def _(t):
+    nations = t("supplier").filter("s_acctbal < 0").select("s_nationkey")
+    return keep_in(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey", nations)
+
+
 same_sql(
     "sql_case",
     "P21",
@@ -134,14 +169,33 @@ same_sql(
                   AS rn
          FROM {orders}) v WHERE rn <= 3""",
 )
-same_sql(
+
+@query(
     "sql_window_partition_aggregate",
     "W3",
-    """SELECT p_partkey, p_brand,
-              round(sum(p_retailprice) OVER (PARTITION BY p_brand), 4) AS brand_total,
+    """SELECT p_partkey, p_brand, p_size,
+              round(sum(p_retailprice) OVER (PARTITION BY p_brand, p_size), 4) AS peer_total,
               count(*) OVER (PARTITION BY p_brand, p_size) AS peers
        FROM {part}""",
 )
+def _(t):
+    peers = {"peer_total": F.round(F.sum("p_retailprice"), 4), "peers": F.count("*")}
+    part = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return over_groups(part, peers, ["p_brand", "p_size"]).drop("p_retailprice")
+
+
+@query(
+    "window_over_null_key",
+    "W3",
+    """SELECT l_orderkey, l_partkey, l_suppkey, discount,
+              count(*) OVER (PARTITION BY discount) AS peers
+       FROM (SELECT *, nullif(l_discount, 0) AS discount FROM {lineitem}) v""",
+)
+def _(t):
+    rows = t.sql(
+        "SELECT l_orderkey, l_partkey, l_suppkey, nullif(l_discount, 0) AS discount FROM {lineitem}"
+    )
+    return over_groups(rows, {"peers": F.count("*")}, ["discount"])
 
 
 @query(
@@ -150,11 +204,9 @@ same_sql(
     """SELECT event_id, round(abs(value - avg(value) OVER ()), 4) AS deviation FROM {events}""",
 )
 def _(t):
-    # An empty OVER () would gather the table in one task: take the mean once instead.
-    return t.sql(
-        """SELECT event_id, round(abs(value - m.mean), 4) AS deviation
-           FROM {events} CROSS JOIN (SELECT avg(value) AS mean FROM {events}) m"""
-    )
+    events = over_groups(t("events").select("event_id", "value"), {"mean": F.avg("value")})
+    deviation = F.round(F.abs(F.col("value") - F.col("mean")), 4)
+    return events.select("event_id", deviation.alias("deviation"))
 
 
 same_sql(
