@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.operators.typing import cell, data_columns, number, numeric_by_sample
+from burnish.functions.names import cell
+from burnish.operators.typing import data_columns, number, numeric_by_sample
 from burnish.plans.ordered import value_at_rank
 
 DEFAULT_GROUPS = 50
@@ -108,12 +109,14 @@ def scatter_series(
     )
 
 
-def detect_axes(df: DataFrame, order_by: Sequence[str] = ()) -> tuple[str | None, str | None]:
-    """X is the first column that is not the first numeric one; Y is the first numeric one."""
+def detect_axes(
+    df: DataFrame, order_by: Sequence[str] = (), hint: str | None = None
+) -> tuple[str | None, str | None]:
+    """X is the first column that is not the first numeric one; Y is ``hint`` or that one."""
     numeric = numeric_by_sample(df, AUTODETECT_ROWS, order_by, need_values=False)
     columns = data_columns(df)
     y = next((c for c in columns if numeric[c]), None)
-    return next((c for c in columns if c != y), None), y
+    return next((c for c in columns if c != y), None), hint or y
 
 
 def running_share(df: DataFrame, key: str, share: str, out: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import trim_unicode
 from burnish.functions.numbers import num_whole
-from burnish.operators.typing import cell, text_columns
+from burnish.operators.typing import text_columns
 from burnish.plans.fused import column_aggregates
 
 # Decoration that numbers may carry.

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import NARROW_TOKENS
 from burnish.operators.frequency import cell_counts, distinct_counts, keep_top, ranked_values
 from burnish.operators.histogram import Bins, histogram
-from burnish.operators.typing import PROFILE_SHARE, cell, data_columns, is_text, number, present
+from burnish.operators.typing import PROFILE_SHARE, data_columns, is_text, number, present
 from burnish.plans.fused import aggregate_row, column_aggregates, small_table, working_copy
 from burnish.plans.quantiles import exact_quantiles
 

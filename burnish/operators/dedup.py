@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.frequency import row_keys
-from burnish.operators.typing import ROW_ORDER, cell, data_columns
+from burnish.operators.typing import ROW_ORDER, data_columns
 
 
 def drop_duplicate_rows(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.operators.typing import cell, data_columns, is_text, present
+from burnish.functions.names import cell
+from burnish.operators.typing import data_columns, is_text, present
 from burnish.plans.fused import melt, small_table
 
 # Longer texts are grouped by their first characters and a SHA-256 digest, so

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import NARROW_TOKENS, null_token
 from burnish.functions.numbers import natural_key, num_prefix
-from burnish.operators.typing import cell, data_columns, is_numeric, is_text, number
+from burnish.operators.typing import data_columns, is_numeric, is_text, number
 
 GRID_ROWS = 2_000
 SQL_ROWS = 1_000

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.frequency import modes
-from burnish.operators.typing import ROW_ORDER, cell, is_numeric, number
+from burnish.operators.typing import ROW_ORDER, is_numeric, number
 from burnish.plans.fused import column_aggregates
 from burnish.plans.ordered import fill_ordered
 from burnish.plans.quantiles import exact_quantiles

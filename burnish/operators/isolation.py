@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
 from burnish.plans.quantiles import exact_quantiles
+from burnish.plans.shipping import ship
 
 SCORE, IS_ANOMALY = "_anomaly_score", "_is_anomaly"
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -100,7 +102,7 @@ def _sample_rows(
     With a row key the draw depends on the key alone; without one, on the row's place.
     """
     if row_key:
-        bits = F.xxhash64(F.lit(SEED), *[F.col(f"`{c}`") for c in row_key])
+        bits = F.xxhash64(F.lit(SEED), *[cell(c) for c in row_key])
         draw = F.pmod(bits, F.lit(1 << 53)) / float(1 << 53)
     else:
         draw = F.rand(SEED)
@@ -118,6 +120,7 @@ def fit_forest(
     pool = _sample_rows(df, features, row_key, n)
     if not len(pool):
         raise ValueError("an isolation forest needs at least one row")
+    ship(spark)
     size = min(SAMPLE, len(pool))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     shared = spark.sparkContext.broadcast(pool)

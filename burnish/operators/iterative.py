@@ -17,6 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.typing import number
 from burnish.plans.fused import aggregate_row, column_aggregates
 from burnish.plans.materialize import materialize
@@ -105,7 +106,7 @@ class _Chain:
 
     def restored(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         kept = dict(zip(self.columns, self.x))
-        return df.select(*[F.col(kept[c]).alias(c) if c in kept else F.col(f"`{c}`") for c in names])
+        return df.select(*[F.col(kept[c]).alias(c) if c in kept else cell(c) for c in names])
 
 
 def impute_mice(

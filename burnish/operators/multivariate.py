@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.chart import running_share
 from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
@@ -113,7 +114,7 @@ def principal_components(
     projected = model.transform(scaler.transform(assembled))
     pc = vector_to_array("__pc")
     scores = projected.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[cell(c) for c in df.columns],
         *[(pc[i] * F.lit(float(factor[i]))).alias(f"pc{i + 1}") for i in range(k)],
     )
     return Components(explained, loadings, scores)

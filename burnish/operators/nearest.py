@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.typing import number
 from burnish.plans.fused import column_aggregates, small_table
 from burnish.plans.materialize import materialize
+from burnish.plans.shipping import ship
 
 CELL_ROWS = 2_000
 MOST_CELLS = 20_000
@@ -152,6 +154,7 @@ def _into_cells(
     vectors: DataFrame, width: int, cell_rows: int
 ) -> tuple[DataFrame, pd.DataFrame]:
     """The vectors with ``mask`` and ``leaf``, and the small table of all cells."""
+    ship(vectors.sparkSession)
     total = vectors.count()
     levels = max(0, min(_MOST_LEVELS, math.ceil(math.log2(max(total / cell_rows, 1)))))
     share = min(1.0, 2.0 * _TREE_SAMPLE / max(total, 1))
@@ -298,6 +301,6 @@ def impute_knn(
     }
     kept = {c: F.col("__q")[j].alias(c) for j, c in enumerate(columns)}
     return (
-        keyed.filter(~gap).select(*[kept.get(c, F.col(f"`{c}`")) for c in df.columns])
-        .unionByName(joined.select(*[new.get(c, F.col(f"`{c}`")) for c in df.columns]))
+        keyed.filter(~gap).select(*[kept.get(c, cell(c)) for c in df.columns])
+        .unionByName(joined.select(*[new.get(c, cell(c)) for c in df.columns]))
     )

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burnish.functions.names import cell
 from burnish.operators.frequency import cell_counts, distinct_counts, ranked_values
 from burnish.operators.histogram import Bins, bin_counts
 from burnish.operators.typing import (
     LOAD_SHARE,
     PROFILE_SHARE,
-    cell,
     count_parsed,
     data_columns,
     is_numeric,

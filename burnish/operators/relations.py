@@ -9,8 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.operators.typing import cell
-
+from burnish.functions.names import cell
 
 def over_groups(
     df: DataFrame, aggregates: Mapping[str, Column], partition_by: Sequence[str] = ()

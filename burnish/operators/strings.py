@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import trim_unicode
 from burnish.functions.text import TRANSFORMS, collapse_spaces, fix_mojibake
-from burnish.operators.typing import cell, text_columns
+from burnish.operators.typing import text_columns
 
 
 def repaired(

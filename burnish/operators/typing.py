@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import NARROW_TOKENS, WIDE_TOKENS, null_if_token
 from burnish.functions.numbers import finite, num_prefix, num_whole
 from burnish.plans.fused import aggregate_row, column_aggregates
@@ -21,10 +22,6 @@ LOAD_SHARE = 0.8
 PROFILE_SHARE = 0.7
 
 
-def cell(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_ORDER]
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from burnish.functions.names import cell
+
 # The generated method of a wide aggregate is compiled to machine code only while
 # it is short; wider requests take another scan.
 AGG_WIDTH = 60
@@ -39,7 +41,7 @@ def aggregate_row(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
 def melt(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     """``(column, value)`` with one row per cell; all values of one type."""
     wide = df.select(*[v.alias(c) for c, v in values.items()])
-    return wide.unpivot([], [F.col(f"`{c}`") for c in values], "column", "value")
+    return wide.unpivot([], [cell(c) for c in values], "column", "value")
 
 
 def column_aggregates(

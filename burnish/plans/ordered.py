@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.plans.materialize import materialize
 
 RANGE, TIE = "__range", "__tie"
@@ -40,14 +41,14 @@ def fill_ordered(
     if not columns:
         return df
     ties = df.withColumn(TIE, F.monotonically_increasing_id())
-    sort_key = [F.col(f"`{c}`") for c in (*partition_by, *order_by)] + [F.col(TIE)]
+    sort_key = [cell(c) for c in (*partition_by, *order_by)] + [F.col(TIE)]
     rows = into_ranges(ties, sort_key)
 
-    group = [F.col(f"`{c}`") for c in partition_by]
-    position = F.struct(*[F.col(f"`{c}`") for c in order_by], F.col(TIE))
+    group = [cell(c) for c in partition_by]
+    position = F.struct(*[cell(c) for c in order_by], F.col(TIE))
     pick = F.min_by if backward else F.max_by
     near = {
-        c: pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), position)).alias(f"__c{i}")
+        c: pick(cell(c), F.when(cell(c).isNotNull(), position)).alias(f"__c{i}")
         for i, c in enumerate(columns)
     }
     keyed = rows.withColumn("__key", F.struct(F.lit(0).alias("_"), *group))
@@ -72,7 +73,7 @@ def fill_ordered(
         *[F.last(f"__c{i}", ignorenulls=True).over(before).alias(f"__p{i}")
           for i in range(len(columns))],
     )
-    local = Window.partitionBy(RANGE, "__key").orderBy(*order_by, TIE)
+    local = Window.partitionBy(RANGE, "__key").orderBy(*[cell(c) for c in order_by], TIE)
     if backward:
         local = local.rowsBetween(0, Window.unboundedFollowing)
         nearest = F.first
@@ -81,11 +82,11 @@ def fill_ordered(
         nearest = F.last
     joined = keyed.join(F.broadcast(carried), [RANGE, "__key"], "left")
     filled = {
-        c: F.coalesce(nearest(f"`{c}`", ignorenulls=True).over(local), F.col(f"__p{i}"))
+        c: F.coalesce(nearest(cell(c), ignorenulls=True).over(local), F.col(f"__p{i}"))
         for i, c in enumerate(columns)
     }
     return joined.select(
-        *[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns]
+        *[filled[c].alias(c) if c in filled else cell(c) for c in df.columns]
     )
 
 

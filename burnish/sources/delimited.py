@@ -11,8 +11,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import trim_unicode
-from burnish.operators.typing import ROW_ORDER, cell, infer_types
+from burnish.operators.typing import ROW_ORDER, infer_types
 
 
 def table_name(name: str) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.operators.column_stats import column_stats
 from burnish.operators.compare import compare_columns, compare_shape
-from burnish.operators.typing import cell, data_columns
+from burnish.operators.typing import data_columns
 
 
 def _plain(df: DataFrame) -> DataFrame:
