@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.names import cell
 from burnish.operators.typing import data_columns, number, numeric_by_sample
+from burnish.plans.fused import small_table
 from burnish.plans.ordered import value_at_rank
 
 DEFAULT_GROUPS = 50
@@ -77,8 +78,9 @@ def chart_series(
     shown = groups.orderBy(*order, "label").limit(max_groups)
     if not median:
         return shown.select("label", "value")
-    # At most max_groups labels on the broadcast side.
-    labels = shown.select("label")
+    # At most max_groups labels, here and on the broadcast sides.
+    picked = [(r["label"],) for r in shown.select("label").collect()]
+    labels = small_table(df.sparkSession, picked, "label string")
     medians = group_medians(points.join(F.broadcast(labels), "label", "left_semi"))
     return labels.join(F.broadcast(medians), "label", "left").select(
         "label", F.coalesce("value", F.lit(0.0)).alias("value")

@@ -13,21 +13,12 @@ from burnish.plans.fused import column_aggregates, small_table
 def compare_shape(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: row and column counts of both and their differences, shared and own columns."""
     in_a, in_b = data_columns(a), data_columns(b)
-    cols_a, cols_b = len(in_a), len(in_b)
-    shared = [c for c in in_a if c in in_b]
-    one = F.broadcast(b.agg(F.count("*").alias("rows_b")))
-    both = a.agg(F.count("*").alias("rows_a")).crossJoin(one)
-    return both.select(
-        "rows_a",
-        "rows_b",
-        (F.col("rows_a") - F.col("rows_b")).alias("row_delta"),
-        F.lit(cols_a).cast("bigint").alias("cols_a"),
-        F.lit(cols_b).cast("bigint").alias("cols_b"),
-        F.lit(cols_a - cols_b).cast("bigint").alias("col_delta"),
-        F.lit(len(shared)).cast("bigint").alias("shared_columns"),
-        F.lit(cols_a - len(shared)).cast("bigint").alias("only_a"),
-        F.lit(cols_b - len(shared)).cast("bigint").alias("only_b"),
-    )
+    rows_a, rows_b, cols_a, cols_b = a.count(), b.count(), len(in_a), len(in_b)
+    shared = sum(c in in_b for c in in_a)
+    row = (rows_a, rows_b, rows_a - rows_b, cols_a, cols_b, cols_a - cols_b, shared,
+           cols_a - shared, cols_b - shared)
+    names = ("rows_a rows_b row_delta cols_a cols_b col_delta shared_columns only_a only_b").split()
+    return small_table(a.sparkSession, [row], ", ".join(f"{n} bigint" for n in names))
 
 
 def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from burnish.functions.nulls import NARROW_TOKENS
 from burnish.operators.frequency import duplicate_rows
 from burnish.operators.typing import data_columns, present
+from burnish.plans.fused import small_table
+
+QUALITY_SCHEMA = "rows bigint, cols bigint, nulls bigint, completeness bigint, duplicates bigint"
 
 
 def null_cells(df: DataFrame) -> DataFrame:
@@ -32,8 +35,9 @@ def null_cells(df: DataFrame) -> DataFrame:
 
 def table_quality(df: DataFrame) -> DataFrame:
     """One row: ``rows, cols, nulls, completeness, duplicates``."""
-    duplicates = duplicate_rows(df).select("duplicates")
-    return null_cells(df).crossJoin(F.broadcast(duplicates))
+    shape = null_cells(df).first()
+    duplicates = duplicate_rows(df).first()["duplicates"]
+    return small_table(df.sparkSession, [(*shape, duplicates)], QUALITY_SCHEMA)
 
 
 def profile_summary(profile: DataFrame) -> DataFrame:

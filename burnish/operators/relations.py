@@ -22,7 +22,10 @@ def over_groups(
     """
     sums = [a.alias(n) for n, a in aggregates.items()]
     if not partition_by:
-        return df.crossJoin(F.broadcast(df.agg(*sums)))
+        totals = df.agg(*sums)
+        row = totals.first()
+        types = {f.name: f.dataType for f in totals.schema}
+        return df.withColumns({n: F.lit(row[n]).cast(types[n]) for n in aggregates})
     keys = [cell(c).alias(f"__k{i}") for i, c in enumerate(partition_by)]
     groups = df.groupBy(*keys).agg(*sums)
     same = [cell(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(partition_by)]
@@ -41,14 +44,13 @@ def keep_not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """``column NOT IN (values)``: nothing when a value is NULL, all rows when there are none.
 
     The direct form broadcasts the values whatever their number; this one is an ordinary
-    anti-join with the NULL rules settled by a one-row aggregate.
+    anti-join, with the NULL rules settled by counts.
     """
     unwanted = values.toDF("__v")
-    facts = F.broadcast(
-        unwanted.agg(
-            F.count("*").alias("__rows"), F.count_if(F.col("__v").isNull()).alias("__nulls")
-        )
-    )
-    kept = df.join(unwanted.distinct(), cell(column) == F.col("__v"), "left_anti")
-    allowed = (F.col("__rows") == 0) | ((F.col("__nulls") == 0) & cell(column).isNotNull())
-    return kept.crossJoin(facts).filter(allowed).drop("__rows", "__nulls")
+    rows, nulls = unwanted.agg(F.count("*"), F.count_if(F.col("__v").isNull())).first()
+    if not rows:
+        return df
+    if nulls:
+        return df.limit(0)
+    kept = df.filter(cell(column).isNotNull())
+    return kept.join(unwanted.distinct(), cell(column) == F.col("__v"), "left_anti")

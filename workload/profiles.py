@@ -59,7 +59,7 @@ def _(t):
 
 @query(
     "list_tables_with_shape",
-    "S9 S5 D2",
+    "S9 S4 S5",
     """SELECT 'nation' AS "table", (SELECT count(*) FROM {nation}) AS rows, 3 AS cols, 0 AS nulls,
               100 AS completeness, 0 AS duplicates
        UNION ALL SELECT 'customer', (SELECT count(*) FROM {customer}), 5, 0, 100, 0
