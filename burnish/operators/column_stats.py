@@ -15,8 +15,9 @@ from burnish.functions.names import cell
 from burnish.functions.nulls import NARROW_TOKENS
 from burnish.operators.frequency import cell_counts, distinct_counts, keep_top, ranked_values
 from burnish.operators.histogram import Bins, histogram
+from burnish.operators.outliers import count_outside
 from burnish.operators.typing import PROFILE_SHARE, data_columns, is_text, number, present
-from burnish.plans.fused import aggregate_row, column_aggregates, small_table, working_copy
+from burnish.plans.fused import column_aggregates, small_table, working_copy
 from burnish.plans.quantiles import exact_quantiles
 
 STATS_SCHEMA = """
@@ -76,14 +77,10 @@ def _column_stats(df: DataFrame, columns: list[str], fold_case: bool) -> DataFra
     }
     counts = {c: m["n"] for c, m in moments.items()}
     quartiles = exact_quantiles(df, numeric, (0.25, 0.5, 0.75), counts, interpolate=False)
-    outliers = aggregate_row(
-        df,
-        {
-            c: F.count_if((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)))
-            for c, x in numeric.items()
-            for q1, _, q3 in [quartiles[c]]
-        },
-    )
+    limits = {
+        c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in quartiles.items()
+    }
+    outliers = count_outside(df, numeric, limits)
     unique, mode = dict.fromkeys(columns, 0), dict.fromkeys(columns)
     for c, rank, value, n in ranked_values(df, filled, 1, distinct=True):
         if rank:

@@ -19,24 +19,19 @@ from pyspark.sql import functions as F
 
 from burnish.functions.names import cell
 from burnish.operators.typing import number
-from burnish.plans.fused import aggregate_row, column_aggregates
+from burnish.plans.fused import column_aggregates
 from burnish.plans.materialize import materialize
+from burnish.plans.products import gram
 
 ROUNDS, TOLERANCE = 10, 1e-3
 FOREST_TREES, FOREST_ROUNDS, FOREST_SEED, FOREST_DEPTH = 50, 5, 42, 10
 _RIDGE_ROUNDS, _RIDGE_TOLERANCE, _PRIOR = 300, 1e-3, 1e-6
 
 
-def _products(df: DataFrame, xs: Sequence[Column], where: Column | None = None) -> np.ndarray:
-    """Sums of products of ``[1, x1, ..., xp]`` over the rows, as a symmetric matrix."""
-    terms = [F.lit(1.0), *xs]
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    rows = df if where is None else df.filter(where)
-    found = aggregate_row(rows, {f"{i},{j}": F.sum(terms[i] * terms[j]) for i, j in pairs})
-    gram = np.zeros((len(terms), len(terms)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = found[f"{i},{j}"] or 0.0
-    return gram
+def _products(df: DataFrame, chain: _Chain) -> np.ndarray:
+    """Sums of products of ``[1, x1, ..., xp]``, each ``x`` around the column's mean."""
+    around = [F.col(x) - F.lit(chain.means[c]) for x, c in zip(chain.x, chain.columns)]
+    return gram(df, around)
 
 
 def bayesian_ridge(gram: np.ndarray, target: int) -> tuple[np.ndarray, float]:
@@ -120,21 +115,20 @@ def impute_mice(
         return chain.restored(chain.started(df), df.columns)
     started = chain.started(df)
     has_gap = reduce(or_, [F.col(m) for m in chain.m])
-    # Values around their mean keep the sums of products well conditioned.
-    centred = [F.col(x) - F.lit(chain.means[c]) for x, c in zip(chain.x, chain.columns)]
-    fixed = _products(started, centred, ~has_gap)
+    fixed = _products(started.filter(~has_gap), chain)
     work = materialize(started.filter(has_gap))
     for _ in range(rounds):
         before = {x: F.col(x).alias(f"__was_{x}") for x in chain.x}
         step = work.select("*", *before.values())
         for c in chain.gaps:
             i = chain.at(c)
-            gram = fixed + _products(step, centred, ~F.col(chain.m[i]))
-            coef, intercept = bayesian_ridge(gram, i + 1)
+            sums = fixed + _products(step.filter(~F.col(chain.m[i])), chain)
+            coef, intercept = bayesian_ridge(sums, i + 1)
             others = [j for j in range(len(chain.columns)) if j != i]
             predicted = F.lit(float(intercept + chain.means[c]))
             for k, j in enumerate(others):
-                predicted = predicted + F.lit(float(coef[k])) * centred[j]
+                away = F.col(chain.x[j]) - F.lit(chain.means[chain.columns[j]])
+                predicted = predicted + F.lit(float(coef[k])) * away
             step = step.withColumn(
                 chain.x[i], F.when(F.col(chain.m[i]), predicted).otherwise(F.col(chain.x[i]))
             )

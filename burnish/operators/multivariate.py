@@ -15,7 +15,8 @@ from burnish.functions.names import cell
 from burnish.operators.chart import running_share
 from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
-from burnish.plans.fused import aggregate_row, small_table
+from burnish.plans.fused import small_table
+from burnish.plans.products import pair_sums
 
 DEFAULT_COMPONENTS = 3
 
@@ -31,25 +32,23 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """``(column_a, column_b, correlation)`` for all pairs, Pearson, 4 decimals.
 
     Each pair uses the rows where both are filled. A constant column gives NULL, also with
-    itself. One scan unless there are very many columns.
+    itself. One scan takes the means, a second one all pairs.
     """
     columns = _numeric(df, columns)
-    x = {c: number(df, c) for c in columns}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    exprs = {}
-    for i, (a, b) in enumerate(pairs):
-        both = x[a].isNotNull() & x[b].isNotNull()
-        exprs[f"c{i}"] = F.covar_pop(x[a], x[b])
-        exprs[f"a{i}"] = F.stddev_pop(F.when(both, x[a]))
-        exprs[f"b{i}"] = F.stddev_pop(F.when(both, x[b]))
-    row = aggregate_row(df, exprs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        scale = (row[f"a{i}"] or 0.0) * (row[f"b{i}"] or 0.0)
-        r = round(row[f"c{i}"] / scale, 4) if scale else None
-        rows.append((a, b, r))
-        if a != b:
-            rows.append((b, a, r))
+    sums = pair_sums(df, {c: number(df, c) for c in columns})
+    n = np.maximum(sums.n, 1)
+    mean = sums.x / n
+    variance = sums.xx / n - mean**2
+    covariance = sums.xy / n - mean * mean.T
+    # What is left of a constant column is the rounding of its mean.
+    noise = (1e-13 * np.maximum(np.abs(sums.centre), 1e-300)[:, None]) ** 2
+    variance = np.where(variance > noise, variance, 0.0)
+    scale = np.sqrt(variance * variance.T)
+    rows = [
+        (a, b, round(float(covariance[i, j] / scale[i, j]), 4) if scale[i, j] else None)
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+    ]
     return small_table(
         df.sparkSession, rows, "column_a string, column_b string, correlation double"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.operators.typing import number, numeric_columns
-from burnish.plans.fused import aggregate_row, column_aggregates
+from burnish.plans.fused import column_aggregates, melt, small_table
 from burnish.plans.quantiles import exact_quantiles
 
 METHODS = ("iqr", "zscore", "modified_z")
@@ -72,6 +72,25 @@ def fences(
     return {c: Fence(*edges[c], stats[c]["mean"], middle[c]) for c in values}
 
 
+def count_outside(
+    df: DataFrame, values: Mapping[str, Column], limits: Mapping[str, tuple[float, float]]
+) -> dict[str, int]:
+    """How many values of each column lie outside its limits, in one scan."""
+    if not limits:
+        return {}
+    rows = [(c, float(lo), float(hi)) for c, (lo, hi) in limits.items()]
+    table = small_table(df.sparkSession, rows, "column string, lo double, hi double")
+    value = F.col("value")
+    found = (
+        melt(df, {c: values[c] for c in limits})
+        .join(F.broadcast(table), "column")
+        .groupBy("column")
+        .agg(F.count_if((value < F.col("lo")) | (value > F.col("hi"))).alias("n"))
+        .collect()
+    )
+    return dict.fromkeys(limits, 0) | {r["column"]: r["n"] for r in found}
+
+
 def treated(x: Column, out: Column, action: str, fence: Fence) -> Column:
     """The value after a non-removing action; NULL stays NULL."""
     if action == "cap":
@@ -117,14 +136,16 @@ def handle_outliers(
     for batch in _batches(columns, actions):
         want = any(actions[c] == "replace_median" for c in batch)
         found = fences(result.df, batch, method, medians=want)
-        out = {c: f.outside(number(result.df, c)) for c, f in found.items()}
-        result.counts |= aggregate_row(result.df, {c: F.count_if(o) for c, o in out.items()})
+        values = {c: number(result.df, c) for c in found}
+        out = {c: f.outside(values[c]) for c, f in found.items()}
+        limits = {c: (f.lo, f.hi) for c, f in found.items()}
+        result.counts |= count_outside(result.df, values, limits)
         new = {}
         for c, f in found.items():
             if actions[c] == "flag":
                 flagged.append(out[c])
             elif actions[c] != "remove":
-                new[c] = treated(number(result.df, c), out[c], actions[c], f)
+                new[c] = treated(values[c], out[c], actions[c], f)
         kept = result.df
         last = batch[-1]
         if actions[last] == "remove" and last in out:

@@ -136,3 +136,24 @@ def test_correlations_and_components(spark):
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert {r["correlation"] for r in correlations(df).collect()} == {None, 1.0}
+
+
+@pytest.mark.parametrize("few", [2, 10])
+def test_pair_sums_by_aggregate_and_by_matrices(spark, monkeypatch, few):
+    from burnish.plans import products
+
+    monkeypatch.setattr(products, "FEW_COLUMNS", few)
+    x = gappy(400, 8) + 1e6
+    x = np.column_stack([x, np.full(len(x), 3.3)])
+    df = with_nulls(spark, pd.DataFrame(x, columns=list("abcd"))).repartition(6)
+    found = {(r[0], r[1]): r[2] for r in correlations(df).collect()}
+    for i, a in enumerate("abc"):
+        for j, b in enumerate("abc"):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = np.corrcoef(x[both, i], x[both, j])[0, 1]
+            assert found[a, b] == pytest.approx(want, abs=6e-5)
+    assert found["a", "d"] is None and found["d", "d"] is None
+    full = df.dropna()
+    rows = np.column_stack([np.ones(full.count()), *full.toPandas()[list("abc")].to_numpy().T])
+    sums = products.gram(full, [F.col(c) for c in "abc"])
+    assert np.allclose(sums, rows.T @ rows)

@@ -15,14 +15,33 @@ _COLUMNS = ["discount", "tax", "price", "quantity"]
     "correlation_matrix",
     "V1",
     " UNION ALL ".join(
-        f"""SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 3) AS correlation
+        f"""SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 4) AS correlation
             FROM ({GAPPY}) v"""
         for a in _COLUMNS
         for b in _COLUMNS
     ),
 )
 def _(t):
-    return rounded(correlations(t.sql(GAPPY), _COLUMNS), 3)
+    return correlations(t.sql(GAPPY), _COLUMNS)
+
+
+_WIDTH = 64
+
+
+@query(
+    "correlation_of_wide_table",
+    "V1",
+    """WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+                         unnest(range(64)) AS i FROM {embeddings})
+       SELECT concat('e', a.i) AS column_a, concat('e', b.i) AS column_b,
+              round(corr(a.x, b.x), 4) AS correlation
+       FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""",
+)
+def _(t):
+    wide = t("embeddings").select(
+        *[F.col("embedding")[i].alias(f"e{i}") for i in range(_WIDTH)]
+    )
+    return correlations(wide)
 
 
 _PAIR = """SELECT l_quantity + 0.0 AS x, l_quantity * 3 + l_extendedprice / 2000 AS y FROM {lineitem}"""
@@ -67,7 +86,6 @@ def _(t):
 @query("embedding_components", "V2 V5")
 def _(t):
     rows = t("embeddings")
-    width = 64
-    wide = rows.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(width)])
-    columns = [f"e{i}" for i in range(width)]
+    wide = rows.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(_WIDTH)])
+    columns = [f"e{i}" for i in range(_WIDTH)]
     return rounded(principal_components(wide, 3, columns).explained)
