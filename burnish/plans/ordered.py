@@ -73,16 +73,17 @@ def fill_ordered(
         *[F.last(f"__c{i}", ignorenulls=True).over(before).alias(f"__p{i}")
           for i in range(len(columns))],
     )
-    local = Window.partitionBy(RANGE, "__key").orderBy(*[cell(c) for c in order_by], TIE)
-    if backward:
-        local = local.rowsBetween(0, Window.unboundedFollowing)
-        nearest = F.first
-    else:
-        local = local.rowsBetween(Window.unboundedPreceding, 0)
-        nearest = F.last
+    # A running frame in the direction of the fill: one up to the end of the group would be
+    # evaluated anew for every row.
+    place = [*[cell(c) for c in order_by], F.col(TIE)]
+    walk = [c.desc() if backward else c.asc() for c in place]
+    local = (
+        Window.partitionBy(RANGE, "__key").orderBy(*walk)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     joined = keyed.join(F.broadcast(carried), [RANGE, "__key"], "left")
     filled = {
-        c: F.coalesce(nearest(cell(c), ignorenulls=True).over(local), F.col(f"__p{i}"))
+        c: F.coalesce(F.last(cell(c), ignorenulls=True).over(local), F.col(f"__p{i}"))
         for i, c in enumerate(columns)
     }
     return joined.select(
