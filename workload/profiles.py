@@ -83,10 +83,10 @@ _CORE = """count(*) AS total, count($c) AS non_null, count(*) - count($c) AS nul
     count(DISTINCT $c) AS "unique", 'numeric' AS type,
     round(count($c) * 100.0 / count(*), 2) AS completeness,
     CAST(min($c) AS DOUBLE) AS min, CAST(max($c) AS DOUBLE) AS max,
-    round(avg($c), 4) AS mean, round(quantile_cont($c, 0.5), 4) AS median,
-    round(stddev_samp($c), 4) AS std, round(var_samp($c), 4) AS variance,
+    round(round(avg($c), 6), 4) AS mean, round(quantile_cont($c, 0.5), 4) AS median,
+    round(round(stddev_samp($c), 6), 4) AS std, round(round(var_samp($c), 6), 4) AS variance,
     round(quantile_cont($c, 0.25), 4) AS q1, round(quantile_cont($c, 0.75), 4) AS q3,
-    round(quantile_cont($c, 0.75) - quantile_cont($c, 0.25), 4) AS iqr"""
+    round(round(quantile_cont($c, 0.75) - quantile_cont($c, 0.25), 6), 4) AS iqr"""
 CORE = ("column type total non_null null_count null_pct unique completeness min max mean median "
         "std variance q1 q3 iqr").split()
 
@@ -101,14 +101,14 @@ def _(t):
     return rounded(found.select(*CORE))
 
 
-_SHAPE = """round(skewness($c), 3) AS skewness, round(kurtosis($c), 3) AS kurtosis,
+_SHAPE = """round(skewness($c), 4) AS skewness, round(kurtosis($c), 4) AS kurtosis,
     (SELECT count(*) FROM ($src) s, (SELECT quantile_cont($c, 0.25) AS a, quantile_cont($c, 0.75) AS b
        FROM ($src) q) f WHERE s.$c < a - 1.5 * (b - a) OR s.$c > b + 1.5 * (b - a)) AS outliers_iqr,
     (SELECT count(*) FROM ($src) s, (SELECT avg($c) AS m, stddev_pop($c) AS sd FROM ($src) q) f
        WHERE abs((s.$c - m) / sd) > 3) AS outliers_z,
-    round(sum($c), 3) AS sum, CAST(sum(CASE WHEN $c = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros,
+    round(sum($c), 4) AS sum, CAST(sum(CASE WHEN $c = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros,
     CAST(sum(CASE WHEN $c < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
-    round(quantile_cont($c, 0.05), 3) AS p5, round(quantile_cont($c, 0.95), 3) AS p95"""
+    round(quantile_cont($c, 0.05), 4) AS p5, round(quantile_cont($c, 0.95), 4) AS p95"""
 SHAPE = "column skewness kurtosis outliers_iqr outliers_z sum zeros negatives p5 p95".split()
 
 
@@ -123,7 +123,7 @@ SHAPE = "column skewness kurtosis outliers_iqr outliers_z sum zeros negatives p5
 def _(t):
     a = profile(t("events"), ["value"])
     b = profile(t("customer"), ["c_acctbal"])
-    return rounded(a.unionByName(b).select(*SHAPE), 3)
+    return rounded(a.unionByName(b).select(*SHAPE))
 
 
 @query(
