@@ -46,6 +46,7 @@ def fill_ordered(
 
     group = [cell(c) for c in partition_by]
     position = F.struct(*[cell(c) for c in order_by], F.col(TIE))
+    # The value that a later (backward: earlier) range takes over from this one.
     pick = F.min_by if backward else F.max_by
     near = {
         c: pick(cell(c), F.when(cell(c).isNotNull(), position)).alias(f"__c{i}")
