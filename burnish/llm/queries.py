@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import decontaminate, mixing, ngram_join, pii
+from burnish.llm import decontaminate, mixing, ngram_join, pii, toxicity
 from burnish.llm.common import written
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,19 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op5_toxicity")
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "toxic_spans",
+    )
+
+
 @register("op6_benchmark_matches")
 def benchmark_matches(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
