@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from burnish.plans.shipping import ship
 
 #: Edits allowed per character of an item.
-RATE = 0.06
+RATE = 0.08
 #: Characters of benchmark text that are sent to the executors at a time.
 BLOCK_CHARS = 4_000_000
 

@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm import decontaminate, mixing, ngram_join, pii, toxicity
+from burnish.llm import (
+    decontaminate,
+    mixing,
+    ngram_join,
+    pii,
+    token_counts,
+    topk,
+    toxicity,
+    warc,
+)
 from burnish.llm.common import written
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +81,29 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM scored)
+WHERE rank <= 5
+"""
+
+
+@register("op4_top_vectors", TOP_SQL)
+def top_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @register("op5_toxicity")
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -92,6 +124,11 @@ def benchmark_matches(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+@register("op7_token_lengths")
+def token_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.length_histogram(table(spark, folder, "documents"))
+
+
 @register("op8_personal_data")
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents").select("doc_id", "text"))
@@ -108,6 +145,31 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+         octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes
+  FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, payload_bytes >= 100 AND first IS NOT NULL
+                AND first IS DISTINCT FROM page_id AS again FROM f)
+"""
+
+
+@register("op9_warc_round_trip", WARC_SQL)
+def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    back = warc.round_trip(table(spark, folder, "pages"))
+    sound = F.when(F.col("fault").isNull(), F.col("record_type")).otherwise(
+        F.raise_error(F.concat(F.lit("damaged record: "), F.col("fault")))
+    )
+    return back.select(
+        "page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to"
+    )
+
+
 @register("op10_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
