@@ -50,7 +50,8 @@ class Block:
         self.exact = bound < 1 << 53
         self.vectors = vectors.astype(np.float64) if self.exact else vectors
         self.low = np.full(len(ids), -bound, dtype=np.int64)
-        self.width = -(-(2 * bound + 1) // BINS)
+        self.span = 2 * bound + 1  # of the open range, which begins at ``low``
+        self.width = -(-self.span // BINS)
         self.need = np.full(len(ids), k, dtype=np.int64)
         self.done = np.zeros(len(ids), dtype=bool)
 
@@ -76,8 +77,9 @@ def _histogram(block) -> object:
         b = block.value
         for batch in batches:
             for _, scores, worth in b.scores(batch):
-                where = (scores - b.low[:, None]) // b.width
-                worth = worth & (where >= 0) & (where < BINS) & ~b.done[:, None]
+                where = scores - b.low[:, None]
+                worth = worth & (where >= 0) & (where < b.span) & ~b.done[:, None]
+                where //= b.width
                 query, column = np.nonzero(worth)
                 cells, n = np.unique(query * BINS + where[query, column], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -133,11 +135,10 @@ def _located(candidates: DataFrame, block: Block) -> Block:
             at, above = found[i]
             block.low[i] += at * block.width
             block.need[i] -= above
-        if block.width == 1:
-            return block
-        block.width = -(-block.width // BINS)
-        if block.done.all():
+        if block.width == 1 or block.done.all():
             return block
+        block.span = block.width
+        block.width = -(-block.span // BINS)
 
 
 def top_k(df: DataFrame, asked: Column, k: int = 5) -> DataFrame:
