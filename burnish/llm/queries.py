@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burnish.llm import (
     decontaminate,
+    licenses,
     mixing,
     ngram_join,
     pii,
@@ -16,6 +17,7 @@ from burnish.llm import (
     topk,
     toxicity,
     warc,
+    wrappers,
 )
 from burnish.llm.common import written
 
@@ -81,6 +83,18 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op2_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))\
+        .drop("text")
+
+
+@register("op3_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = wrappers.extract_main(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 TOP_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
