@@ -8,10 +8,10 @@ text of fewer words is one shingle). Links join different texts of Jaccard simil
 2. In every band bucket all members are paired with the smallest one (a star, never all pairs).
    MinHash values of a pair are compared in steps; it is dropped as soon as the posterior
    probability of reaching the threshold falls below the tolerance. The rest is verified exactly.
-3. Components of the verified links follow by large-star and small-star rounds. Buckets whose
-   members are still in different components are compared in full, in blocks, across components
-   only; verified links merge further components. So no pair that shares a bucket is skipped
-   unless its two texts are linked already.
+3. Members of a bucket that are not linked to a common leader are compared with each other, in
+   blocks, across leaders only; a task hands on the exact links that join what it had not joined
+   yet, at most one per member. So no pair that shares a bucket is skipped unless its two texts
+   are connected already. Components of all links follow by large-star and small-star rounds.
 4. Inside each class all pairs of different texts are counted exactly, in blocks of members, by a
    product of their shingle incidence matrices; only counts leave a task.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -182,6 +183,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+@cache
 def least_matches() -> np.ndarray:
     """For 0..all values compared, the fewest matches a pair may have to go on.
 
@@ -232,7 +234,7 @@ def picked(df: DataFrame, few: DataFrame, on, how: str) -> DataFrame:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``digest, grams`` of the wanted ``digest, doc_id`` rows, written down."""
-    ids = written(wanted.select(F.col("doc_id").alias("__id")).distinct(), "wanted-ids")
+    ids = wanted.select(F.col("doc_id").alias("__id"))
     own = picked(docs, ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     found = own.select("text").mapInArrow(_grams, "digest binary, grams array<bigint>")
     found = found.join(wanted.select("digest"), "digest", "left_semi")
@@ -257,6 +259,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .where("u != v").distinct(), "edges")
+    mark = _mark(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
@@ -270,44 +273,31 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = small.union(low.select("u", F.col("low").alias("v")))
         fresh = written(small.where("u != v").distinct(), "small-star")
-        if _same(edges, fresh):
+        now = _mark(fresh)
+        if now == mark:
             break
-        edges = fresh
+        edges, mark = fresh, now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    def mark(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                      F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-
-    return mark(a) == mark(b)
-
-
-def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """Add ``root``: that of the digest's component, or the digest itself."""
-    named = roots.select(F.col("node").alias("digest"), F.col("root").alias("__root"))
-    return df.join(named, "digest", "left").withColumn(
-        "root", F.coalesce("__root", "digest")
-    ).drop("__root")
+def _mark(df: DataFrame):
+    """Equal for equal sets of edges."""
+    return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
+                  F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
 
 
 def _block_pairs(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """Deal the members of each group into blocks and repeat each for every pair of blocks.
 
-    Returns ``group, i, j`` with ``i <= j`` and ``side`` 0 or 1; a row sits in block ``i`` or
-    ``j`` of its pair. A block holds about ``BLOCK`` members.
+    ``members`` tells the group's size ``n``. Returns ``group, i, j`` with ``i <= j`` and ``side``
+    0 or 1; a row sits in block ``i`` or ``j`` of its pair. A block holds about ``BLOCK`` members.
     """
-    sizes = members.groupBy(group).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")
-    )
-    sizes = written(sizes, "blocks")
-    dealt = members.join(sizes, group).withColumn(
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn(
         "mine", F.pmod(F.xxhash64("digest"), F.col("blocks").cast("long")).cast("int")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(
         F.col(group).alias("group"),
         F.least("mine", "other").alias("i"),
@@ -318,37 +308,47 @@ def _block_pairs(members: DataFrame, group: str, columns: list[str]) -> DataFram
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block pair that are in different components and survive the pruning.
+    """Links of one block pair between members that nothing has joined yet.
 
-    A pair belongs to the first band on which its two texts agree, so no other bucket gives it.
+    A pair belongs to the first band on which its two texts agree, so no other bucket looks at
+    it. What survives the pruning is verified exactly unless links of this block pair connect it.
     """
     mins = _table(table.column("mins").combine_chunks())
     digest = table.column("digest").to_pylist()
     roots = table.column("root").to_pylist()
     side = table.column("side").to_numpy()
+    values, offsets = _flat(table.column("grams"))
+    sizes = np.diff(offsets)
     same_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    key = table.column("group")[0].as_py()
     keys = _bands(mins).view(np.int64)
-    band = (keys == key).argmax(axis=1)
-    number = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
+    band = (keys == table.column("group")[0].as_py()).argmax(axis=1)
+    number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    label = np.array([number[r] for r in roots])
     rows = np.arange(len(digest))
     left, right = (rows, rows) if same_block else (rows[side == 0], rows[side == 1])
-    out_a, out_b = [], []
+    code = np.unique(values, return_inverse=True)[1]
+    mine = np.zeros(len(values), dtype=bool)
+    out: list[tuple[bytes, bytes]] = []
     for x in left:
-        y = right[(number[right] != number[x])]
-        if same_block:
-            y = y[y > x]
-        if not len(y):
-            continue
-        agree = keys[y] == keys[x]
-        y = y[agree.argmax(axis=1) == band[x]]
+        y = right[right > x] if same_block else right
+        y = y[(label[y] != label[x])
+              & (np.minimum(sizes[y], sizes[x]) >= THRESHOLD * np.maximum(sizes[y], sizes[x]))]
+        y = y[(keys[y] == keys[x]).argmax(axis=1) == band[x]]
         if len(y):
             y = y[_survivors(np.broadcast_to(mins[x], (len(y), _HASHES)), mins[y])]
+        y = y[label[y] != label[x]]
+        own = code[offsets[x]:offsets[x + 1]]
+        mine[own] = True
         for z in y:
-            a, b = digest[x], digest[z]
-            out_a.append(min(a, b))
-            out_b.append(max(a, b))
-    return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+            if label[z] == label[x]:
+                continue
+            both = np.count_nonzero(mine[code[offsets[z]:offsets[z + 1]]])
+            if both >= THRESHOLD * (sizes[x] + sizes[z] - both):
+                label[label == label[z]] = label[x]
+                out.append((min(digest[x], digest[z]), max(digest[x], digest[z])))
+        mine[own] = False
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()),
+                     "b": pa.array([b for _, b in out], pa.binary())})
 
 
 def _degrees(table: pa.Table) -> pa.Table:
@@ -435,26 +435,30 @@ def join_classes(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     wanted = distinct.join(crowded.select("digest").distinct(), "digest", "left_semi")
     grams = _texts_of(docs, written(wanted.select("digest", "doc_id"), "wanted"))
     links = _verified(pruned, grams, "links")
-    roots = written(components(links), "roots")
-    placed = _rooted(crowded.select("digest", "band"), roots)
-    open_bands = (
+    leaders = written(links.groupBy(F.col("b").alias("digest")).agg(F.min("a").alias("lead")),
+                      "leaders")
+    placed = crowded.select("digest", "band").join(leaders, "digest", "left").withColumn(
+        "root", F.coalesce("lead", "digest")
+    )
+    placed = written(placed.select("digest", "band", "root"), "placed")
+    bands = (
         placed.groupBy("band")
         .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         .where("n > 2 and lo != hi")
-        .select("band")
+        .select("band", "n")
     )
-    placed = placed.join(written(open_bands, "open-bands"), "band")
-    placed = written(placed.join(mins, "digest"), "open")
-    dealt = _block_pairs(placed, "band", ["digest", "root", "mins"])
-    more = dealt.groupBy("group", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
-    more = _verified(written(more, "across"), grams, "more-links")
-    if not more.isEmpty():
-        roots = written(components(links.union(more)), "roots")
-    classes = roots.select(F.col("node").alias("digest"), "root").join(grams, "digest")
-    dealt = _block_pairs(written(classes, "members"), "root", ["digest", "grams"])
+    placed = placed.join(written(bands, "open-bands"), "band")
+    placed = placed.join(mins, "digest").join(grams, "digest")
+    dealt = _block_pairs(placed, "band", ["digest", "root", "mins", "grams"])
+    more = dealt.groupBy("group", "i", "j").applyInArrow(_across, "a binary, b binary")
+    roots = components(links.union(written(more, "across")))
+    roots = written(roots.select(F.col("node").alias("digest"), "root"), "roots")
+    sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "class-sizes")
+    members = roots.join(sizes, "root").join(grams, "digest")
+    dealt = _block_pairs(members, "root", ["digest", "grams"])
     counts = dealt.groupBy("group", "i", "j").applyInArrow(_degrees, "digest binary, n bigint")
     counts = counts.groupBy("digest").agg(F.sum("n").alias("n_links"))
-    classes = written(roots.withColumnRenamed("node", "digest").join(counts, "digest"), "classes")
+    classes = written(roots.join(counts, "digest"), "classes")
     return classes, sketch.select("doc_id", "digest")
 
 
@@ -477,7 +481,7 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "n_copies",
     )
-    own = docs.join(written(named, "named"), "digest").drop("digest")
+    own = docs.join(named, "digest").drop("digest")
     bare = df.where(~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(f"[^{BLANKS}]")).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("doc_id").cast("long").alias("class_id"),
