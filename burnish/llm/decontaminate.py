@@ -179,7 +179,8 @@ def _finder(block, rate: float):
             type=kind,
         )
 
-    return find
+    # else a filter on the matches is pushed below them and finds them a second time
+    return find.asNondeterministic()
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
