@@ -72,12 +72,14 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A compression dictionary from a bounded sample, empty if there is too little text."""
-    rows = (
-        pages.where("html is not null and html != ''")
-        .select(hash_key(F.lit("warc"), F.col("page_id"), F.col("url")).alias("key"),
-                F.substring("html", 1, SAMPLE_BYTES).alias("part"))
-        .orderBy("key").limit(SAMPLE).collect()
+    some = pages.where("html is not null and html != ''").withColumn(
+        "__key", hash_key(F.lit("warc"), F.col("page_id"), F.col("url"))
     )
+    keys = some.select("__key").orderBy("__key").limit(SAMPLE).collect()
+    if not keys:
+        return b""
+    chosen = some.where(F.col("__key") <= keys[-1][0])
+    rows = chosen.select(F.substring("html", 1, SAMPLE_BYTES).alias("part")).limit(SAMPLE).collect()
     parts = sorted(r["part"].encode()[:SAMPLE_BYTES] for r in rows)
     if sum(map(len, parts)) < 10 * DICTIONARY_BYTES or len(parts) < 20:
         return b""
