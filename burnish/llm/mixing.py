@@ -153,10 +153,13 @@ def mix(df: DataFrame, **options) -> DataFrame:
     Columns of ``df`` with one of these names are replaced. A document is reached when at least
     one epoch comes to it before the cut.
     """
-    added = ("size", "source_size", "target", "taken", "copies", "key")
+    added = ("size", "source_size", "target", "taken", "copies")
+    names = [c for c in df.columns if c not in added]
     plan = plan_mix(written(sized(df), "mix-sizes"), **options)
-    docs = df.drop(*added)
+    docs = df.drop(*added).withColumn("__key", F.col("key") if "key" in names else F.lit(0))
     docs = docs.withColumn("size", word_count(F.col("text"))).withColumn(
         "key", hash_key(F.lit("mix"), F.col("doc_id"))
     )
-    return apply_plan(docs, plan).where(F.col("copies") > 0).drop("key")
+    mixed = apply_plan(docs, plan).where(F.col("copies") > 0)
+    kept = [F.col("__key").alias("key") if c == "key" else F.col(f"`{c}`") for c in names]
+    return mixed.select(*kept, *added)
