@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _PREFIX = rf"^\s*({_NUMBER})"
 _WHOLE = rf"^\s*{_NUMBER}\s*$"
-_DIGIT_CHUNK_WIDTH = 24
 
 
 def num_prefix(c: Column) -> Column:
@@ -30,13 +29,16 @@ def finite(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Text sort key in which ``a2`` precedes ``a10``: digit runs are zero-padded."""
+    """Text sort key in which ``a2`` precedes ``a10``: digit runs sort by length, then digits."""
     chunks = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
     padded = F.transform(
         chunks,
         lambda x: F.when(
-            x.rlike(r"^\d") & (F.length(x) < _DIGIT_CHUNK_WIDTH),
-            F.lpad(x, _DIGIT_CHUNK_WIDTH, "0"),
+            x.rlike(r"^\d"),
+            F.concat(
+                F.lpad(F.length(F.regexp_replace(x, "^0+", "")).cast("string"), 10, "0"),
+                F.regexp_replace(x, "^0+", ""),
+            ),
         ).otherwise(x),
     )
     return F.array_join(padded, "")

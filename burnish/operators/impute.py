@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.functions.names import cell
 from burnish.operators.frequency import modes
@@ -16,13 +17,19 @@ from burnish.plans.quantiles import exact_quantiles
 
 
 def fill_values(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    """Replace NULL (and NaN) by a literal per column; a None leaves the column alone."""
+    """Replace NULL (and NaN) by a literal per column; a None leaves the column alone.
+
+    A column of whole numbers keeps its type if the literal fits it.
+    """
     new = {}
     for c, v in values.items():
         if v is None:
             continue
-        x = number(df, c) if is_numeric(df.schema[c].dataType) else cell(c)
-        new[c] = F.coalesce(x, F.lit(v))
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, T.IntegralType) and float(v).is_integer() and abs(v) < 1 << 31:
+            new[c] = F.coalesce(cell(c), F.lit(int(v)).cast(dtype))
+        else:
+            new[c] = F.coalesce(number(df, c) if is_numeric(dtype) else cell(c), F.lit(v))
     return df.withColumns(new) if new else df
 
 
@@ -65,7 +72,11 @@ def impute_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns)) if columns else df
+    for c in columns:
+        df = df.where(cell(c).isNotNull())
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            df = df.where(~F.isnan(cell(c)))
+    return df
 
 
 def impute_fill(

@@ -144,7 +144,7 @@ def handle_outliers(
         for c, f in found.items():
             if actions[c] == "flag":
                 flagged.append(out[c])
-            elif actions[c] != "remove":
+            elif actions[c] != "remove" and result.counts[c]:  # else the column keeps its type
                 new[c] = treated(values[c], out[c], actions[c], f)
         kept = result.df
         last = batch[-1]

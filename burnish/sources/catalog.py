@@ -20,8 +20,9 @@ def register(df: DataFrame, name: str) -> str:
 
 def drop(spark: SparkSession, name: str) -> None:
     """Forget a table, session-wide and stored."""
-    spark.catalog.dropTempView(name)
-    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    safe = table_name(name)
+    spark.catalog.dropTempView(safe)
+    spark.sql(f"DROP TABLE IF EXISTS `{safe}`")
 
 
 def save(df: DataFrame, name: str) -> str:

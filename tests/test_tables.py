@@ -5,10 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from burnish.functions.numbers import natural_key
 from burnish.operators.clean import CleanConfig, ColumnConfig, clean
 from burnish.operators.column_stats import column_stats
 from burnish.operators.dedup import drop_duplicate_rows
-from burnish.operators.grid import grid_filter
+from burnish.operators.grid import column_filter, grid_filter
+from burnish.operators.impute import drop_nulls, impute_zero
 from burnish.operators.multivariate import correlations
 from burnish.operators.outliers import fences
 from burnish.operators.profile import profile
@@ -216,8 +218,8 @@ def test_model_failure_falls_back_to_the_median(spark, monkeypatch):
     monkeypatch.setattr(module, "impute_mice", broken)
     cfg = CleanConfig(ml_model="mice", outlier_method="none")
     out = clean(sample(spark, "messy"), cfg, ["id"])
-    assert any("Fallback to median" in line for line in out.log)
-    assert out.log[-1] == "Done: 11 rows output (1 removed)"
+    assert any("median instead" in line for line in out.log)
+    assert out.log[-1] == "rows: in=12 out=11"
     assert {r["age"] for r in out.df.filter("id = 3 OR id = 2").collect()} == {34.0}
 
 
@@ -240,3 +242,33 @@ def test_every_operator_has_a_query_or_a_test():
     # Tested in this file: drop, store, samples, the clean log, the model fallback.
     assert ids - covered == {"S6", "S8", "S16", "C17", "M14"}
     assert covered <= ids
+
+
+def test_cleaning_keeps_long_ids_and_the_order_of_rows(spark):
+    """Whole numbers stay whole; the order key is read before its own outliers are capped."""
+    base = 9_007_199_254_740_993
+    keys = [*range(1, 21), 1000, 1001, 1002, 2000]
+    rows = [(base + i, k, None if k == 1002 else float(i)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "id long, k int, x double")
+    cfg = CleanConfig(duplicates="none", outlier_method="iqr", outlier_action="cap",
+                      missing_strategy="ffill")
+    out = clean(df, cfg, order_by=["k"]).df
+    assert out.columns == df.columns and out.schema["id"].dataType.simpleString() == "bigint"
+    got = {r["id"]: r["x"] for r in out.collect()}
+    assert got == {base + i: float(21 if i == 22 else i) for i in range(24)}
+    rounds = impute_zero(spark.createDataFrame([(base, None), (None, 1)], "a long, b int"), ["a", "b"])
+    assert sorted(map(tuple, rounds.collect())) == [(0, 1), (base, 0)]
+
+
+def test_nan_is_no_number_in_filters(spark):
+    df = spark.createDataFrame([(float("nan"),), (2.0,), (-1.0,)], "`a.b` double")
+    assert df.where(column_filter(df, "a.b", ">0")).count() == 1
+    assert df.where(column_filter(df, "a.b", ">=-5")).count() == 2
+    assert drop_nulls(df, ["a.b"]).count() == 2
+
+
+def test_long_digit_runs_sort_naturally(spark):
+    names = ["a" + "9" * 30, "a" + "1" * 31, "a2", "a10", "a010b"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["n"] for r in df.orderBy(natural_key(F.col("n"))).collect()]
+    assert got == ["a2", "a10", "a010b", "a" + "9" * 30, "a" + "1" * 31]
