@@ -399,11 +399,11 @@ def _degrees(table: pa.Table) -> pa.Table:
     return pa.table({"digest": pa.array(digest, pa.binary()), "n": pa.array(links)})
 
 
-def join_classes(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes of digests, and the documents' digests.
+def linked_digests(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of digests, the documents' digests, and the shingles of the candidates.
 
-    The first has ``digest, root, n_links`` for every digest that is linked to another; the second
-    ``doc_id, digest`` for every document with words.
+    The first has ``digest, root`` for every digest that is linked to another, the second
+    ``doc_id, digest`` for every document with words, the third ``digest, grams``.
     """
     ship(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -453,13 +453,22 @@ def join_classes(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     more = dealt.groupBy("group", "i", "j").applyInArrow(_across, "a binary, b binary")
     roots = components(links.union(written(more, "across")))
     roots = written(roots.select(F.col("node").alias("digest"), "root"), "roots")
+    return roots, sketch.select("doc_id", "digest"), grams
+
+
+def join_classes(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes of digests with exact link counts, and the documents' digests.
+
+    The first has ``digest, root, n_links`` for every digest that is linked to another; the second
+    ``doc_id, digest`` for every document with words.
+    """
+    roots, docs, grams = linked_digests(df, text)
     sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "class-sizes")
     members = roots.join(sizes, "root").join(grams, "digest")
     dealt = _block_pairs(members, "root", ["digest", "grams"])
     counts = dealt.groupBy("group", "i", "j").applyInArrow(_degrees, "digest binary, n bigint")
     counts = counts.groupBy("digest").agg(F.sum("n").alias("n_links"))
-    classes = written(roots.join(counts, "digest"), "classes")
-    return classes, sketch.select("doc_id", "digest")
+    return written(roots.join(counts, "digest"), "classes"), docs
 
 
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
@@ -497,8 +506,8 @@ def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
     Of rows that repeat this ``doc_id`` and text one stays. Documents without words all stay.
     """
     names = [F.col(f"`{c}`") for c in df.columns]
-    classes, docs = join_classes(df, text)
-    linked = docs.join(classes.select("digest", "root"), "digest", "left").withColumn(
+    roots, docs, _ = linked_digests(df, text)
+    linked = docs.join(roots, "digest", "left").withColumn(
         "root", F.coalesce("root", "digest")
     )
     linked = written(linked, "linked")
