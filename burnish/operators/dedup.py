@@ -1,14 +1,14 @@
 """Duplicate rows: keep the first, the last or none of a group.
 
-Survivors come out of a grouped aggregate, which is combined in every task before the
-shuffle: a group that holds a third of the table costs one row per task.
+First and last come out of a rank whose limit is pushed below the shuffle, ``drop_all`` out of a
+grouped aggregate: a group that holds a third of the table costs one row per task either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.functions.names import cell
@@ -34,15 +34,13 @@ def drop_duplicate_rows(
         return df.distinct()
     keys = list(subset or data_columns(df))
     position = list(order_by) or ([ROW_ORDER] if ROW_ORDER in df.columns else [])
-    row = F.struct(*[cell(c) for c in df.columns])
-    if position:
-        at = F.struct(*[cell(c) for c in position])
-        survivor = F.max_by(row, at) if keep == "keep_last" else F.min_by(row, at)
-    else:
-        survivor = F.first(row)
-    groups = df.groupBy(*row_keys(df, keys)).agg(
-        survivor.alias("__row"), *([F.count("*").alias("__n")] if keep == "drop_all" else [])
-    )
+    found = row_keys(df, keys)
     if keep == "drop_all":
-        groups = groups.filter(F.col("__n") == 1)
-    return groups.select("__row.*")
+        row = F.struct(*[cell(c) for c in df.columns])
+        groups = df.groupBy(*found).agg(F.first(row).alias("__row"), F.count("*").alias("__n"))
+        return groups.filter(F.col("__n") == 1).select("__row.*")
+    last = keep == "keep_last"
+    order = [cell(c).desc() if last else cell(c).asc() for c in position] or [F.col("__k0")]
+    ranks = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(*order)
+    ranked = df.select("*", *found).withColumn("__rank", F.row_number().over(ranks))
+    return ranked.filter(F.col("__rank") == 1).select(*[cell(c) for c in df.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,20 +70,51 @@ def _is_text_group(df: DataFrame, group: Mapping[str, Column]) -> bool:
     return is_text(df.select(next(iter(group.values())).alias("v")).schema["v"].dataType)
 
 
-def _whole_texts(
-    df: DataFrame, group: Mapping[str, Column], digests: Sequence[tuple[str, str]]
-) -> dict[tuple[str, str], str]:
-    """The text behind each ``(column, digest)``; a few per column are asked for."""
-    wanted = small_table(df.sparkSession, digests, "column string, key string")
-    found = (
+def _smallest_texts(
+    df: DataFrame,
+    group: Mapping[str, Column],
+    counts: DataFrame,
+    wanted: Mapping[tuple[str, int, str], int],
+) -> dict[tuple[str, int, str], list[str]]:
+    """The smallest long texts, in order, of each ``(column, n, first characters)`` wanted.
+
+    Texts that share their count and their first characters are ranked by the whole text. At most
+    ``k`` classes per column are asked for; a text is combined in every task before the shuffle.
+    """
+    classes = F.broadcast(
+        small_table(
+            df.sparkSession,
+            [(*key, most) for key, most in wanted.items()],
+            "column string, n bigint, head string, most int",
+        )
+    )
+    long = F.length("value") > SHORT
+    head = F.substring("value", 1, SHORT).alias("head")
+    tied = (
+        counts.filter(long)
+        .select("column", F.col("value").alias("key"), "n", head)
+        .join(classes, ["column", "n", "head"])
+    )
+    texts = (
         melt(df, group)
-        .filter(F.length("value") > SHORT)
-        .select("column", short_key(F.col("value")).alias("key"), F.col("value").alias("text"))
-        .join(F.broadcast(wanted), ["column", "key"])
-        .groupBy("column", "key")
-        .agg(F.min("text").alias("text"))
+        .filter(long)
+        .select("column", "value", head)
+        .join(F.broadcast(classes.select("column", "head").distinct()), ["column", "head"], "left_semi")
+        .groupBy("column", short_key(F.col("value")).alias("key"))
+        .agg(F.min("value").alias("text"))
+    )
+    order = Window.partitionBy("column", "n", "head").orderBy("text")
+    found = (
+        texts.join(tied, ["column", "key"])
+        .withColumn("place", F.row_number().over(order))
+        .filter((F.col("place") <= max(wanted.values())) & (F.col("place") <= F.col("most")))
+        .select("column", "n", "head", "place", "text")
+        .collect()
     )
-    return {(r["column"], r["key"]): r["text"] for r in found.collect()}
+    out: dict[tuple[str, int, str], list[str]] = {}
+    for column, n, start, _, text in sorted(tuple(r) for r in found):
+        out.setdefault((column, n, start), []).append(text)
+    return out
 
 
 def ranked_values(
@@ -103,10 +135,15 @@ def ranked_values(
             found = counts.groupBy("column").agg(F.count("*").alias("n"))
             rows = rows.union(found.select("column", F.lit(0), none, "n"))
         top = [tuple(r) for r in rows.collect()]
-        digests = [(c, v) for c, _, v, _ in top if text and v is not None and len(v) > SHORT]
-        if digests:
-            whole = _whole_texts(df, group, digests)
-            top = [(c, r, whole.get((c, v), v), n) for c, r, v, n in top]
+        cut = [
+            (c, n, v[:SHORT]) if text and v is not None and len(v) > SHORT else None
+            for c, _, v, n in top
+        ]
+        if any(cut):
+            wanted = Counter(key for key in cut if key)
+            whole = {k: iter(v) for k, v in _smallest_texts(df, group, counts, wanted).items()}
+            by_rank = sorted(zip(top, cut), key=lambda r: r[0][:2])
+            top = [(c, r, next(whole[key]) if key else v, n) for (c, r, v, n), key in by_rank]
         out += top
     return sorted(out, key=lambda r: (r[0], r[1]))
 

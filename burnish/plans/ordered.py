@@ -19,12 +19,14 @@ from burnish.plans.materialize import materialize
 
 RANGE, TIE = "__range", "__tie"
 ROWS_PER_RANGE = 1_000_000
+# More rows make larger ranges, not more of them.
+MOST_RANGES = 20_000
 
 
 def into_ranges(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Range-partition by ``keys`` and record each row's range in ``__range``."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    n = max(cores, math.ceil(df.count() / ROWS_PER_RANGE))
+    n = max(cores, min(MOST_RANGES, math.ceil(df.count() / ROWS_PER_RANGE)))
     ranged = df.repartitionByRange(n, *keys).withColumn(RANGE, F.spark_partition_id())
     return materialize(ranged)
 
@@ -59,7 +61,7 @@ def fill_ordered(
     )
     at_edge = (F.col("__key") == F.col("__first")) | (F.col("__key") == F.col("__last"))
     spanning = (
-        keyed.join(F.broadcast(edges), RANGE)
+        keyed.join(edges, RANGE)
         .filter(at_edge)
         .groupBy(RANGE, "__key")
         .agg(*near.values())
@@ -82,7 +84,7 @@ def fill_ordered(
         Window.partitionBy(RANGE, "__key").orderBy(*walk)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = keyed.join(F.broadcast(carried), [RANGE, "__key"], "left")
+    joined = keyed.join(carried, [RANGE, "__key"], "left")
     filled = {
         c: F.coalesce(F.last(cell(c), ignorenulls=True).over(local), F.col(f"__p{i}"))
         for i, c in enumerate(columns)

@@ -8,11 +8,15 @@ there, the counting scan returns them with their multiplicities, and they are th
 answer; else the next round works inside the interval. Each scan shuffles a few rows
 per task and column. A poor sketch costs another round and never a wrong answer, and
 a hot value is one key of the partial aggregation.
+
+Infinite values take part as the largest finite doubles, so that every bound is finite; ranks
+that land there are told apart by the counts of the infinite values.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
@@ -29,6 +33,7 @@ RETURN_LIMIT = 200_000
 TINY = 100_000
 _GRID = 2_000
 _ACCURACY = 10_000
+_MAX = sys.float_info.max
 
 
 @dataclass
@@ -162,6 +167,32 @@ def order_statistics(
     counts: Mapping[str, int],
 ) -> dict[str, dict[int, float]]:
     """Value at each 0-based rank of each column; ``counts`` are the non-null counts."""
+    finite = {
+        c: F.when(x == math.inf, _MAX).when(x == -math.inf, -_MAX).otherwise(x)
+        for c, x in columns.items()
+    }
+    out = _finite_statistics(df, finite, ranks, counts)
+    ends = [c for c, found in out.items() if any(abs(v) == _MAX for v in found.values())]
+    if ends:
+        beyond = column_aggregates(
+            df, {c: columns[c] for c in ends},
+            lambda x: {"low": F.count_if(x == -math.inf), "high": F.count_if(x == math.inf)},
+        )
+        for c in ends:
+            low, high = beyond[c]["low"], counts[c] - beyond[c]["high"]
+            out[c] = {
+                r: -math.inf if r < low else math.inf if r >= high else v
+                for r, v in out[c].items()
+            }
+    return out
+
+
+def _finite_statistics(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    ranks: Mapping[str, Sequence[int]],
+    counts: Mapping[str, int],
+) -> dict[str, dict[int, float]]:
     open_ = [_Interval(c, sorted(set(rs)), 0, counts[c]) for c, rs in ranks.items() if rs]
     out: dict[str, dict[int, float]] = {t.column: {} for t in open_}
     if not open_:
@@ -206,10 +237,21 @@ def order_statistics(
             done, narrower = _settle(whole, pivots[c], by_column[c])
             out[c] |= done
             next_ += narrower
+        if sum(t.inside for t in next_) >= sum(t.inside for t in open_):
+            raise ArithmeticError("the counts of a round narrowed nothing")
         open_ = next_
     return out
 
 
+def _between(lo: float, hi: float, weight: float) -> float | None:
+    """Linear interpolation; NULL half way between the two infinities."""
+    if not weight or lo == hi:
+        return lo
+    if math.isinf(lo) or math.isinf(hi):
+        return None if math.isinf(lo) and math.isinf(hi) else lo if math.isinf(lo) else hi
+    return lo + (hi - lo) * weight
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -248,5 +290,5 @@ def exact_quantiles(
             result[c] = [None] * len(probabilities)
             continue
         at = values[c]
-        result[c] = [at[lo] + (at[hi] - at[lo]) * w for lo, hi, w in spots(counts[c])]
+        result[c] = [_between(at[lo], at[hi], w) for lo, hi, w in spots(counts[c])]
     return result

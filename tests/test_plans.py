@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnish.operators.chart import group_medians
-from burnish.operators.frequency import cell_counts, keep_top
+from burnish.operators.dedup import drop_duplicate_rows
+from burnish.operators.frequency import cell_counts, keep_top, top_values
 from burnish.operators.impute import impute_fill
 from burnish.plans import ordered, quantiles
 from burnish.plans.quantiles import exact_quantiles
@@ -48,6 +49,41 @@ def test_exact_quantiles(spark, monkeypatch, returned, tiny, interpolate):
         assert found[c] == pytest.approx(expected, abs=1e-12)
 
 
+@pytest.mark.parametrize("returned,tiny", [(200_000, 100_000), (200_000, 0), (60, 0)])
+def test_quantiles_of_infinite_values(spark, monkeypatch, returned, tiny):
+    """Infinite values and the largest doubles, next to a column without any."""
+    monkeypatch.setattr(quantiles, "RETURN_LIMIT", returned)
+    monkeypatch.setattr(quantiles, "TINY", tiny)
+    rng = np.random.default_rng(5)
+    mixed = rng.normal(size=6_000)
+    mixed[:2_000], mixed[2_000:3_500] = np.inf, -np.inf
+    mixed[3_500:3_520] = np.finfo(float).max
+    pdf = pd.DataFrame({"mixed": rng.permutation(mixed), "plain": rng.normal(size=6_000)})
+    df = spark.createDataFrame(pdf).repartition(4)
+    columns = {c: F.col(c) for c in pdf.columns}
+    found = exact_quantiles(df, columns, PROBABILITIES, interpolate=False)
+    for c in pdf.columns:
+        sorted_ = np.sort(pdf[c].to_numpy())
+        assert found[c] == [sorted_[min(int(6_000 * p), 5_999)] for p in PROBABILITIES]
+    ends = spark.createDataFrame([(-np.inf,), (np.inf,)], "x double")
+    assert exact_quantiles(ends, {"x": F.col("x")}, (0.0, 0.5, 1.0)) == {"x": [-np.inf, None, np.inf]}
+
+
+def test_long_texts_with_one_opening_rank_by_the_whole_text(spark):
+    texts = ["o" * 70 + c for c in "dbca"] * 2 + ["o" * 70 + "z"] * 3 + ["short"] * 2
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = [(r["value"][-1], r["n"]) for r in top_values(df, ["x"], 4).orderBy("rank").collect()]
+    assert got == [("z", 3), ("a", 2), ("b", 2), ("c", 2)]
+
+
+def test_first_of_a_group_is_limited_below_the_shuffle(spark):
+    df = spark.range(100).selectExpr("id", "id % 7 AS k")
+    kept = drop_duplicate_rows(df, "keep_last", ["k"], ["id"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+    assert sorted(r["id"] for r in kept.collect()) == list(range(93, 100))
+
+
 def test_quantiles_of_nulls(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
     found = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, (0.5,))
