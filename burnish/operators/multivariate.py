@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from burnish.operators.chart import running_share
 from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
 from burnish.plans.fused import small_table
-from burnish.plans.products import pair_sums
+from burnish.plans.products import PairSums, pair_sums
 
 DEFAULT_COMPONENTS = 3
 
@@ -28,6 +26,17 @@ def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return columns
 
 
+def _spread(sums: PairSums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Variances and covariances of all pairs, and each column's own deviation; 0 if constant."""
+    n = np.maximum(sums.n, 1)
+    mean = sums.x / n
+    variance = sums.xx / n - mean**2
+    # What is left of a constant column is the rounding of its mean.
+    noise = (1e-13 * np.maximum(np.abs(sums.centre), 1e-300)[:, None]) ** 2
+    variance = np.where(variance > noise, variance, 0.0)
+    return variance, sums.xy / n - mean * mean.T, np.sqrt(np.diag(variance))
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_a, column_b, correlation)`` for all pairs, Pearson, 4 decimals.
 
@@ -36,13 +45,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     columns = _numeric(df, columns)
     sums = pair_sums(df, {c: number(df, c) for c in columns})
-    n = np.maximum(sums.n, 1)
-    mean = sums.x / n
-    variance = sums.xx / n - mean**2
-    covariance = sums.xy / n - mean * mean.T
-    # What is left of a constant column is the rounding of its mean.
-    noise = (1e-13 * np.maximum(np.abs(sums.centre), 1e-300)[:, None]) ** 2
-    variance = np.where(variance > noise, variance, 0.0)
+    variance, covariance, _ = _spread(sums)
     scale = np.sqrt(variance * variance.T)
     rows = [
         (a, b, round(float(covariance[i, j] / scale[i, j]), 4) if scale[i, j] else None)
@@ -68,36 +71,29 @@ def principal_components(
 ) -> Components:
     """PCA of the standardised numeric columns, gaps at the median.
 
-    Scores use the population deviation. A component's sign makes its largest loading
+    One scan takes the medians, one the means, one the sums of all pairs; the components are the
+    eigenvectors of the correlation matrix, the scores a sum over the columns. Scores use the
+    population deviation; without any variance the shares are NULL. A component's sign makes its largest loading
     positive. ``scores`` is the input with ``pc1 .. pck``.
     """
     columns = _numeric(df, columns)
     medians, n = medians_of_gaps(df, columns)
-    filled = df.withColumns(
-        {
-            f"__f{i}": F.coalesce(number(df, c), F.lit(medians.get(c, 0.0)))
-            for i, c in enumerate(columns)
-        }
-    )
-    assembled = VectorAssembler(
-        inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__raw"
-    ).transform(filled)
-    features = assembled.select("__raw")
+    filled = {c: F.coalesce(number(df, c), F.lit(medians.get(c, 0.0))) for c in columns}
+    sums = pair_sums(df, filled)
+    _, covariance, scale = _spread(sums)
+    mean = sums.centre + np.diag(sums.x) / max(n, 1)
+    unit = np.where(scale > 0, scale, 1.0)
+    values, weights = np.linalg.eigh(covariance / np.outer(unit, unit) * np.outer(scale > 0, scale > 0))
     k = min(components, len(columns), n)
-    scaler = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True).fit(
-        features
-    )
-    model = PCA(k=k, inputCol="__z", outputCol="__pc").fit(scaler.transform(features))
-    weights = model.pc.toArray()
+    first = np.argsort(-values, kind="stable")[:k]
+    values, weights, total = np.maximum(values[first], 0.0), weights[:, first], np.sum(values)
     largest = np.abs(weights).argmax(axis=0)
-    sign = np.where(weights[largest, np.arange(k)] < 0, -1.0, 1.0)
-    # The library scales by the sample deviation; the convention here is the population one.
-    factor = sign * (np.sqrt(n / (n - 1)) if n > 1 else 1.0)
+    weights = weights * np.where(weights[largest, np.arange(k)] < 0, -1.0, 1.0)
     spark = df.sparkSession
     explained = running_share(
         small_table(
             spark,
-            [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())],
+            [(i + 1, float(v / total) if total > 0 else None) for i, v in enumerate(values)],
             "component int, explained double",
         ),
         "component",
@@ -106,14 +102,20 @@ def principal_components(
     )
     loadings = small_table(
         spark,
-        [(i + 1, c, float(weights[j, i] * sign[i]))
+        [(i + 1, c, float(weights[j, i]))
          for i in range(k) for j, c in enumerate(columns)],
         "component int, feature string, loading double",
     )
-    projected = model.transform(scaler.transform(assembled))
-    pc = vector_to_array("__pc")
-    scores = projected.select(
+    away = {c: (x - F.lit(float(m))) / F.lit(float(u)) for (c, x), m, u in zip(filled.items(), mean, unit)}
+    scores = df.select(
         *[cell(c) for c in df.columns],
-        *[(pc[i] * F.lit(float(factor[i]))).alias(f"pc{i + 1}") for i in range(k)],
+        *[
+            sum(
+                (a * F.lit(float(weights[j, i]) if scale[j] > 0 else 0.0)
+                 for j, a in enumerate(away.values())),
+                F.lit(0.0),
+            ).alias(f"pc{i + 1}")
+            for i in range(k)
+        ],
     )
     return Components(explained, loadings, scores)

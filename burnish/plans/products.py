@@ -19,7 +19,7 @@ from burnish.plans.fused import aggregate_row, column_aggregates
 
 # Up to this many columns the pairs fit one wide aggregate of reasonable size.
 FEW_COLUMNS = 6
-_GROUPS = 64
+_TERMS = ("n", "x", "xx", "xy")
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def _by_aggregate(df: DataFrame, xs: list[Column]) -> list[np.ndarray]:
 
 def _by_matrices(df: DataFrame, xs: list[Column]) -> list[np.ndarray]:
     p = len(xs)
-    schema = "part int, sums array<double>"
+    i, j = (k.ravel().astype(np.int32) for k in np.indices((p, p)))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((4, p, p))
@@ -85,18 +85,15 @@ def _by_matrices(df: DataFrame, xs: list[Column]) -> list[np.ndarray]:
             known = ~np.isnan(x)
             m, x = known.astype(float), np.where(known, x, 0.0)
             total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        yield pd.DataFrame({"part": [0], "sums": [total.ravel()]})
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [np.sum(rows["sums"])]})
-
-    wide = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)])
-    parts = wide.mapInPandas(partial, schema).withColumn(
-        "part", F.spark_partition_id() % F.lit(_GROUPS)
-    )
-    added = parts.groupBy("part").applyInPandas(add, schema).collect()
-    total = np.sum([np.asarray(r["sums"]) for r in added], axis=0) if added else np.zeros(4 * p * p)
-    return list(np.reshape(total, (4, p, p)))
+        yield pd.DataFrame({"i": i, "j": j} | dict(zip(_TERMS, total.reshape(4, -1))))
+
+    wide = df.select(*[x.alias(f"x{k}") for k, x in enumerate(xs)])
+    parts = wide.mapInPandas(partial, "i int, j int, n double, x double, xx double, xy double")
+    added = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _TERMS]).collect()
+    total = np.zeros((4, p, p))
+    for r in added:
+        total[:, r["i"], r["j"]] = [r[c] for c in _TERMS]
+    return list(total)
 
 
 def gram(df: DataFrame, xs: list[Column]) -> np.ndarray:
