@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from burnish.functions.names import cell
 from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
+from burnish.plans.materialize import materialize
 from burnish.plans.quantiles import exact_quantiles
 from burnish.plans.shipping import ship
 
 SCORE, IS_ANOMALY = "_anomaly_score", "_is_anomaly"
 TREES, SAMPLE, SEED = 100, 256, 42
-_POOL = TREES * SAMPLE
 _MARGIN = 1.5
 _EULER = 0.5772156649015329
 
@@ -95,9 +95,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def _sample_rows(
-    df: DataFrame, features: Sequence[Column], row_key: Sequence[str], n: int
+    df: DataFrame, features: Sequence[Column], row_key: Sequence[str], n: int, pool: int
 ) -> np.ndarray:
-    """At most ``_POOL`` rows at random, at most a few times that on the way.
+    """At most ``pool`` rows at random, at most a few times that on the way.
 
     With a row key the draw depends on the key alone; without one, on the row's place.
     """
@@ -107,21 +107,27 @@ def _sample_rows(
     else:
         draw = F.rand(SEED)
     values = df.select(draw.alias("draw"), F.array(*features).alias("x"))
-    share = min(1.0, _MARGIN * _POOL / max(n, 1))
-    picked = values.filter(F.col("draw") < share).orderBy("draw", "x").limit(_POOL).collect()
+    share = min(1.0, _MARGIN * pool / max(n, 1))
+    picked = values.filter(F.col("draw") < share).orderBy("draw", "x").limit(pool).collect()
     return np.array([r["x"] for r in picked], dtype=float).reshape(len(picked), len(features))
 
 
 def fit_forest(
-    df: DataFrame, features: Sequence[Column], row_key: Sequence[str] = (), n: int | None = None
+    df: DataFrame,
+    features: Sequence[Column],
+    row_key: Sequence[str] = (),
+    n: int | None = None,
+    trees: int = TREES,
+    sample: int = SAMPLE,
 ) -> Forest:
+    """Grow ``trees`` trees from ``sample`` rows each, drawn from ``trees * sample`` rows."""
     spark = df.sparkSession
     n = df.count() if n is None else n
-    pool = _sample_rows(df, features, row_key, n)
+    pool = _sample_rows(df, features, row_key, n, trees * sample)
     if not len(pool):
         raise ValueError("an isolation forest needs at least one row")
     ship(spark)
-    size = min(SAMPLE, len(pool))
+    size = min(sample, len(pool))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     shared = spark.sparkContext.broadcast(pool)
 
@@ -135,7 +141,7 @@ def fit_forest(
                 out = pd.DataFrame(_grow(data[chosen], rng, limit), columns=names)
                 yield out.assign(tree=tree, node=np.arange(len(out)))
 
-    grown = spark.range(0, TREES, 1, spark.sparkContext.defaultParallelism).mapInPandas(
+    grown = spark.range(0, trees, 1, spark.sparkContext.defaultParallelism).mapInPandas(
         grow,
         "feature int, threshold double, left int, right int, length double, tree long, node int",
     )
@@ -171,28 +177,25 @@ def anomaly_scores(
     columns: Sequence[str] | None = None,
     row_key: Sequence[str] = (),
     flag: str = IS_ANOMALY,
+    trees: int = TREES,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """The input with ``_is_anomaly`` (0/1) and ``_anomaly_score`` (4 decimals).
 
     Missing numbers count as the column's median. Rows whose score lies below the
-    ``contamination`` quantile of all scores are anomalies.
+    ``contamination`` quantile of all scores are anomalies. ``trees`` trees learn from ``sample``
+    rows each; every row is scored, once.
     """
     columns = list(numeric_columns(df) if columns is None else columns)
     if not columns:
         raise ValueError("no numeric columns")
     medians, rows = medians_of_gaps(df, columns)
     features = [F.coalesce(number(df, c), F.lit(medians.get(c, 0.0))) for c in columns]
-    forest = fit_forest(df, features, row_key, rows)
-    score = _scorer(df, forest, features)
-    # Only the scores are kept for the quantile; the table itself is scored again on use.
-    scores = df.select(score.alias("score")).persist()
-    try:
-        threshold = exact_quantiles(
-            scores, {"score": F.col("score")}, (clamp_share(contamination),)
-        )["score"][0]
-    finally:
-        scores.unpersist()
-    scored = df.withColumn("__score", score)
+    forest = fit_forest(df, features, row_key, rows, trees, sample)
+    scored = materialize(df.withColumn("__score", _scorer(df, forest, features)))
+    threshold = exact_quantiles(
+        scored, {"score": F.col("__score")}, (clamp_share(contamination),)
+    )["score"][0]
     low = F.col("__score") < F.lit(threshold)
     return scored.withColumns(
         {flag: low.cast("int"), SCORE: F.round("__score", 4)}

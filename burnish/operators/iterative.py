@@ -24,7 +24,9 @@ from burnish.plans.materialize import materialize
 from burnish.plans.products import gram
 
 ROUNDS, TOLERANCE = 10, 1e-3
-FOREST_TREES, FOREST_ROUNDS, FOREST_SEED, FOREST_DEPTH = 50, 5, 42, 10
+FOREST_TREES, FOREST_ROUNDS, FOREST_SEED = 50, 5, 42
+# The deepest trees that the library grows.
+FOREST_DEPTH = 30
 _RIDGE_ROUNDS, _RIDGE_TOLERANCE, _PRIOR = 300, 1e-3, 1e-6
 
 
@@ -147,6 +149,7 @@ def impute_random_forest(
     rounds: int = FOREST_ROUNDS,
     trees: int = FOREST_TREES,
     tolerance: float = TOLERANCE,
+    max_depth: int = FOREST_DEPTH,
 ) -> DataFrame:
     """The same rounds with a random forest per column with gaps."""
     chain = _Chain(df, columns)
@@ -161,7 +164,7 @@ def impute_random_forest(
     for _ in range(rounds):
         step = work.select("*", *[F.col(x).alias(f"__was_{x}") for x in chain.x])
         for c in chain.gaps:
-            step = _forest_step(complete, step, chain, chain.at(c), trees)
+            step = _forest_step(complete, step, chain, chain.at(c), trees, max_depth)
         step = materialize(step)
         largest = step.agg(F.max(chain.moved())).first()[0] or 0.0
         work = step.drop(*[f"__was_{x}" for x in chain.x])
@@ -171,7 +174,7 @@ def impute_random_forest(
 
 
 def _forest_step(
-    complete: DataFrame, step: DataFrame, chain: _Chain, i: int, trees: int
+    complete: DataFrame, step: DataFrame, chain: _Chain, i: int, trees: int, max_depth: int
 ) -> DataFrame:
     """Learn from every row that has the column, predict the rows that lack it."""
     features = VectorAssembler(
@@ -184,7 +187,7 @@ def _forest_step(
         labelCol=chain.x[i],
         predictionCol="__predicted",
         numTrees=trees,
-        maxDepth=FOREST_DEPTH,
+        maxDepth=max_depth,
         featureSubsetStrategy="all",
         seed=FOREST_SEED,
     ).fit(features.transform(known).select("__features", chain.x[i]))
