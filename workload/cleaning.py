@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from burnish.operators.clean import CleanConfig, ColumnConfig, clean, round_output
@@ -21,6 +24,7 @@ from burnish.operators.iterative import impute_mice, impute_random_forest
 from burnish.operators.nearest import impute_knn
 from burnish.operators.outliers import handle_outliers
 from burnish.operators.strings import changed_cells, clean_strings
+from burnish.plans.fused import small_table
 from burnish.sources.catalog import save_anomalies, save_cleaned
 from workload.grid_and_chart import DIRTY_EVENTS
 from workload.profiles import GAPPY
@@ -208,7 +212,7 @@ _outlier("iqr", "keep", "X11", "value")
 def _(t):
     events = t.sql(_VALUES)
     found = [(m, handle_outliers(events, m, "cap", ["value"]).total) for m in _FENCES]
-    return t.spark.createDataFrame(found, "method string, n bigint")
+    return small_table(t.spark, found, "method string, n bigint")
 
 
 @query(
@@ -375,6 +379,70 @@ def _(t):
     return rounded(impute_random_forest(t.sql(CUSTOMER_GAPS), _GAPS))
 
 
+@query(
+    "chained_ridge_on_a_linear_column",
+    "M12",
+    """SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS balance, true AS near
+       FROM {customer}""",
+)
+def _(t):
+    # score is balance / 10 + nation wherever it is known.
+    filled = impute_mice(t.sql(CUSTOMER_GAPS).drop("size"), _GAPS[:3])
+    far = F.abs(F.col("score") - F.col("balance") / 10 - F.col("nation"))
+    return filled.select("c_custkey", "nation", "balance", (far < 0.005).alias("near"))
+
+
+_FILLED = f"""SELECT count(*) AS rows, 0 AS gaps_left, 0 AS changed,
+       CAST(sum(CASE WHEN score IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS scores_filled,
+       CAST(sum(CASE WHEN size IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS sizes_filled
+       FROM ({CUSTOMER_GAPS}) v"""
+
+
+@query("random_forest_fills_gaps_alone", "M13", _FILLED)
+def _(t):
+    before = t.sql(CUSTOMER_GAPS)
+    after = impute_random_forest(before, _GAPS, rounds=2, trees=8)
+    both = before.alias("b").join(after.alias("a"), "c_custkey")
+
+    def count(condition):
+        return F.coalesce(F.sum(F.when(condition, 1)), F.lit(0)).cast("bigint")
+
+    def inside(c):  # a forest predicts nothing outside of what it has seen
+        seen = before.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+        return F.col(f"b.{c}").isNull() & F.col(f"a.{c}").between(seen["lo"], seen["hi"])
+
+    changed = [F.col(f"b.{c}") != F.col(f"a.{c}") for c in _GAPS]
+    gaps = [F.col(f"a.{c}").isNull() for c in _GAPS]
+    return both.agg(
+        F.count("*").alias("rows"),
+        count(reduce(or_, gaps)).cast("int").alias("gaps_left"),
+        count(reduce(or_, changed)).cast("int").alias("changed"),
+        count(inside("score")).alias("scores_filled"),
+        count(inside("size")).alias("sizes_filled"),
+    )
+
+
+@query(
+    "planted_anomalies",
+    "V6 X4",
+    """SELECT count(*) AS rows, CAST(sum(CASE WHEN event_id % 400 = 0 THEN 1 ELSE 0 END) AS BIGINT)
+         AS planted_flagged, true AS at_most_the_share FROM {events}""",
+)
+def _(t):
+    rows = t.sql(
+        """SELECT event_id, event_id % 400 = 0 AS planted,
+             CASE WHEN event_id % 400 = 0 THEN -1e6 - event_id ELSE user_id END AS user_id,
+             CASE WHEN event_id % 400 = 0 THEN 1e6 + event_id ELSE value END AS value FROM {events}"""
+    )
+    flagged = anomaly_scores(rows, 0.05, ["user_id", "value"], ["event_id"])
+    hit = F.col("_is_anomaly") == 1
+    return flagged.agg(
+        F.count("*").alias("rows"),
+        F.count_if(hit & F.col("planted")).alias("planted_flagged"),
+        (F.count_if(hit) <= 0.05 * F.count("*")).alias("at_most_the_share"),
+    )
+
+
 @query("anomaly_flags", "V6 X4 S13")
 def _(t):
     flagged = anomaly_scores(
@@ -436,6 +504,27 @@ def _(t):
     return clean(raw, cfg).stats.withColumn("coerced", F.col("coerced").cast("int"))
 
 
+@query(
+    "clean_log",
+    "C17",
+    """WITH raw AS (SELECT user_id % 50 AS u, event_type AS kind,
+         CASE WHEN event_id % 6 = 0 THEN NULL ELSE floor(value / 10) END AS amount FROM {events}),
+       d AS (SELECT DISTINCT u, kind, amount FROM raw)
+       SELECT 'duplicates: dropped=' || ((SELECT count(*) FROM raw) - (SELECT count(*) FROM d)) AS line
+       UNION ALL SELECT 'strings: changed=' || (SELECT count(*) FROM raw)
+       UNION ALL SELECT 'gaps: filled=' || (SELECT count(*) FROM raw WHERE amount IS NULL)
+       UNION ALL SELECT 'rows: in=' || (SELECT count(*) FROM raw) || ' out=' || (SELECT count(*) FROM d)""",
+)
+def _(t):
+    raw = t.sql(
+        """SELECT user_id % 50 AS u, concat(event_type, ' ') AS kind, CASE WHEN event_id % 6 = 0
+           THEN NULL ELSE floor(value / 10) END AS amount FROM {events}"""
+    )
+    log = clean(raw, CleanConfig(outlier_method="none", missing_strategy="zero")).log
+    shown = ("duplicates:", "strings:", "gaps: filled", "rows:")
+    return small_table(t.spark, [(x,) for x in log if x.startswith(shown)], "line string")
+
+
 @query(
     "clean_with_column_overrides",
     "C15 X13 M9 M10 M5",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from burnish.operators.typing import ROW_ORDER, infer_types
+from burnish.plans.fused import small_table
 from burnish.plans.materialize import shared_folder
+from burnish.sources.catalog import drop, save
 from burnish.sources.delimited import load_files, read_delimited, read_sniffed
 from burnish.sources.sinks import write_csv, write_json
 from burnish.sql import run_sql
@@ -94,3 +98,21 @@ def _(t):
     rows = t.sql(_RAGGED)
     write_json(rows, folder)
     return t.spark.read.schema(rows.schema).json(folder)
+
+
+@query(
+    "stored_table",
+    "S6 S8",
+    "SELECT count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customers, false AS left_over FROM {orders}",
+)
+def _(t):
+    name = save(t("orders").select("o_orderkey", "o_custkey"), f"stored orders {uuid.uuid4().hex}")
+    read = t.spark.table(name).agg(
+        F.count("*").alias("orders"), F.sum("o_custkey").cast("bigint").alias("customers")
+    )
+    found = read.first()
+    drop(t.spark, name)
+    left = t.spark.catalog.tableExists(name)
+    return small_table(
+        t.spark, [(*found, left)], "orders bigint, customers bigint, left_over boolean"
+    )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from burnish.functions.nulls import WIDE_TOKENS
 from burnish.operators.column_stats import column_stats, grid_histogram, top_prefixes
 from burnish.operators.compare import compare_columns, compare_shape, compare_stats
-from burnish.operators.frequency import duplicate_rows, top_values
+from burnish.operators.frequency import duplicate_rows, modes, top_values
 from burnish.operators.profile import profile
 from burnish.operators.quality import profile_summary, table_quality
+from burnish.plans.fused import small_table
+from burnish.plans.quantiles import exact_quantiles
 from burnish.sources.catalog import list_tables, register
 from burnish.sources.sinks import compare_report, profile_report
 from workload.grid_and_chart import DIRTY_EVENTS, sql_null, sql_prefix
@@ -203,12 +205,56 @@ def _(t):
     "top_long_texts",
     "R23 O6",
     """SELECT value, n FROM (SELECT text AS value, count(*) AS n FROM {documents} GROUP BY text) v
-       ORDER BY n DESC, substr(value, 1, 64), sha256(value) LIMIT 10""",
+       ORDER BY n DESC, value LIMIT 10""",
 )
 def _(t):
     return top_values(t("documents"), ["text"]).select("value", "n")
 
 
+@query(
+    "mode_of_long_texts",
+    "R24 M6",
+    """SELECT g, value FROM (SELECT doc_id % 3 AS g, text AS value, row_number() OVER
+         (PARTITION BY doc_id % 3 ORDER BY count(*) DESC, text) AS r
+       FROM (SELECT doc_id, concat(repeat('one opening for every text ', 4), text) AS text
+             FROM {documents} WHERE text IS NOT NULL) d GROUP BY doc_id % 3, text) v WHERE r = 1""",
+)
+def _(t):
+    docs = t.sql(
+        """SELECT doc_id % 3 AS g, concat(repeat('one opening for every text ', 4), text) AS text
+           FROM {documents} WHERE text IS NOT NULL"""
+    )
+    found = modes(docs, {str(g): F.when(F.col("g") == g, F.col("text")) for g in range(3)})
+    return small_table(t.spark, [(int(g), v) for g, v in found.items()], "g bigint, value string")
+
+
+_ENDLESS = """SELECT CASE l_partkey % 10 WHEN 0 THEN CAST('Infinity' AS DOUBLE)
+         WHEN 1 THEN CAST('-Infinity' AS DOUBLE) ELSE l_extendedprice END AS price,
+       CASE WHEN l_suppkey % 5 > 1 THEN CAST('Infinity' AS DOUBLE)
+         ELSE l_quantity * 1.0 END AS quantity FROM {lineitem}"""
+
+
+@query(
+    "quantiles_with_infinite_values",
+    "R9 R12 G6",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(quantile_cont({c}, 0.2), 4) AS low,
+            round(quantile_cont({c}, 0.3), 4) AS middle FROM ({_ENDLESS}) v"""
+        for c in ("price", "quantity")
+    ),
+)
+def _(t):
+    rows = t.sql(_ENDLESS)
+    found = exact_quantiles(rows, {c: F.col(c) for c in rows.columns}, (0.2, 0.3))
+    return rounded(
+        small_table(
+            t.spark,
+            [(c, *v) for c, v in found.items()],
+            "column string, low double, middle double",
+        )
+    )
+
+
 @query(
     "profile_quality_summary",
     "Q5 Q6",
