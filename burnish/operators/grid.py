@@ -44,9 +44,9 @@ def _compare(df: DataFrame, name: str, op: str, text: str) -> Column:
         return F.lit(False)
     # A typed column compares as it is, so that the filter reaches the scan.
     x = cell(name) if is_numeric(df.schema[name].dataType) else number(df, name, prefix=True)
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        x = F.when(~F.isnan(x), x)  # NaN is no number here, though it sorts above all of them
     test = {">=": x >= bound, "<=": x <= bound, ">": x > bound, "<": x < bound}[op]
+    if op[0] == ">" and isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        test = test & ~F.isnan(x)  # NaN is no number here, though it sorts above all of them
     return F.coalesce(test, F.lit(False)) if is_text(df.schema[name].dataType) else test
 
 
