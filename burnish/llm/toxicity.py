@@ -43,6 +43,8 @@ FEATURES, LEAST_RATIO = 3000, 28.0
 STEMS = (4, 5, 6, 7)
 #: Limits between the bins of a token's log-odds.
 BINS = (1.0, 2.0, 3.0, 4.0, 5.0)
+#: Texts that are worked on side by side: about so many bytes, and at most so many rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]{}|*"
@@ -68,6 +70,19 @@ class Model:
         return np.where(odds > 0, 1 + np.searchsorted(BINS, odds), 0).astype(np.int8)
 
 
+def slices(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Row numbers of all texts in parts of bounded size, texts of like length together.
+
+    A text longer than ``SLICE_BYTES`` is a part with the ones before it that fit.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    order = np.argsort(sizes, kind="stable")
+    part = np.cumsum(sizes[order].astype(np.int64)) // SLICE_BYTES
+    rows = np.arange(len(order)) // SLICE_ROWS
+    cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(rows) != 0)) + 1
+    yield from (p for p in np.split(order, cuts) if len(p))
+
+
 def tokens(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the tokens of all texts in a row, and where each text's begin."""
     parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -271,15 +286,21 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     return {r["feature"]: r["odds"] for r in best.select("feature", "odds").collect()}
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in slices(batch.column("text")):
+            yield batch.take(pa.array(rows))
+
+
 def _binned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins of the chain's training tokens; one byte a token comes to the driver."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, offsets = tokens(batch.column("text"), model)
+        for part in _parts(batches):
+            bins, offsets = tokens(part.column("text"), model)
             data = [bins[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("toxic"), pa.array(data, pa.binary())],
+                [part.column("key"), part.column("toxic"), pa.array(data, pa.binary())],
                 ["key", "toxic", "bins"],
             )
 
@@ -295,12 +316,12 @@ def _binned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _fitted_curve(rows: DataFrame, model: Model) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, offsets = tokens(batch.column("text"), model)
+        for part in _parts(batches):
+            bins, offsets = tokens(part.column("text"), model)
             p = marginals(_potentials(bins, offsets, model.node), offsets, model.edge)[0]
             x = summary(p, offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("toxic"), *[pa.array(c) for c in x.T[1:]]],
+                [part.column("key"), part.column("toxic"), *[pa.array(c) for c in x.T[1:]]],
                 ["key", "toxic", "x1", "x2", "x3"],
             )
 
@@ -322,20 +343,20 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<score:double,spans:array<struct<start:int,end:int>>>")
     def scored(texts: pa.Array) -> pa.Array:
-        out = []
+        out: list[dict | None] = [None] * len(texts)
         m = shared.value
-        for at in range(0, len(texts), 4096):
-            part = texts.slice(at, 4096)
+        for rows in slices(texts):
+            part = texts.take(pa.array(rows))
             bins, offsets = tokens(part, m)
             p = marginals(_potentials(bins, offsets, m.node), offsets, m.edge)[0]
             z = np.clip(summary(p, offsets) @ m.curve, -30, 30)
             scores = 1 / (1 + np.exp(-z))
-            high = np.add.reduceat(np.append(p >= 0.5, False), offsets[:-1]) if len(part) else []
+            high = np.add.reduceat(np.append(p >= 0.5, False), offsets[:-1])
             for i, s in enumerate(scores):
                 spans = []
                 if offsets[i + 1] > offsets[i] and high[i]:
                     spans = _spans(part[i].as_py(), p[offsets[i]:offsets[i + 1]] >= 0.5)
-                out.append({"score": float(s), "spans": spans})
+                out[rows[i]] = {"score": float(s), "spans": spans}
         return pa.array(out, type=kind)
 
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "toxic_spans")]
