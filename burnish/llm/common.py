@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,23 @@ from burnish.plans.materialize import shared_folder
 
 #: White space of the word counts, as a regular expression class body.
 BLANKS = r"\x20\x09-\x0D"
+#: Texts that a Python task works on side by side: about so many bytes, and at most so many rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+
+
+def slices(texts: pa.Array, by_length: bool = False) -> Iterator[np.ndarray]:
+    """Row numbers of all texts in parts of bounded size, in order or texts of like length together.
+
+    A text longer than ``SLICE_BYTES`` is a part with the ones before it that fit. What Arrow
+    holds unused goes back to the system at the end, so idle workers stay small.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    order = np.argsort(sizes, kind="stable") if by_length else np.arange(len(sizes))
+    part = np.cumsum(sizes[order].astype(np.int64)) // SLICE_BYTES
+    rows = np.arange(len(order)) // SLICE_ROWS
+    cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(rows) != 0)) + 1
+    yield from (p for p in np.split(order, cuts) if len(p))
+    pa.default_memory_pool().release_unused()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import BLANKS, written
+from burnish.llm.common import BLANKS, slices, written
 from burnish.plans.shipping import ship
 
 WORDS = 5
@@ -148,8 +148,8 @@ def _bands(mins: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, digest, mins, bands`` of the documents that have words."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
+        for rows in slices(batch.column("text")):
+            part = batch.slice(int(rows[0]), len(rows))
             hashes, offsets = word_hashes(part.column("text"))
             digest = pa.array(_digests(hashes, offsets), pa.binary())
             some = np.diff(offsets) > 0
@@ -171,16 +171,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``digest, grams``: the sorted shingle hashes of the documents that have words."""
     for batch in batches:
-        hashes, offsets = word_hashes(batch.column("text"))
-        values, starts = shingles(hashes, offsets)
-        for i, digest in enumerate(_digests(hashes, offsets)):
-            if digest:
-                own = np.unique(values[starts[i]:starts[i + 1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))],
-                    ["digest", "grams"],
-                )
+        for rows in slices(batch.column("text")):
+            hashes, offsets = word_hashes(batch.column("text").slice(int(rows[0]), len(rows)))
+            values, starts = shingles(hashes, offsets)
+            for i, digest in enumerate(_digests(hashes, offsets)):
+                if digest:
+                    own = np.unique(values[starts[i]:starts[i + 1]]).view(np.int64)
+                    cuts = pa.array([0, len(own)], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([digest], pa.binary()),
+                         pa.ListArray.from_arrays(cuts, pa.array(own))],
+                        ["digest", "grams"],
+                    )
 
 
 @cache
@@ -531,6 +533,9 @@ def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
 def _digest_udf():
     @F.arrow_udf("binary")
     def digest(texts: pa.Array) -> pa.Array:
-        return pa.array(_digests(*word_hashes(texts)), pa.binary())
+        out: list[bytes | None] = []
+        for rows in slices(texts):
+            out += _digests(*word_hashes(texts.slice(int(rows[0]), len(rows))))
+        return pa.array(out, pa.binary())
 
     return digest

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import hash_key, written
+from burnish.llm.common import hash_key, slices, written
 from burnish.plans.shipping import ship
 
 #: Labelled documents the model is fitted on at most, and those that train the chain.
@@ -43,8 +43,6 @@ FEATURES, LEAST_RATIO = 3000, 28.0
 STEMS = (4, 5, 6, 7)
 #: Limits between the bins of a token's log-odds.
 BINS = (1.0, 2.0, 3.0, 4.0, 5.0)
-#: Texts that are worked on side by side: about so many bytes, and at most so many rows.
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]{}|*"
@@ -70,19 +68,6 @@ class Model:
         return np.where(odds > 0, 1 + np.searchsorted(BINS, odds), 0).astype(np.int8)
 
 
-def slices(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Row numbers of all texts in parts of bounded size, texts of like length together.
-
-    A text longer than ``SLICE_BYTES`` is a part with the ones before it that fit.
-    """
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    order = np.argsort(sizes, kind="stable")
-    part = np.cumsum(sizes[order].astype(np.int64)) // SLICE_BYTES
-    rows = np.arange(len(order)) // SLICE_ROWS
-    cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(rows) != 0)) + 1
-    yield from (p for p in np.split(order, cuts) if len(p))
-
-
 def tokens(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the tokens of all texts in a row, and where each text's begin."""
     parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -251,7 +236,7 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Log-odds of the features that stand out in toxic documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 own = {f for w in set(_TOKEN.findall((text or "").lower())) for f in features(w)}
@@ -288,7 +273,7 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in slices(batch.column("text")):
+        for rows in slices(batch.column("text"), by_length=True):
             yield batch.take(pa.array(rows))
 
 
@@ -345,7 +330,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(texts: pa.Array) -> pa.Array:
         out: list[dict | None] = [None] * len(texts)
         m = shared.value
-        for rows in slices(texts):
+        for rows in slices(texts, by_length=True):
             part = texts.take(pa.array(rows))
             bins, offsets = tokens(part, m)
             p = marginals(_potentials(bins, offsets, m.node), offsets, m.edge)[0]
