@@ -11,11 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burnish.plans.materialize import shared_folder
+from burnish.plans.shipping import ship
 
 #: White space of the word counts, as a regular expression class body.
 BLANKS = r"\x20\x09-\x0D"
 #: Texts that a Python task works on side by side: about so many bytes, and at most so many rows.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+#: Bytes of an Arrow batch between Spark and Python, where the session sets none.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the tasks and bound the batches of text they get."""
+    ship(spark)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def slices(texts: pa.Array, by_length: bool = False) -> Iterator[np.ndarray]:

@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.plans.shipping import ship
 
 #: Edits allowed per character of an item.
 RATE = 0.08
@@ -197,7 +196,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                rate: float = RATE) -> DataFrame:
     """Add ``matches``: for every item found its best place in the text."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     found = [
         _finder(spark.sparkContext.broadcast(block), rate)(F.col(f"`{text}`"))
         for block in _blocks(benchmark)

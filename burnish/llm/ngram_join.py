@@ -35,8 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import BLANKS, slices, written
-from burnish.plans.shipping import ship
+from burnish.llm.common import BLANKS, prepare, slices, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -407,7 +406,7 @@ def linked_digests(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     The first has ``digest, root`` for every digest that is linked to another, the second
     ``doc_id, digest`` for every document with words, the third ``digest, grams``.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"),
                      F.col(f"`{text}`").alias("text"))
     sketch = written(

@@ -32,8 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import hash_key, slices, written
-from burnish.plans.shipping import ship
+from burnish.llm.common import hash_key, prepare, slices, written
 
 #: Labelled documents the model is fitted on at most, and those that train the chain.
 ROWS, CHAIN_ROWS = 8000, 1200
@@ -208,7 +207,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents outside the held-out fold."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -321,7 +320,7 @@ def _fitted_curve(rows: DataFrame, model: Model) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``score`` and ``toxic_spans`` (code points, end exclusive) to the documents."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(
         pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
