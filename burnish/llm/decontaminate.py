@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.llm.common import prepare
+
 
 #: Edits allowed per character of an item.
 RATE = 0.08
