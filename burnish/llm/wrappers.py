@@ -68,20 +68,39 @@ _ASIDE = frozenset("nav aside form footer button select dialog head menu".split(
 _ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
 )
-_ASIDE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|sidebar|side|nav|"
-    r"navbar|navigation|menu|breadcrumb|breadcrumbs|footer|cookie|cookies|consent|notice|notices|"
-    r"alert|banner|popup|modal|newsletter|subscribe|comment|comments|replies|discussion|related|"
-    r"recommended|share|sharing|social|toolbar|login|search|pagination|pager|masthead)"
-    r"(?:$|[-_\s])",
-    re.I,
+#: Whole class names and ids; ``_`` counts as ``-``.
+_ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar side nav "
+    "navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent notice notices "
+    "alert banner popup modal newsletter subscribe comment comments replies discussion related "
+    "recommended share sharing social toolbar login search pagination pager masthead "
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper left-sidebar right-sidebar "
+    "sidebar-left sidebar-right sidebar-primary sidebar-secondary widget-area nav-bar nav-menu "
+    "main-nav main-menu main-navigation site-nav site-navigation top-nav top-menu side-nav "
+    "side-menu side-bar page-footer site-footer main-footer footer-links footer-nav footer-menu "
+    "cookie-banner cookie-bar cookie-consent cookie-notice cookie-popup consent-banner "
+    "newsletter-signup newsletter-form subscribe-form comment-list comment-form comments-area "
+    "comments-section related-articles related-posts related-links recommended-articles "
+    "recommended-posts share-buttons share-links share-bar social-links social-icons social-media "
+    "social-share login-form search-form search-box search-bar page-navigation post-navigation "
+    "menu-bar modal-dialog".split()
 )
+# Those that are also topics or notes: inside an article or main they name content, as ids all
+# of them, as classes the second ones.
+_TOPICS = frozenset(
+    "ad ads advertising alert banner comment consent cookie cookies discussion login menu modal "
+    "navigation newsletter notice notices promo recommended related replies search share sharing "
+    "side social sponsor sponsored subscribe social-media".split()
+)
+_NOTES = frozenset("alert discussion login notice notices search side".split())
+_SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+_BY_NAME, _HIDDEN = 1, 2  # kinds of aside
 
 
 class Node:
     __slots__ = ("label", "tag", "aside", "children", "text", "size", "key")
 
-    def __init__(self, label: str, tag: str, aside: bool):
+    def __init__(self, label: str, tag: str, aside: int):
         self.label, self.tag, self.aside = label, tag, aside
         self.children: list = []
         self.text: str | None = None
@@ -89,7 +108,21 @@ class Node:
         self.key = 0  # equal for subtrees of equal labels
 
 
-def _element(tag: str, attributes: str, inside_article: bool) -> Node:
+def _named_aside(tag: str, classes: str, own_id: str, articles: int, mains: int) -> bool:
+    """Whether a class or the id says that the element is not main text."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    inside = articles or mains
+    for name in classes.lower().replace("_", "-").split():
+        if name in _ASIDE_NAMES and not (inside and name in _NOTES):
+            return True
+    name = own_id.strip().lower().replace("_", "-")
+    if name not in _ASIDE_NAMES or tag in _SECTIONS and (articles or tag != "section"):
+        return False
+    return not (inside and name in _TOPICS)
+
+
+def _element(tag: str, attributes: str, articles: int, mains: int) -> Node:
     names = {}
     if "=" in attributes:
         for m in _NAMES.finditer(attributes):
@@ -98,21 +131,51 @@ def _element(tag: str, attributes: str, inside_article: bool) -> Node:
     aside = (
         tag in _ASIDE
         or tag in _RAW
-        or (tag == "header" and not inside_article)
+        or (tag == "header" and not (articles or mains))
         or names.get("role", "").lower() in _ASIDE_ROLES
-        or bool(marks and tag not in ("html", "body", "article", "main")
-                and _ASIDE_NAMES.search(marks))
-        or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+        or bool(marks and _named_aside(tag, names.get("class", ""), names.get("id", ""),
+                                       articles, mains))
     )
+    hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)
     label = f"{tag} {marks.split()[0].lower()}" if marks else tag
-    return Node(label, tag, aside)
+    return Node(label, tag, _HIDDEN if hidden else _BY_NAME if aside else 0)
+
+
+def _shown(node: Node) -> int:
+    """Characters of text outside what stands aside."""
+    total, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        if x.text is not None:
+            total += len(x.text.strip())
+        stack.extend(c for c in x.children if not c.aside)
+    return total
+
+
+def _release(root: Node, held: list[tuple[Node, list[Node]]], free: bool) -> None:
+    """Elements that hold the main text are not aside, whatever their names say.
+
+    ``held`` are the articles and mains inside aside elements, with these. A main always frees
+    them. Articles do so if none stands ``free`` and they hold more text than the rest of the page;
+    else they are teasers or comments.
+    """
+    articles = [x for x in held if x[0].tag == "article"]
+    chosen = {id(a) for a, _ in articles}
+    if free or sum(_shown(a) for a, _ in articles) <= _shown(root):
+        chosen = set()
+    for region, around in held:
+        if region.tag == "main" or id(region) in chosen:
+            for x in around:
+                if x.aside == _BY_NAME:
+                    x.aside = 0
 
 
 def parse(page: str) -> Node:
     """The page's elements and text; comments, scripts and styles are left out."""
-    root = Node("#page", "#page", False)
+    root = Node("#page", "#page", 0)
     stack = [root]
-    articles = 0
+    articles = mains = 0
+    held, free = [], False
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -128,7 +191,7 @@ def parse(page: str) -> Node:
             if top and top[-1].text is not None:
                 top[-1].text += piece
             else:
-                leaf = Node("#text", "#text", False)
+                leaf = Node("#text", "#text", 0)
                 leaf.text = piece
                 top.append(leaf)
             continue
@@ -136,7 +199,8 @@ def parse(page: str) -> Node:
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    articles -= sum(x.tag in ("article", "main") for x in stack[i:])
+                    articles -= sum(x.tag == "article" for x in stack[i:])
+                    mains -= sum(x.tag == "main" for x in stack[i:])
                     del stack[i:]
                     break
             continue
@@ -153,11 +217,19 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in _SCOPE and not (tag in _CLOSES and stack[i].tag in ("td", "th")):
                     break
-        node = _element(tag, m[3], articles > 0)
+        node = _element(tag, m[3], articles, mains)
         stack[-1].children.append(node)
         if tag not in _VOID and not m[3].endswith("/"):
+            if tag in ("article", "main") and not node.aside:
+                around = [x for x in stack if x.aside]
+                if around:
+                    held.append((node, around))
+                free = free or not around
             stack.append(node)
-            articles += tag in ("article", "main")
+            articles += tag == "article"
+            mains += tag == "main"
+    if held:
+        _release(root, held, free)
     return root
 
 

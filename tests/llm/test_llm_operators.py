@@ -132,6 +132,30 @@ def test_named_parts_are_left_out(spark):
     assert wrappers.extract_main(df).first()["text"] == "A B c<d e f g i"
 
 
+def text_of(page):
+    return wrappers.main_text(wrappers.parse(page), set())
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "no-sidebar", "has-sidebar", "sidebar",
+                                  "market-share", "search-results"])
+def test_wrappers_of_the_article_are_not_aside(name):
+    page = f"<div class='{name}'><article><p>whole story</p></article></div><p>x</p>"
+    assert text_of(page) == "whole story"
+    assert text_of(f"<div id={name}><main>story</main></div><article>own</article>") == "story own"
+
+
+def test_parts_of_the_article_named_like_asides():
+    page = ("<article><h2 id='side-effects'>a</h2><section id='discussion'>b</section>"
+            "<h3 id=related>c</h3><section id=related-work>d</section><div id=search>e</div>"
+            "<section class='market-share'>f</section><div class='related'>x</div>"
+            "<div class='ad-slot'>x</div><div class='share_buttons'>x</div></article>")
+    assert text_of(page) == "a b c d e f"
+    assert text_of("<main><h2 id=login>a</h2><section id=alert>b</section></main>") == "a b"
+    # an article that is not the main text does not free what it stands in
+    assert text_of("<article>a</article><div id=comments><article>b</article></div>") == "a"
+    assert text_of("<div>main text</div><aside><article>b</article></aside>") == "main text"
+
+
 # 4: top k
 
 
