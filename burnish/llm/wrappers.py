@@ -1,16 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. One page per host is its reference; every other page's DOM
-tree is aligned with it by simple tree matching. A text node of the reference that stands
-unchanged in nearly all aligned pages is template; nodes that vary are slots, and slots hold
-content. The text of a page is what its slots and unaligned nodes hold inside the main region:
-the article if there is one, else the element that holds most of the text. Elements that say what
-they are (navigation, footers, forms, adverts and the like) are template in any case.
-
-References and templates are one row per host. They are broadcast while all of them together are
-small, else joined by host, with the few columns of ``pages``; a host with a third of the pages is
-one row on their side. Alignment counts are summed per task, then by host and node. No group of
-pages meets in one task.
+Pages of one layout of a host share a template. A layout is the set of structural and named
+elements outside the article; layouts of too few pages to learn from are taken together. One
+typical page of each is its reference; every other page's DOM tree is aligned with it, and with
+the reference of the host's commonest layout, by simple tree matching. A text node of a reference
+that stands unchanged in nearly all aligned pages is template; nodes that vary are slots, and
+slots hold content. The text of a page is what its slots and unaligned nodes hold inside the main
+region: the article if there is one, else the element that holds most of the text. Elements that
+say what they are (navigation, footers, forms, adverts and the like) are template in any case.
+
+References and templates are one row per host and layout. They are broadcast while all of them
+together are small, else joined by both, with the few columns of ``pages``; a host with a third of
+the pages is a few rows on their side. References are chosen from rows without the html.
+Alignment counts are summed per task, then by host, layout and node. No group of pages meets in
+one task.
 
 Defined results: a null html is an empty page with empty text; a page without a host belongs to
 the host ``''``; damaged markup is read as far as it goes; repeated pages give repeated rows and
@@ -20,6 +23,7 @@ result; other columns are kept, those named like an added one replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import sys
@@ -33,8 +37,13 @@ from pyspark.sql import functions as F
 from burnish.llm.common import written
 from burnish.plans.shipping import ship
 
-#: Aligned pages a node needs to become template, and the share in which it is unchanged.
-SUPPORT, CONSTANT = 8, 0.9
+#: Aligned pages a node needs to become template, and the share in which it is unchanged. Up to
+#: 9 pages the share asks for all of them; 4 tell a fixed line from one that two pages share.
+SUPPORT, CONSTANT = 4, 0.9
+#: Layout number of a host's pages whose own layout has too few pages.
+REST = 0
+#: Layouts and references are joined by broadcast up to so many rows.
+MOST_ROWS = 500_000
 #: All references together are broadcast up to this many bytes.
 MOST_BROADCAST = 64 << 20
 
@@ -45,6 +54,14 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
+_LAYOUT = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^<>]*+>"
+    r".*?(?:</\1\s*>|$)|<([a-zA-Z][^\s/<>]*+)([^<>]*+)>",
+    re.S | re.I,
+)
+_ARTICLE = re.compile(r"<(/?)article\b", re.I)
+_DIGITS = re.compile(r"[0-9]+")
+
 # Fixed values of the markup language.
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -63,6 +80,10 @@ _ENDS_P = frozenset(
     "h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _SCOPE = frozenset("article section div td th table body main aside ul ol dl form nav".split())
+# Elements that shape a page also without a name.
+_STRUCTURE = frozenset(
+    "article aside body div footer form header main nav section table".split()
+)
 # Elements and names that say they are not the main text.
 _ASIDE = frozenset("nav aside form footer button select dialog head menu".split())
 _ASIDE_ROLES = frozenset(
@@ -137,7 +158,7 @@ def _element(tag: str, attributes: str, articles: int, mains: int) -> Node:
                                        articles, mains))
     )
     hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)
-    label = f"{tag} {marks.split()[0].lower()}" if marks else tag
+    label = f"{tag} {_DIGITS.sub('0', marks.split()[0].lower())}" if marks else tag
     return Node(label, tag, _HIDDEN if hidden else _BY_NAME if aside else 0)
 
 
@@ -403,24 +424,108 @@ def host(url: Column) -> Column:
     return F.lower(found)
 
 
-def _with_hosts(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """Join pages to their host's row, by broadcast while the rows are small in all."""
+def layout_of(page: str | None) -> int | None:
+    """Hash of the page's structural and named elements outside the article; never ``REST``.
+
+    Their number and order do not matter, nor do numbers in names. Null for an empty page.
+    """
+    if not page:
+        return None
+    edges = [(m.start(), m[1]) for m in _ARTICLE.finditer(page)]
+    first = next((at for at, end in edges if not end), len(page))
+    last = max((at for at, end in edges if end), default=len(page))
+    parts = [page[:first], "<article>" * (first < len(page)), page[max(first, last):]]
+    tags = {(m[2], m[3]) for part in parts for m in _LAYOUT.finditer(part) if m[2]}
+    labels = set()
+    for tag, attributes in tags:
+        tag = tag.lower()
+        names = {}
+        if "=" in attributes and tag not in _VOID:
+            for m in _NAMES.finditer(attributes):
+                names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        marks = f"{names.get('class', '')} {names.get('id', '')}".split()
+        if marks and tag not in _INLINE:
+            labels.add(f"{tag} {_DIGITS.sub('0', marks[0].lower())}")
+        elif tag in _STRUCTURE:
+            labels.add(tag)
+    digest = hashlib.blake2b("\n".join(sorted(labels)).encode("utf-8", "replace"), digest_size=8)
+    return int.from_bytes(digest.digest(), "big", signed=True) or 1
+
+
+def _layouts(html: str) -> Column:
+    @F.arrow_udf("long")
+    def found(pages: pa.Array) -> pa.Array:
+        return pa.array([layout_of(p.as_py()) for p in pages], pa.int64())
+
+    return found(F.col(html))
+
+
+def _joined(rows: DataFrame, few: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    return rows.join(F.broadcast(few) if small else few, keys, "left")
+
+
+def _with_references(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``own`` and ``common`` to pages with ``host, html``: the rows of their layout and host.
+
+    ``common`` is null where it is the page's own. Joins are by broadcast while the rows are small
+    in all.
+    """
     size = rows.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
-    return pages.join(F.broadcast(rows) if size <= MOST_BROADCAST else rows, "host", "left")
+    small = size <= MOST_BROADCAST
+    value = F.struct(*[c for c in rows.columns if c not in ("host", "common")]).alias("row")
+    large = rows.where(F.col("layout") != REST).select("host", "layout", value)
+    hosts = rows.groupBy("host").agg(
+        F.max(F.when(F.col("layout") == REST, value)).alias("rest"),
+        F.max(F.when(F.col("common"), value)).alias("most"),
+    )
+    found = _joined(pages.withColumn("layout", _layouts("html")),
+                    large.withColumnRenamed("row", "mine"), ["host", "layout"], small)
+    found = _joined(found, hosts, ["host"], small)
+    own = F.coalesce("mine", "rest")
+    other = ~F.col("most.layout").eqNullSafe(own["layout"])
+    return found.withColumn("own", own).withColumn("common", F.when(other, F.col("most")))\
+        .drop("layout", "mine", "rest", "most")
 
 
 def _references(pages: DataFrame) -> DataFrame:
-    """``host, reference``: the non-empty page of the smallest hash, one per host."""
-    some = pages.where("html is not null and html != ''")
-    mark = F.struct(F.xxhash64("url", "page_id").alias("hash"), "page_id", "url")
-    first = some.groupBy("host").agg(F.min(mark).alias("first"))
-    first = written(first.select("host", "first"), "reference-ids")
-    small = F.broadcast(first) if first.count() <= 500_000 else first
-    found = some.join(small, "host").where(
-        F.col("first.page_id").eqNullSafe(F.col("page_id"))
-        & F.col("first.url").eqNullSafe(F.col("url"))
+    """``host, layout, common, reference``: a page of about median size per host and layout.
+
+    ``common`` marks the host's layout with the most pages.
+    """
+    some = pages.where("html is not null and html != ''").withColumn(
+        "hash", F.xxhash64("url", "page_id")
+    )
+    slim = written(
+        some.select("host", "hash", "page_id", "url", F.length("html").alias("size"),
+                    _layouts("html").alias("layout")),
+        "layouts",
+    )
+    large = slim.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"))
+    large = written(large.where(F.col("n") > SUPPORT).drop("n"), "large-layouts")
+    slim = _joined(slim, large.withColumn("large", F.lit(True)), ["host", "layout"],
+                   large.count() <= MOST_ROWS)
+    slim = slim.withColumn("layout", F.when(F.col("large"), F.col("layout")).otherwise(F.lit(REST)))
+    groups = slim.groupBy("host", "layout").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("size", 0.5, 1000).alias("median")
+    )
+    groups = written(groups, "layout-sizes")
+    small = groups.count() <= MOST_ROWS
+    mark = F.struct(F.abs(F.col("size") - F.col("median")).alias("off"), "hash", "page_id", "url")
+    first = _joined(slim, groups, ["host", "layout"], small).groupBy("host", "layout").agg(
+        F.min(mark).alias("first")
     )
-    return written(found.groupBy("host").agg(F.min("html").alias("reference")), "references")
+    most = groups.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("most"))
+    first = first.join(most, "host").select(
+        "host", "layout", (F.col("layout") == F.col("most.layout")).alias("common"),
+        F.col("first.hash").alias("hash"), "first",
+    )
+    first = written(first, "reference-ids")
+    found = some.join(F.broadcast(first) if small else first, ["host", "hash"]).where(
+        F.col("first.page_id").eqNullSafe(some["page_id"])
+        & F.col("first.url").eqNullSafe(some["url"])
+    )
+    found = found.groupBy("host", "layout", "common").agg(F.min("html").alias("reference"))
+    return written(found, "references")
 
 
 def _cached(cache: dict[str, Reference], page: str) -> Reference:
@@ -433,48 +538,63 @@ def _cached(cache: dict[str, Reference], page: str) -> Reference:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and reference node: pages aligned there, and those with the same text."""
+    """Per host, layout and reference node: pages aligned there, and those with the same text."""
     cache: dict[str, Reference] = {}
     for batch in batches:
         seen: Counter = Counter()
         same: Counter = Counter()
-        rows = zip(*[batch.column(c).to_pylist() for c in ("host", "html", "reference")])
-        for name, page, reference in rows:
-            if not page or not reference or page == reference:
-                continue
-            ref = _cached(cache, reference)
-            _, texts, found = ref.align(page)
-            plain = {id(t): _plain(t.text) for t in texts if id(t) in found}
-            if all(plain[t] == ref.body[i] for t, i in found.items()):
-                continue  # a copy of the reference says nothing about what varies
-            for t, i in found.items():
-                seen[name, i] += 1
-                same[name, i] += plain[t] == ref.body[i]
+        rows = zip(*[batch.column(c).to_pylist() for c in ("host", "html", "own", "common")])
+        for name, page, *both in rows:
+            for row in both:
+                if not page or not row or page == row["reference"]:
+                    continue
+                ref = _cached(cache, row["reference"])
+                _, texts, found = ref.align(page)
+                plain = {id(t): _plain(t.text) for t in texts if id(t) in found}
+                if all(plain[t] == ref.body[i] for t, i in found.items()):
+                    continue  # a copy of the reference says nothing about what varies
+                for t, i in found.items():
+                    seen[name, row["layout"], i] += 1
+                    same[name, row["layout"], i] += plain[t] == ref.body[i]
         if seen:
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()),
+                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()),
+                 pa.array([k[2] for k in keys], pa.int32()),
                  pa.array([seen[k] for k in keys], pa.int64()),
                  pa.array([same[k] for k in keys], pa.int64())],
-                ["host", "node", "seen", "same"],
+                ["host", "layout", "node", "seen", "same"],
             )
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``host, reference, template``: per host the numbers of the reference's template nodes.
+    """``host, layout, common, reference, template``: numbers of each reference's template nodes.
 
     ``pages`` has ``host, page_id, url, html``.
     """
     references = _references(pages)
-    votes = _with_hosts(pages.select("host", "html"), references).mapInArrow(
-        _votes, "host string, node int, seen long, same long"
+    votes = _with_references(pages.select("host", "html"), references).mapInArrow(
+        _votes, "host string, layout long, node int, seen long, same long"
     )
     constant = (
-        votes.groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+        votes.groupBy("host", "layout", "node")
+        .agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
         .where((F.col("seen") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("seen")))
     )
-    nodes = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return written(references.join(nodes, "host", "left"), "templates")
+    nodes = constant.groupBy("host", "layout").agg(
+        F.sort_array(F.collect_list("node")).alias("template")
+    )
+    return written(references.join(nodes, ["host", "layout"], "left"), "templates")
+
+
+def _without(page: str, rows: list[dict], cache: dict[str, Reference]) -> str:
+    """The page's main text without the template nodes of all the given references."""
+    fixed: set[int] = set()
+    for row in rows:
+        root, texts, found = _cached(cache, row["reference"]).align(page)
+        nodes = set(row["template"])
+        fixed.update(k for k, t in enumerate(texts) if found.get(id(t)) in nodes)
+    return main_text(root, {id(texts[k]) for k in fixed})
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
@@ -486,24 +606,23 @@ def extract_main(pages: DataFrame) -> DataFrame:
     state: dict[str, dict[str, Reference]] = {"cache": {}}
 
     @F.arrow_udf("string")
-    def text(htmls: pa.Array, references: pa.Array, constant: pa.Array) -> pa.Array:
+    def text(htmls: pa.Array, *rows: pa.Array) -> pa.Array:
         out = []
-        for page, reference, nodes in zip(htmls, references, constant):
-            page, reference, nodes = page.as_py(), reference.as_py(), nodes.as_py()
+        for page, *both in zip(htmls, *rows):
+            page = page.as_py()
+            both = [r for r in (x.as_py() for x in both) if r and r["template"]]
             if not page:
                 out.append("")
-            elif not nodes:
+            elif not both:
                 out.append(main_text(parse(page), set()))
             else:
-                root, _, found = _cached(state["cache"], reference).align(page)
-                fixed = set(nodes)
-                out.append(main_text(root, {t for t, i in found.items() if i in fixed}))
+                out.append(_without(page, both, state["cache"]))
         return pa.array(out, pa.string())
 
     own = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
                        host(F.col("url")).alias("host"), F.col("html"))
-    found = _with_hosts(own, templates).withColumn(
-        "__text", text(F.col("html"), F.col("reference"), F.col("template"))
+    found = _with_references(own, templates).withColumn(
+        "__text", text(F.col("html"), F.col("own"), F.col("common"))
     )
     return found.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],

@@ -156,6 +156,34 @@ def test_parts_of_the_article_named_like_asides():
     assert text_of("<div>main text</div><aside><article>b</article></aside>") == "main text"
 
 
+def extracted(spark, pages):
+    rows = [(i, "http://one.host/p", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r["page_id"]: r["text"] for r in wrappers.extract_main(df).collect()}
+
+
+def test_every_layout_learns_its_template(spark):
+    """Two layouts, stubs and single pages of one host; nothing is named."""
+    one = "<body><div class=x{0}>Shop since 1900</div><div><p>First {1} kind</p></div></body>"
+    two = "<body><section>All rights are ours</section><section><h2>Second {0}</h2></section></body>"
+    pages = [one.format(i, f"w{i * 7}") for i in range(9)]
+    pages += [two.format(f"v{i * 3}") for i in range(6)]
+    pages += ["<p>error", "<table><tr><td>stub", "<body><main>alone</main></body>"]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(9)] == [f"First w{i * 7} kind" for i in range(9)]
+    assert [got[9 + i] for i in range(6)] == [f"Second v{i * 3}" for i in range(6)]
+    assert [got[15], got[16], got[17]] == ["error", "stub", "alone"]
+
+
+def test_layouts_ignore_what_the_article_holds():
+    page = "<body><nav>n</nav><div class='p-{0}'><article>{1}</article></div><footer>f</footer>"
+    same = {wrappers.layout_of(page.format(i, "<div class=a>" * i)) for i in range(4)}
+    assert len(same) == 1 and wrappers.REST not in same
+    assert wrappers.layout_of("<div class=a>") != wrappers.layout_of("<div class=b>")
+    assert wrappers.layout_of("<" * 200_000 + "<a" * 200_000) is not None
+    assert wrappers.layout_of("") is None
+
+
 # 4: top k
 
 
