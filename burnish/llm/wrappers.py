@@ -5,15 +5,16 @@ elements outside the article; layouts of too few pages to learn from are taken t
 typical page of each is its reference; every other page's DOM tree is aligned with it, and with
 the reference of the host's commonest layout, by simple tree matching. A text node of a reference
 that stands unchanged in nearly all aligned pages is template; nodes that vary are slots, and
-slots hold content. The text of a page is what its slots and unaligned nodes hold inside the main
+slots hold content. Pages with the reference's own main text have no vote, and pages with one and
+the same other main text have one vote together, so captures of an article do not make it template. The text of a page is what its slots and unaligned nodes hold inside the main
 region: the article if there is one, else the element that holds most of the text. Elements that
 say what they are (navigation, footers, forms, adverts and the like) are template in any case.
 
 References and templates are one row per host and layout. They are broadcast while all of them
 together are small, else joined by both, with the few columns of ``pages``; a host with a third of
 the pages is a few rows on their side. References are chosen from rows without the html.
-Alignment counts are summed per task, then by host, layout and node. No group of pages meets in
-one task.
+Votes are joined per task, then by host, layout and main text; they are counted by host, layout
+and node. No group of pages meets in one task.
 
 Defined results: a null html is an empty page with empty text; a page without a host belongs to
 the host ``''``; damaged markup is read as far as it goes; repeated pages give repeated rows and
@@ -27,7 +28,6 @@ import hashlib
 import html as entities
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +40,8 @@ from burnish.plans.shipping import ship
 #: Aligned pages a node needs to become template, and the share in which it is unchanged. Up to
 #: 9 pages the share asks for all of them; 4 tell a fixed line from one that two pages share.
 SUPPORT, CONSTANT = 4, 0.9
+#: A page that has this share of its main text from the reference is another capture of it.
+CAPTURE = 0.8
 #: Layout number of a host's pages whose own layout has too few pages.
 REST = 0
 #: Layouts and references are joined by broadcast up to so many rows.
@@ -537,33 +539,64 @@ def _cached(cache: dict[str, Reference], page: str) -> Reference:
     return found
 
 
+def _own_text(root: Node, plain: dict[int, str], same: set[int]) -> tuple[float, bytes]:
+    """Share of the main text that stands in the given nodes, and a digest of the other text."""
+    rest, total, kept = [], 0, 0
+    for region in _main(root):
+        stack = [region]
+        while stack:
+            node = stack.pop()
+            if node.text is not None:
+                text = plain.get(id(node))
+                text = _plain(node.text) if text is None else text
+                total += len(text)
+                if id(node) in same:
+                    kept += len(text)
+                elif text:
+                    rest.append(text)
+            elif not node.aside:
+                stack.extend(reversed(node.children))
+    digest = hashlib.blake2b("\n".join(rest).encode("utf-8", "replace"), digest_size=16)
+    return kept / total if total else 0.0, digest.digest()
+
+
+def _vote(ref: Reference, page: str) -> tuple[bytes, list[int]] | None:
+    """A digest of the page's own main text, and per aligned node twice its number, plus 1 if equal.
+
+    Null for captures of the reference: they say nothing about what varies.
+    """
+    root, texts, found = ref.align(page)
+    plain = {id(t): _plain(t.text) for t in texts if id(t) in found}
+    same = {t for t, i in found.items() if plain[t] == ref.body[i]}
+    if len(same) == len(found):
+        return None
+    share, digest = _own_text(root, plain, same)
+    if share >= CAPTURE:
+        return None
+    return digest, sorted(2 * i + (t in same) for t, i in found.items())
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host, layout and reference node: pages aligned there, and those with the same text."""
+    """Per host, layout and main text of the batch: the vote of the page of the smallest hash."""
     cache: dict[str, Reference] = {}
     for batch in batches:
-        seen: Counter = Counter()
-        same: Counter = Counter()
-        rows = zip(*[batch.column(c).to_pylist() for c in ("host", "html", "own", "common")])
-        for name, page, *both in rows:
+        votes: dict[tuple, tuple[int, list[int]]] = {}
+        names = ("host", "html", "hash", "own", "common")
+        for name, page, mark, *both in zip(*[batch.column(c).to_pylist() for c in names]):
             for row in both:
                 if not page or not row or page == row["reference"]:
                     continue
-                ref = _cached(cache, row["reference"])
-                _, texts, found = ref.align(page)
-                plain = {id(t): _plain(t.text) for t in texts if id(t) in found}
-                if all(plain[t] == ref.body[i] for t, i in found.items()):
-                    continue  # a copy of the reference says nothing about what varies
-                for t, i in found.items():
-                    seen[name, row["layout"], i] += 1
-                    same[name, row["layout"], i] += plain[t] == ref.body[i]
-        if seen:
-            keys = list(seen)
+                vote = _vote(_cached(cache, row["reference"]), page)
+                if vote:
+                    key = name, row["layout"], vote[0]
+                    votes[key] = min(votes.get(key, (mark, vote[1])), (mark, vote[1]))
+        if votes:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([k[2] for k in keys], pa.int32()),
-                 pa.array([seen[k] for k in keys], pa.int64()),
-                 pa.array([same[k] for k in keys], pa.int64())],
-                ["host", "layout", "node", "seen", "same"],
+                [pa.array([k[0] for k in votes]), pa.array([k[1] for k in votes], pa.int64()),
+                 pa.array([k[2] for k in votes], pa.binary()),
+                 pa.array([v[0] for v in votes.values()], pa.int64()),
+                 pa.array([v[1] for v in votes.values()], pa.list_(pa.int32()))],
+                ["host", "layout", "digest", "hash", "marks"],
             )
 
 
@@ -573,12 +606,17 @@ def induce(pages: DataFrame) -> DataFrame:
     ``pages`` has ``host, page_id, url, html``.
     """
     references = _references(pages)
-    votes = _with_references(pages.select("host", "html"), references).mapInArrow(
-        _votes, "host string, layout long, node int, seen long, same long"
+    voters = pages.select("host", "html", F.xxhash64("url", "html").alias("hash"))
+    votes = _with_references(voters, references).mapInArrow(
+        _votes, "host string, layout long, digest binary, hash long, marks array<int>"
+    )
+    texts = votes.groupBy("host", "layout", "digest").agg(
+        F.min(F.struct("hash", "marks")).alias("vote")
     )
+    marks = texts.select("host", "layout", F.explode("vote.marks").alias("mark"))
     constant = (
-        votes.groupBy("host", "layout", "node")
-        .agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+        marks.groupBy("host", "layout", F.floor(F.col("mark") / 2).cast("int").alias("node"))
+        .agg(F.count(F.lit(1)).alias("seen"), F.sum(F.col("mark") % 2).alias("same"))
         .where((F.col("seen") >= SUPPORT) & (F.col("same") >= CONSTANT * F.col("seen")))
     )
     nodes = constant.groupBy("host", "layout").agg(

@@ -184,6 +184,28 @@ def test_layouts_ignore_what_the_article_holds():
     assert wrappers.layout_of("") is None
 
 
+def test_captures_of_one_article_keep_it(spark):
+    """Most pages show one article with another advert, menu line and date."""
+    page = ("<body><article>{0}<p>{1}</p></article><div>line {2}</div><p>always here</p></body>")
+    story = "A long story that stands in most of the captures of this host, word for word."
+    pages = [page.format("", story, i) for i in range(30)]
+    pages += [page.format("<p>Day {0}</p>".replace("{0}", str(i)), story, i) for i in range(30)]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(30)] == [story] * 30
+    assert [got[30 + i] for i in range(30)] == [f"Day {i} {story}" for i in range(30)]
+
+
+def test_repeated_main_texts_vote_once(spark):
+    """Many captures of a second article share the first one's author, four others do not."""
+    page = "<body><article><h1>{0}</h1><p>{1}</p><p>more of {0}</p></article><i>{2}</i></body>"
+    pages = [page.format("first", "by Ann", i) for i in range(40)]
+    pages += [page.format("second", "by Ann", i) for i in range(40)]
+    pages += [page.format(f"next{i}", f"by Bob{i}", i) for i in range(4)]
+    got = extracted(spark, pages)
+    assert got[0] == "first by Ann more of first" and got[40] == "second by Ann more of second"
+    assert got[81] == "next1 by Bob1 more of next1"
+
+
 # 4: top k
 
 
