@@ -5,6 +5,10 @@ pieces, at least one of them is unchanged in any such copy. One automaton of all
 every whole text; around its hits Myers' bit-parallel recurrence gives the smallest distance of
 the item to any stretch of the text.
 
+An item may also differ in whole words, whatever their length: in ``WORD_EDITS`` of them, and in
+one at most of every ``WORDS_PER_EDIT``. Pieces cut between words and the same recurrence over
+words find all these copies. Their distance is reported in characters too, and may be over ``k``.
+
 Both sides are compared as lower-cased words joined by one space. The items are a stated query
 set: they are read in blocks of bounded size, each block is sent to the executors once and meets
 all documents in one map-only pass. Nothing of the documents is shuffled or collected.
@@ -16,7 +20,9 @@ repeated items and repeated documents are all reported; an empty benchmark gives
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +33,8 @@ from burnish.llm.common import prepare
 
 #: Edits allowed per character of an item.
 RATE = 0.08
+#: Whole words that may be dropped, added or replaced, and the words an item needs for each.
+WORD_EDITS, WORDS_PER_EDIT = 2, 6
 #: Characters of benchmark text that are sent to the executors at a time.
 BLOCK_CHARS = 4_000_000
 
@@ -39,16 +47,23 @@ def plain(text: str | None) -> str:
     return " ".join(_WORD.findall(text or "")).lower()
 
 
-def pieces(item: str, edits: int) -> Iterator[tuple[int, int]]:
+def pieces(item: Sequence[str], edits: int) -> Iterator[tuple[int, int]]:
     """``edits + 1`` stretches of nearly equal length that cover the item."""
     n = edits + 1
     cuts = [len(item) * i // n for i in range(n + 1)]
     return zip(cuts[:-1], cuts[1:])
 
 
-def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]:
+def word_pieces(words: list[str], edits: int) -> Iterator[tuple[str, int]]:
+    """``edits + 1`` stretches of whole words that cover the item, with their first words."""
+    for a, b in pieces(words, edits):
+        yield " ".join(words[a:b]), a
+
+
+def myers(masks: dict[str, int], m: int, text: Sequence[str], most: int) -> tuple[int, int]:
     """Smallest edit distance of the pattern to a stretch of ``text``, and where it first ends.
 
+    ``text`` is a string or a list of words, the pattern's ``masks`` are of its like.
     ``most + 1`` stands for any larger distance.
     """
     full, high = (1 << m) - 1, 1 << (m - 1)
@@ -72,7 +87,7 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
     return best, end
 
 
-def _masks(item: str) -> dict[str, int]:
+def _masks(item: Sequence[str]) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(item):
         out[c] = out.get(c, 0) | 1 << i
@@ -85,7 +100,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items, hits = [], {}
+        self.items, self.words, hits = [], [], {}
         for item_id, text in items:
             body = plain(text)
             if not body:
@@ -94,7 +109,12 @@ class Matcher:
             at = len(self.items)
             self.items.append((item_id, body, edits, _masks(body), _masks(body[::-1])))
             for a, b in pieces(body, edits):
-                hits.setdefault(body[a:b], []).append((at, b))
+                hits.setdefault(body[a:b], []).append((at, b, None))
+            words = body.split(" ")
+            swaps = min(WORD_EDITS, len(words) // WORDS_PER_EDIT) if rate else 0
+            self.words.append((words, swaps, _masks(words), _masks(words[::-1])))
+            for piece, first in word_pieces(words, swaps) if swaps else ():
+                hits.setdefault(piece, []).append((at, len(piece), first))
         self.automaton = ahocorasick.Automaton()
         for piece, where in hits.items():
             self.automaton.add_word(piece, where)
@@ -115,14 +135,41 @@ class Matcher:
                 best = distance, lo + end - size, lo + end
         return best
 
+    def _by_words(self, at: int, text: list[str], starts: list[int], body: str,
+                  places: list[int]) -> tuple[int, int, int] | None:
+        """The item's place with the fewest word edits, if they are few enough.
+
+        ``places`` are the words of the text where the item may begin.
+        """
+        words, swaps, masks, back = self.words[at]
+        best = None
+        for place in sorted(set(places)):
+            lo = max(0, place - swaps)
+            window = text[lo:max(0, place + len(words) + swaps)]
+            edits, end = myers(masks, len(words), window, swaps)
+            if edits <= swaps and (best is None or edits < best[0]):
+                _, size = myers(back, len(words), window[:end][::-1], edits)
+                best = edits, lo + end - size, lo + end - 1
+        if best is None:
+            return None
+        a, b = starts[best[1]], starts[best[2]] + len(text[best[2]])
+        item = self.items[at]
+        return myers(item[3], len(item[1]), body[a:b], len(item[1]))[0], a, b
+
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """Item, distance and offsets in ``text`` of the best place of every item found."""
         if not text or not self.items:
             return []
         body = plain(text)
         windows: dict[int, list[list[int]]] = {}
+        whole: dict[int, list[tuple[int, int]]] = {}
         for last, where in self.automaton.iter(body):
-            for at, stop in where:
+            for at, stop, word in where:
+                if word is not None:
+                    begin = last + 1 - stop
+                    if (not begin or body[begin - 1] == " ") and body[last + 1:last + 2] in ("", " "):
+                        whole.setdefault(at, []).append((begin, word))
+                    continue
                 _, item, edits, _, _ = self.items[at]
                 lo = max(0, last + 1 - stop - edits)
                 hi = last + 1 - stop + len(item) + edits
@@ -132,9 +179,15 @@ class Matcher:
                     own[-1][1] = max(own[-1][1], hi)
                 else:
                     own.append([lo, hi])
-        found = []
-        for at in sorted(windows):
-            best = self._best(at, body, windows[at])
+        found, words, starts = [], [], []
+        for at in sorted(windows.keys() | whole.keys()):
+            best = self._best(at, body, windows.get(at, []))
+            if best is None and at in whole:
+                if not words:
+                    words = body.split(" ")
+                    starts = [0, *accumulate(len(w) + 1 for w in words[:-1])]
+                places = [bisect_left(starts, begin) - word for begin, word in whole[at]]
+                best = self._by_words(at, words, starts, body, places)
             if best:
                 found.append((self.items[at][0], *best))
         return _in_original(text, found) if found else []
@@ -151,8 +204,6 @@ def _in_original(text: str, found: list[tuple[int, int, int, int]]) -> list:
         begins.append(word.start())
         stops.append(word.end())
         at += size + 1
-    from bisect import bisect_left, bisect_right
-
     out = []
     for item_id, distance, a, b in found:
         first = max(0, bisect_right(starts, a) - 1)

@@ -317,6 +317,25 @@ def test_edited_items_are_found(spark):
         assert [tuple(m) for m in r["matches"]] == matcher.find(r["text"])
 
 
+def test_short_items_with_other_words_are_found():
+    """Copies of an item of 80 characters with one or two whole words gone, added or replaced."""
+    item = ("which extraordinarily large animal lives near uncharacteristically warm water "
+            "in our seas")
+    words = item.split()
+    longest = sorted(range(len(words)), key=lambda i: -len(words[i]))[:2]
+    assert sum(len(words[i]) + 1 for i in longest) > int(len(item) * decontaminate.RATE)
+    matcher = decontaminate.Matcher([(7, item)], decontaminate.RATE)
+    for change in ("", "somethingdifferentandlong"):
+        for gone in ([longest[0]], [longest[1]], longest):
+            copy = " ".join(change if i in gone else w for i, w in enumerate(words))
+            text = f"Before it. {copy.upper()}! And after it."
+            ((found, _, a, b),) = matcher.find(text)
+            assert found == 7 and text[a:b].split()[0] == "WHICH" and text[a:b].endswith("SEAS")
+    assert matcher.find(item.replace("large", "large and rather")) != []
+    assert matcher.find(item.replace("large", "x").replace("warm", "y").replace("our", "z")
+                        .replace("extraordinarily", "").replace("near", "")) == []
+
+
 def test_decontaminate_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame(
         [(1, None), (2, ""), (3, "..."), (4, "the same few words stand"), (4, "few words stand here"),
