@@ -4,7 +4,8 @@ The licence words are those of the templates below. Their inverse document frequ
 counts over all documents. For each file its highest-IDF licence words (and each template's own
 rarest word) are looked up in the postings ``word -> (template, position)``; postings that agree
 on the relative position propose that the template begins there. A proposal stands if the
-template's mandatory phrases are there word for word and enough of its other words are.
+template's mandatory phrases are there word for word and enough of its other words are. A text
+may begin inside a template, which then counts from the text's first word.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased; on UTF-8 bytes
 that is letters, digits and all bytes from 0x80. Two map-only passes over the texts; between them
@@ -149,13 +150,14 @@ class Index:
         proposals = set()
         for i, w in enumerate(words):
             if w in asked:
-                proposals.update((at, i - p) for at, p in self.postings[w] if i >= p)
+                proposals.update((at, i - p) for at, p in self.postings[w])
         base, labels, places, score = set(), set(), [], 0.0
         for at, start in proposals:
-            if not all(words[start + b:start + b + len(p)] == p for b, p in self.phrases[at]):
+            if not all(start + b >= 0 and words[start + b:start + b + len(p)] == p
+                       for b, p in self.phrases[at]):
                 continue
-            own = self.words[at]
-            there = words[start:start + len(own)]
+            own = self.words[at][max(0, -start):]  # from the first word that the text has
+            there = words[max(0, start):max(0, start) + len(own)]
             cover = sum(x == y for x, y in zip(own, there)) / len(own)
             if cover < LEAST_COVER:
                 continue

@@ -92,6 +92,15 @@ def test_licenses(spark, documents, awkward):
     assert licenses.scan_licenses(documents.where("false")).count() == 0
 
 
+def test_texts_that_begin_inside_a_template(spark):
+    rows = [(1, "CC BY-NC 4.0 holds for this text"), (2, "CC BY-SA"), (3, "by nc and more"),
+            (4, "free software: GNU General Public License as published by the Free Software"),
+            (5, "General Public License as published by the Free Software Foundation")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert labels == {1: "cc-by,cc-by-nc", 2: "cc-by,cc-by-sa", 3: "", 4: "gpl", 5: ""}
+
+
 # 3: main text
 
 
