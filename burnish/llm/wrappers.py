@@ -54,8 +54,9 @@ _TOKEN = re.compile(
     r"([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|[^<]+|<",
     re.S,
 )
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-
+_ATTRIBUTE = re.compile(
+    r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+"""
+)
 _LAYOUT = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^<>]*+>"
     r".*?(?:</\1\s*>|$)|<([a-zA-Z][^\s/<>]*+)([^<>]*+)>",
@@ -69,6 +70,7 @@ _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 _RAW = frozenset("script style textarea title noscript template svg iframe".split())
+_SKIPPED = frozenset("noscript template svg".split())  # without an end, only the tag is skipped
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var".split()
@@ -131,6 +133,14 @@ class Node:
         self.key = 0  # equal for subtrees of equal labels
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-cased name, the first of each; values as they are written."""
+    names: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return names
+
+
 def _named_aside(tag: str, classes: str, own_id: str, articles: int, mains: int) -> bool:
     """Whether a class or the id says that the element is not main text."""
     if tag in ("html", "body", "article", "main"):
@@ -146,10 +156,10 @@ def _named_aside(tag: str, classes: str, own_id: str, articles: int, mains: int)
 
 
 def _element(tag: str, attributes: str, articles: int, mains: int) -> Node:
-    names = {}
-    if "=" in attributes:
-        for m in _NAMES.finditer(attributes):
-            names.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    names = _attributes(attributes) if attributes else {}
+    for name in ("class", "id", "role"):
+        if "&" in names.get(name, ""):
+            names[name] = entities.unescape(names[name])
     marks = f"{names.get('class', '')} {names.get('id', '')}".strip()
     aside = (
         tag in _ASIDE
@@ -159,9 +169,8 @@ def _element(tag: str, attributes: str, articles: int, mains: int) -> Node:
         or bool(marks and _named_aside(tag, names.get("class", ""), names.get("id", ""),
                                        articles, mains))
     )
-    hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)
     label = f"{tag} {_DIGITS.sub('0', marks.split()[0].lower())}" if marks else tag
-    return Node(label, tag, _HIDDEN if hidden else _BY_NAME if aside else 0)
+    return Node(label, tag, _HIDDEN if "hidden" in names else _BY_NAME if aside else 0)
 
 
 def _shown(node: Node) -> int:
@@ -199,6 +208,7 @@ def parse(page: str) -> Node:
     stack = [root]
     articles = mains = 0
     held, free = [], False
+    unclosed: set[str] = set()  # tags without an end from here on
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -229,8 +239,15 @@ def parse(page: str) -> Node:
             continue
         if tag in _RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                end = None
+                if tag not in unclosed:
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in _SKIPPED:
+                    unclosed.add(tag)
+                else:
+                    at = n
             continue
         closes = {"p"} if tag in _ENDS_P else _CLOSES.get(tag)
         if closes:
@@ -441,10 +458,7 @@ def layout_of(page: str | None) -> int | None:
     labels = set()
     for tag, attributes in tags:
         tag = tag.lower()
-        names = {}
-        if "=" in attributes and tag not in _VOID:
-            for m in _NAMES.finditer(attributes):
-                names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        names = _attributes(attributes) if "=" in attributes and tag not in _VOID else {}
         marks = f"{names.get('class', '')} {names.get('id', '')}".split()
         if marks and tag not in _INLINE:
             labels.add(f"{tag} {_DIGITS.sub('0', marks[0].lower())}")

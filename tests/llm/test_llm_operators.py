@@ -165,6 +165,16 @@ def test_parts_of_the_article_named_like_asides():
     assert text_of("<div>main text</div><aside><article>b</article></aside>") == "main text"
 
 
+def test_hidden_is_an_attribute_and_ends_may_be_missing():
+    page = ("<article><a title='Our hidden past'>a</a><p data-x=\"a hidden gem\">b</p>"
+            "<p data-x= hidden>c</p><p title='x class=ads '>d</p><p hidden>x</p>"
+            "<p class=a HIDDEN=''>x</p><div hidden=until-found>x</div><svg><p>e</p>"
+            "<template><p>f</p><noscript>g</article>")
+    assert text_of(page) == "a b c d e f g"
+    assert text_of("<p>a<svg><text>x</text></svg><script>x") == "a"
+    assert text_of("<p>a" + "<svg>" * 200_000 + "b") == "ab"
+
+
 def extracted(spark, pages):
     rows = [(i, "http://one.host/p", p) for i, p in enumerate(pages)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
