@@ -134,7 +134,11 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                     room = 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    rows = with_revisits(pages).mapInArrow(frames, "frame binary")
+    rows = with_revisits(pages)
+    total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    if total > ARCHIVE_BYTES:  # else no task can hold more; dealt in turn, whatever repeats
+        rows = rows.repartition(-(-total // ARCHIVE_BYTES))
+    rows = rows.mapInArrow(frames, "frame binary")
     rows.select(F.col("frame").cast("string").alias("value")).write.option(
         "lineSep", _EMPTY_FRAME.decode("latin-1")
     ).text(folder)

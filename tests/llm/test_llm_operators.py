@@ -485,6 +485,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 50_000)
+    rows = [(i // 2, "http://a/", f"{i % 3}" * 1_000) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "warc"))
+    files = [p for p in (tmp_path / "warc").iterdir() if p.name.startswith("part-")]
+    held = [len(list(warc.frames(p.read_bytes()))) for p in files]
+    assert len(held) == 8 and sum(held) == 400 and max(held) <= 75
+    assert warc.read_archives(spark, str(tmp_path / "warc")).where("fault is null").count() == 400
+
+
 def test_archives_use_a_dictionary_and_show_damage(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     folder = str(tmp_path / "pages")
