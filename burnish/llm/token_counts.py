@@ -2,7 +2,8 @@
 
 Each text is encoded whole by a given byte-pair vocabulary; documents are aggregated by length.
 Suffix sums over the histogram give, for every length taken as a context limit, how many documents
-and tokens reach it, what a cut at the limit leaves, and the quantile it stands for.
+and tokens reach it, what a cut at the limit leaves, and the quantile it stands for; ``at_limits``
+derives the same for any other limit.
 
 The vocabulary file (a base64 token and its rank per line) is read by the driver and broadcast;
 it has a fixed size. The histogram has at most one row per different length, and its suffix sums
@@ -15,6 +16,7 @@ text are ordinary text; repeated rows all count; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
@@ -91,3 +93,34 @@ def length_histogram(df: DataFrame, text: str = "text", path: str = VOCABULARY)
         (F.lit(tokens or 0) - tokens_ge + F.col("n_tokens") * docs_ge).alias("tokens_kept"),
         ((F.lit(docs or 0) - F.col("docs_cut")) / F.lit(float(docs or 1))).alias("quantile"),
     )
+
+
+def at_limits(histogram: DataFrame, limits: Iterable[int]) -> DataFrame:
+    """The rows of ``length_histogram`` for any context limits, in the same columns.
+
+    A limit that is no document's length is derived from the next larger one; ``n_docs`` is 0
+    there. ``quantile`` is null if there are no documents. Limits are a stated, small list.
+    """
+    asked = sorted({int(x) for x in limits})
+    if asked and asked[0] < 0:
+        raise ValueError("a context limit is 0 at least")
+    docs, tokens = histogram.agg(F.max("docs_ge"), F.max("tokens_ge")).first()
+    rows = histogram.sparkSession.createDataFrame([(x,) for x in asked], "asked long")
+    next_row = F.min(F.struct("n_tokens", "n_docs", "docs_ge", "tokens_ge", "docs_cut"))
+    larger = histogram.join(F.broadcast(rows), F.col("n_tokens") >= F.col("asked"))
+    found = rows.join(larger.groupBy("asked").agg(next_row.alias("next")), "asked", "left")
+    hit = F.col("next.n_tokens").eqNullSafe(F.col("asked"))
+    docs_ge = F.coalesce("next.docs_ge", F.lit(0))
+    tokens_ge = F.coalesce("next.tokens_ge", F.lit(0))
+    docs_cut = F.when(hit, F.col("next.docs_cut")).otherwise(docs_ge)
+    share = (F.lit(docs or 0) - docs_cut) / F.lit(float(docs or 1))
+    return found.select(
+        F.col("asked").alias("n_tokens"),
+        F.when(hit, F.col("next.n_docs")).otherwise(F.lit(0)).cast("long").alias("n_docs"),
+        docs_ge.cast("long").alias("docs_ge"),
+        tokens_ge.cast("long").alias("tokens_ge"),
+        docs_cut.cast("long").alias("docs_cut"),
+        (F.lit(tokens or 0) - tokens_ge + F.col("asked") * docs_ge).cast("long")
+        .alias("tokens_kept"),
+        F.when(F.lit(bool(docs)), share).alias("quantile"),
+    )

@@ -386,6 +386,23 @@ def test_length_histogram(spark, documents, awkward):
     assert token_counts.length_histogram(documents.where("false")).count() == 0
 
 
+def test_any_context_limit_is_answered(spark, awkward):
+    lengths = [r[0] for r in token_counts.token_counts(awkward).select("n_tokens").collect()]
+    hist = token_counts.length_histogram(awkward)
+    limits = {0, 1, 3, 2048, *lengths, max(lengths) - 1, max(lengths) + 5}
+    rows = {r["n_tokens"]: r for r in token_counts.at_limits(hist, limits).collect()}
+    assert rows.keys() == limits and not limits <= set(lengths)
+    for n, r in rows.items():
+        assert r["n_docs"] == lengths.count(n)
+        assert r["docs_ge"] == sum(x >= n for x in lengths)
+        assert r["tokens_ge"] == sum(x for x in lengths if x >= n)
+        assert r["docs_cut"] == sum(x > n for x in lengths)
+        assert r["tokens_kept"] == sum(min(x, n) for x in lengths)
+        assert r["quantile"] == pytest.approx(sum(x <= n for x in lengths) / len(lengths))
+    (none,) = token_counts.at_limits(hist.where("false"), [5]).collect()
+    assert tuple(none) == (5, 0, 0, 0, 0, 0, None)
+
+
 def test_lengths_against_the_other_library(documents):
     from tokenizers import Tokenizer
 
