@@ -12,11 +12,14 @@ from burnish.llm import (
     licenses,
     mixing,
     ngram_join,
+    packing,
     pii,
     token_counts,
     topk,
     toxicity,
+    trie,
     warc,
+    whitening,
     wrappers,
 )
 from burnish.llm.common import written
@@ -187,3 +190,73 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(conv_id::VARCHAR, ''),
+             lambda c: list_prepend(ascii(c)::BIGINT, list_transform(range(8), lambda i: -1))))),
+           lambda x, s: CASE WHEN s >= 0 THEN xor(x, s)
+                             ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+paths AS (
+  SELECT c.conv_id, 0 AS part, t.pos, role, text
+  FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, role, text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+whole AS (
+  SELECT c.conv_id,
+         coalesce(list(md5(length(role) || ':' || role || text) ORDER BY part, pos)
+                  FILTER (pos IS NOT NULL), []) AS keys,
+         coalesce(list(length(text) ORDER BY part, pos) FILTER (pos IS NOT NULL), []) AS chars
+  FROM convs c LEFT JOIN paths p ON p.conv_id = c.conv_id GROUP BY c.conv_id),
+steps AS (
+  SELECT conv_id, d AS depth, keys[1:d] AS node, CASE WHEN d > 0 THEN keys[1:d - 1] END AS parent,
+         CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars, d = len(keys) AS last
+  FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(chars) AS chars,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM steps GROUP BY node, depth),
+children AS (SELECT parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+counted AS (
+  SELECT v.*, coalesce(c.n, 0) AS n_children
+  FROM nodes v LEFT JOIN children c ON c.parent = v.node),
+sums AS (
+  SELECT node[1:d] AS node, sum((n_children = 0)::INT) AS n_leaves,
+         sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted) GROUP BY ALL)
+SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs,
+       v.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM counted v JOIN sums s ON s.node = v.node LEFT JOIN nodes p ON p.node = v.parent
+"""
+
+
+@register("op11_prefix_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations")).drop("n_ends")
+
+
+@register("op13_packed_sequences")
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
+@register("op12_whitened_vectors")
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))

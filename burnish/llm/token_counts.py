@@ -1,7 +1,7 @@
 """Token counts: one exact histogram of encoded lengths answers every context limit.
 
-Each text is encoded whole by a given byte-pair vocabulary; documents are aggregated by length.
-Suffix sums over the histogram give, for every length taken as a context limit, how many documents
+Each text is encoded whole by a given byte-pair vocabulary (``encoding``); documents are aggregated
+by length. Suffix sums over the histogram give, for every length taken as a context limit, how many documents
 and tokens reach it, what a cut at the limit leaves, and the quantile it stands for; ``at_limits``
 derives the same for any other limit.
 
@@ -10,47 +10,33 @@ it has a fixed size. The histogram has at most one row per different length, and
 are taken in ranges of lengths.
 
 Defined results: null and empty texts have 0 tokens and count as documents; special tokens in a
-text are ordinary text; repeated rows all count; an empty table gives no rows.
+text are ordinary text; repeated rows all count; an empty table gives no rows. Long runs of white
+space are encoded as the pieces they are, without a search (``encoding``), so any length is safe.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.llm.common import running_before, written
-from burnish.plans.shipping import ship
+from burnish.llm.encoding import VOCABULARY, encoder_of, shared_vocabulary
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: How the vocabulary's authors cut a text before merging: a fixed value of the format.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths that are summed together before the sums across.
 RANGE = 256
 
 
 def encoder(spark: SparkSession, path: str = VOCABULARY):
     """A function of a text column: its number of tokens."""
-    ship(spark)
-    vocabulary = spark.sparkContext.broadcast(Path(path).read_bytes())
-    state: dict = {}
+    vocabulary = shared_vocabulary(spark, path)
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        if not state:
-            import tiktoken
-
-            lines = (x.split() for x in vocabulary.value.splitlines() if x)
-            ranks = {base64.b64decode(a): int(b) for a, b in lines}
-            state["encode"] = tiktoken.Encoding(
-                "own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-            ).encode_ordinary
-        encode = state["encode"]
-        return pa.array([len(encode(t.as_py() or "")) for t in texts], pa.int64())
+        own = encoder_of(vocabulary)
+        return pa.array([len(own.ids(t.as_py() or "")) for t in texts], pa.int64())
 
     return lambda text: count(text)
 
