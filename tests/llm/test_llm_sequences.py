@@ -312,7 +312,7 @@ def test_whitened_vectors(spark):
 
 
 def test_large_whole_numbers_stay_exact(spark):
-    rows = [(i, [float(10**6 * i + 1), 3.0]) for i in range(8)]
+    rows = [(i, [float(10**5 * i + 1), 3.0]) for i in range(8)]
     check_whitened(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2)
     huge = spark.createDataFrame([(i, [1e12 * i, 3.0]) for i in range(8)],
                                  "vec_id long, embedding array<double>")
