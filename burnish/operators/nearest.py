@@ -3,10 +3,10 @@
 Distinct number vectors, with their multiplicities, are sorted into the leaves of a median-split
 tree whose depth follows the data; a cell holds the vectors of one leaf and one pattern of missing
 columns. A vector with gaps first meets the vectors of its own leaf; the distance of the last
-neighbour found there is its radius, and it then visits only those other cells whose box the
-radius reaches. Boxes are compared block by block: all vectors of a leaf and pattern at once, and
-one by one only with the cells that the block can reach. Cells of many vectors, or of many
-visitors, are split into chunks of bounded size. Distances are Euclidean over the columns that both
+neighbour found there is its radius, and it then visits only those other leaves with a cell whose
+box the radius reaches. Boxes are compared block by block: all vectors of a leaf and pattern at
+once, and one by one only with the cells that the block can reach. Leaves of many vectors, or of
+many visitors, are split into chunks of bounded size. Distances are Euclidean over the columns that both
 vectors have, scaled up to all columns; a task computes them for a block of visitors and a block of
 donors at once.
 """
@@ -78,7 +78,6 @@ class _Cells:
     """Boxes, masks and sizes of all cells, for bounds on the distance of their vectors."""
 
     def __init__(self, table: pd.DataFrame, width: int):
-        self.chunks = np.maximum(1, np.ceil(table["vectors"].to_numpy() / _CHUNK)).astype(int)
         self.leaf = table["leaf"].to_numpy()
         self.rows = table["rows"].to_numpy()
         self.lo = np.array(table["lo"].tolist(), dtype=float).reshape(len(table), width)
@@ -113,7 +112,7 @@ class _Cells:
         return high[order[enough]] if enough < len(order) else np.inf
 
     def to_visit(self, q: np.ndarray, radius: np.ndarray, leaf: int, k: int) -> list[np.ndarray]:
-        """For vectors of one leaf and pattern: the cells elsewhere that their radii reach.
+        """For vectors of one leaf and pattern: the other leaves with a cell that their radii reach.
 
         ``radius`` is a squared distance per missing column, NaN where the leaf gave no ``k``.
         """
@@ -131,7 +130,11 @@ class _Cells:
         wanted = np.zeros(low.shape, dtype=bool)
         for g in range(len(gaps)):
             wanted |= donors[at, g] & (low <= radius[:, g, None])
-        return [at[w] for w in wanted]
+        return [np.unique(self.leaf[at[w]]) for w in wanted]
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-int(rows) // _CHUNK))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -243,24 +246,21 @@ def _coarser(finest: DataFrame, mask: Column, dropped: int) -> GroupedData:
 def _met(queries: DataFrame, donors: DataFrame, plan: DataFrame, k: int, width: int) -> DataFrame:
     """The donors that visitors find where both are, in chunks and turns of bounded size.
 
-    ``plan`` has the place and the numbers; both sides join it by the columns they share with it.
+    ``plan`` has the numbers of both for each place.
     """
     plan = F.broadcast(plan)
 
-    def shared(df: DataFrame) -> list[str]:
-        return [c for c in ("place", "mask", "leaf") if c in df.columns and c in plan.columns]
-
     def part(c: str, n: str) -> Column:
         return F.pmod(F.xxhash64(c), F.col(n)).cast("int")
 
     left = (
-        queries.join(plan, shared(queries))
+        queries.join(plan, "place")
         .withColumn("turn", part("q", "turns"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("place", "chunk", "turn", "id", "q")
     )
     right = (
-        donors.join(plan, shared(donors))
+        donors.join(plan, "place")
         .withColumn("chunk", part("x", "chunks"))
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         .select(F.col("place").alias("at"), "chunk", "turn", "x", "n")
@@ -286,57 +286,49 @@ def _predictions(vectors: DataFrame, width: int, k: int, cell_rows: int) -> Data
     shared = spark.sparkContext.broadcast(cells)
     queries = placed.filter(F.exists("x", lambda v: v.isNull())).withColumnRenamed("x", "q")
 
-    # 1: the vectors of the own leaf
+    # 1: the vectors of the own leaf; one row per leaf, at most MOST_CELLS of them
     asking = table["vectors"].where(table["mask"].str.contains("1|\\*"), 0)
-    leaves = pd.DataFrame({"leaf": cells.leaf, "all": table["vectors"], "asking": asking})
-    leaves = leaves.groupby("leaf", as_index=False).sum()
-    home = small_table(
+    leaves = pd.DataFrame({"place": cells.leaf, "all": table["vectors"], "asking": asking})
+    leaves = leaves.groupby("place", as_index=False).sum()
+    sizes = small_table(
         spark,
-        [(int(lf), int(lf), max(1, -(-int(a) // _CHUNK)), max(1, -(-int(q) // _CHUNK)))
-         for lf, a, q in leaves.itertuples(index=False)],
-        "leaf int, place int, chunks int, turns int",
+        [(int(p), _parts(a), _parts(q)) for p, a, q in leaves.itertuples(index=False)],
+        "place int, chunks int, turns int",
     )
-    near = stored(_best(_met(queries, placed, home, k, width), k), "knn-home")
+    placed = placed.withColumnRenamed("leaf", "place")
+    queries = queries.withColumnRenamed("leaf", "place")
+    near = stored(_best(_met(queries, placed, sizes, k, width), k), "knn-home")
     radius = near.groupBy("id", "j").agg(F.min(F.when(F.col("upto") >= k, F.col("d2"))).alias("r"))
     radii = radius.groupBy("id").agg(
         F.array(*[F.max(F.when(F.col("j") == j, F.col("r"))) for j in range(width)]).alias("radii")
     )
 
-    # 2: the other cells within the radius
+    # 2: the other leaves within the radius
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = [None] * width
         for batch in batches:
             q = _vectors(batch["q"], width)
             r = _vectors(batch["radii"].map(lambda v: none if v is None else v), width)
             out = np.empty(len(batch), dtype=object)
-            leaf = batch["leaf"].to_numpy()
-            for _, rows in batch.reset_index(drop=True).groupby(["leaf", "mask"]).indices.items():
+            leaf = batch["place"].to_numpy()
+            blocks = batch.reset_index(drop=True).groupby(["place", "mask"]).indices
+            for rows in blocks.values():
                 found = shared.value.to_visit(q[rows], r[rows], leaf[rows[0]], k)
-                for i, cells_ in zip(rows, found):
-                    out[i] = cells_
-            yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "cells": out})
+                for i, places in zip(rows, found):
+                    out[i] = places
+            yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "places": out})
 
     patterns = F.array_join(F.transform("q", lambda v: F.when(v.isNull(), "1").otherwise("0")), "")
     asked = queries.withColumn("mask", patterns).join(radii, "id", "left")
-    asked = asked.repartitionByRange("leaf", "mask").sortWithinPartitions("leaf", "mask").select(
-        "id", "q", "leaf", "mask", "radii"
-    )
+    asked = asked.repartitionByRange("place", "mask").sortWithinPartitions("place", "mask")
     asked = stored(
-        asked.mapInPandas(visits, "id bigint, q array<double>, cells array<int>").select(
-            "id", "q", F.explode("cells").alias("place")
-        ),
+        asked.select("id", "q", "place", "mask", "radii")
+        .mapInPandas(visits, "id bigint, q array<double>, places array<int>")
+        .select("id", "q", F.explode("places").alias("place")),
         "knn-visits",
     )
-    visitors = asked.groupBy("place").agg(F.count("*").alias("visitors"))
-    sizes = small_table(
-        spark,
-        [(i, m, int(lf), int(c)) for i, (m, lf, c) in
-         enumerate(zip(table["mask"], table["leaf"], cells.chunks))],
-        "place int, mask string, leaf int, chunks int",
-    )
-    # One row per cell, at most MOST_CELLS of them.
-    turns = F.ceil(F.col("visitors") / _CHUNK).cast("int").alias("turns")
-    plan = sizes.join(visitors, "place").select("place", "mask", "leaf", "chunks", turns)
+    turns = F.ceil(F.count("*") / _CHUNK).cast("int").alias("turns")
+    plan = sizes.drop("turns").join(asked.groupBy("place").agg(turns), "place")
     away = _met(asked, placed, plan, k, width)
     best = _best(near.drop("upto").unionByName(away), k)
     taken = F.greatest(F.least(F.col("n"), k - (F.col("upto") - F.col("n"))), F.lit(0))
