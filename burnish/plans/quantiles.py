@@ -1,163 +1,87 @@
 """Exact order statistics of whole columns without sorting or collecting them.
 
-A round sketches the values that may still hold a wanted rank, takes pivots on both
-sides of the rank from the sketch, and counts exactly how many values lie below, on
-and between the pivots. The counts decide: the rank falls on a pivot, or into one open
-interval between pivots, about a thousandth of the values. When few values are left
-there, the counting scan returns them with their multiplicities, and they are the
-answer; else the next round works inside the interval. Each scan shuffles a few rows
-per task and column. A poor sketch costs another round and never a wrong answer, and
-a hot value is one key of the partial aggregation.
-
-Infinite values take part as the largest finite doubles, so that every bound is finite; ranks
-that land there are told apart by the counts of the infinite values.
+Radix selection: a double becomes a whole number of 64 bits in the same order. A scan counts the
+values by their first 16 bits in every task; running sums over the counts tell which prefix holds
+each wanted rank, and the next scan counts the following 16 bits of the values with such a prefix
+only. As soon as few values are left in the open prefixes, their remaining bits are counted at once.
+So four scans are enough for any data, and most take two. A scan shuffles one row per task, column
+and prefix; a hot value is one of them. Only the wanted ranks come back to the driver.
+
+Infinite values are numbers like others; NaN is larger than all of them.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from bisect import bisect_right
-from collections import defaultdict
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.plans.fused import column_aggregates, melt, small_table
+from burnish.plans.fused import column_aggregates, small_table
+from burnish.plans.shipping import ship
 
-# Most distinct values that a counting scan may return to the driver.
-RETURN_LIMIT = 200_000
-# Up to this many values are returned at once, without a sketch.
-TINY = 100_000
-_GRID = 2_000
-_ACCURACY = 10_000
-_MAX = sys.float_info.max
+#: Values in open prefixes whose remaining bits are counted in one scan.
+FEW_VALUES = 1 << 22
+#: Bits that a scan adds to the open prefixes.
+STEP = 16
+_BITS = 64
+#: Partial counts that a task keeps before it adds them up.
+_PENDING = 64
 
 
-@dataclass
-class _Interval:
-    """Open interval (lo, hi) of one column with the ranks that lie inside."""
+def _keys(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the values; the two zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(np.iinfo(np.int64).max))
 
-    column: str
-    ranks: list[int]
-    below: int  # values <= lo
-    inside: int
-    lo: float = -math.inf
-    hi: float = math.inf
 
-    def brackets(self, grid: Sequence[float]) -> list[tuple[float, float]]:
-        """Pairs of sketched values that should have the ranks between them.
+def _value(key: int) -> float:
+    bits = np.int64(key)
+    return float((bits ^ ((bits >> 63) & np.int64(np.iinfo(np.int64).max))).view(np.float64))
 
-        Neighbouring ranks, as interpolation needs them, share a bracket.
-        """
-        spans: list[list[int]] = []
-        for r in sorted(self.ranks):
-            at = (r - self.below + 0.5) / self.inside * _GRID
-            first, last = math.floor(at) - 1, math.ceil(at) + 1
-            if spans and first <= spans[-1][1]:
-                spans[-1][1] = last
-            else:
-                spans.append([first, last])
-        return [
-            (grid[i] if i >= 0 else self.lo, grid[j] if j <= _GRID else self.hi)
-            for i, j in spans
-        ]
 
+def _shifted(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits."""
+    return keys >> np.int64(_BITS - bits) if bits else np.zeros_like(keys)
 
-def _sketch(long: DataFrame, intervals: Sequence[_Interval]) -> list[list[float]]:
-    """Evenly spaced approximate quantiles of the values inside each interval."""
-    # As text: building two thousand literals one call at a time takes seconds.
-    fractions = F.expr(f"array({', '.join(f'{i / _GRID!r}D' for i in range(_GRID + 1))})")
-    grid = F.percentile_approx("value", fractions, F.lit(_ACCURACY)).alias("grid")
-    if all(t.below == 0 and t.lo == -math.inf and t.hi == math.inf for t in intervals):
-        rows = long.groupBy("column").agg(grid).collect()
-        by_column = {r["column"]: list(r["grid"]) for r in rows}
-        return [by_column[t.column] for t in intervals]
-    bounds = small_table(
-        long.sparkSession,
-        [(i, t.column, t.lo, t.hi) for i, t in enumerate(intervals)],
-        "id int, column string, lo double, hi double",
-    )
-    found = (
-        long.join(F.broadcast(bounds), "column")
-        .filter((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
-        .groupBy("id")
-        .agg(grid)
-        .collect()
-    )
-    grids = {r["id"]: list(r["grid"]) for r in found}
-    return [grids[i] for i in range(len(intervals))]
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    bins, at = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(bins), dtype=np.int64)
+    np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+    return bins, sums
 
-def _segments(
-    long: DataFrame, pivots: dict[str, list[float]], wanted: dict[str, set[int]]
-) -> list | None:
-    """``(column, segment, value, n)``: values below, on and between the sorted pivots.
 
-    Segment ``2i`` lies just below pivot ``i`` and ``2i + 1`` is the pivot itself. Single values
-    are kept in the wanted segments. None when too many rows would come back.
-    """
-    width = max((len(p) for p in pivots.values()), default=0)
-    rows = [
-        (c, sorted(wanted[c]), *p, *[math.inf] * (width - len(p))) for c, p in pivots.items()
-    ]
-    names = [f"p{i}" for i in range(width)]
-    types = ["column string", "wanted array<int>", *[f"{n} double not null" for n in names]]
-    table = small_table(long.sparkSession, rows, ", ".join(types))
-    steps = [f"int(value > {n}) + int(value >= {n})" for n in names]
-    segment = F.expr(" + ".join(["0", *steps]))
-    marked = long.join(F.broadcast(table), "column").select(
-        "column", segment.alias("segment"), "value", "wanted"
-    )
-    kept = F.when(F.array_contains("wanted", F.col("segment")), F.col("value"))
-    counted = marked.groupBy("column", "segment", kept.alias("value")).agg(F.count("*").alias("n"))
-    if not any(wanted.values()):
-        # Counts only: a few rows per pivot.
-        return counted.collect()
-    found = counted.limit(RETURN_LIMIT + 1).collect()
-    return None if len(found) > RETURN_LIMIT else found
+def _scan(wide: DataFrame, open_: dict[int, list[int]], done: int, upto: int) -> DataFrame:
+    """``(column, parent, bin, n)``: values by their first ``upto`` bits inside open prefixes."""
+    wanted = {i: np.array(sorted(p), dtype=np.int64) for i, p in open_.items()}
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {i: [] for i in wanted}
+        for batch in batches:
+            for i, prefixes in wanted.items():
+                keys = _keys(batch.column(i).drop_null().to_numpy())
+                if done:
+                    keys = keys[np.isin(_shifted(keys, done), prefixes)]
+                if len(keys):
+                    parts[i].append(np.unique(_shifted(keys, upto), return_counts=True))
+                if len(parts[i]) == _PENDING:
+                    parts[i] = [_added(parts[i])]
+        for i, found in parts.items():
+            if found:
+                bins, n = _added(found)
+                parent = bins >> np.int64(upto - done) if done else np.zeros_like(bins)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(bins), i, dtype=np.int32)), pa.array(parent),
+                     pa.array(bins), pa.array(n)],
+                    ["column", "parent", "bin", "n"],
+                )
 
-def _settle(
-    t: _Interval, pivots: list[float], rows: list
-) -> tuple[dict[int, float], list[_Interval]]:
-    """Ranks that the counts decide, and the narrower intervals of the others."""
-    sizes: dict[int, int] = defaultdict(int)
-    single: dict[int, list[tuple[float, int]]] = defaultdict(list)
-    for _, segment, value, n in rows:
-        sizes[segment] += n
-        if value is not None:
-            single[segment].append((value, n))
-    order = sorted(sizes)
-    starts, at = [], 0
-    for s in order:
-        starts.append(at)
-        at += sizes[s]
-    done: dict[int, float] = {}
-    left: dict[int, list[int]] = defaultdict(list)
-    for r in t.ranks:
-        i = bisect_right(starts, r) - 1
-        s = order[i]
-        if s % 2:
-            done[r] = pivots[s // 2]
-        elif s in single:
-            upto = starts[i]
-            for value, n in sorted(single[s]):
-                upto += n
-                if r < upto:
-                    done[r] = value
-                    break
-        else:
-            left[i].append(r)
-    narrower = []
-    for i, ranks in left.items():
-        s = order[i]
-        lo = pivots[s // 2 - 1] if s else -math.inf
-        hi = pivots[s // 2] if s // 2 < len(pivots) else math.inf
-        narrower.append(_Interval(t.column, ranks, starts[i], sizes[s], lo, hi))
-    return done, narrower
+    rows = wide.mapInArrow(count, "column int, parent bigint, bin bigint, n bigint")
+    return rows.groupBy("column", "parent", "bin").agg(F.sum("n").alias("n"))
 
 
 def order_statistics(
@@ -167,79 +91,38 @@ def order_statistics(
     counts: Mapping[str, int],
 ) -> dict[str, dict[int, float]]:
     """Value at each 0-based rank of each column; ``counts`` are the non-null counts."""
-    finite = {
-        c: F.when(x == math.inf, _MAX).when(x == -math.inf, -_MAX).otherwise(x)
-        for c, x in columns.items()
-    }
-    out = _finite_statistics(df, finite, ranks, counts)
-    ends = [c for c, found in out.items() if any(abs(v) == _MAX for v in found.values())]
-    if ends:
-        beyond = column_aggregates(
-            df, {c: columns[c] for c in ends},
-            lambda x: {"low": F.count_if(x == -math.inf), "high": F.count_if(x == math.inf)},
-        )
-        for c in ends:
-            low, high = beyond[c]["low"], counts[c] - beyond[c]["high"]
-            out[c] = {
-                r: -math.inf if r < low else math.inf if r >= high else v
-                for r, v in out[c].items()
-            }
-    return out
-
-
-def _finite_statistics(
-    df: DataFrame,
-    columns: Mapping[str, Column],
-    ranks: Mapping[str, Sequence[int]],
-    counts: Mapping[str, int],
-) -> dict[str, dict[int, float]]:
-    open_ = [_Interval(c, sorted(set(rs)), 0, counts[c]) for c, rs in ranks.items() if rs]
-    out: dict[str, dict[int, float]] = {t.column: {} for t in open_}
-    if not open_:
+    names = [c for c in columns if ranks.get(c)]
+    out: dict[str, dict[int, float]] = {c: {} for c in names}
+    if not names:
         return out
-    long = melt(df, {t.column: columns[t.column] for t in open_}).filter(
-        F.col("value").isNotNull()
-    )
-    if sum(t.inside for t in open_) <= TINY:
-        names = [t.column for t in open_]
-        rows = _segments(long, {c: [] for c in names}, {c: {0} for c in names})
-        for t in open_:
-            out[t.column] |= _settle(t, [], [r for r in rows if r["column"] == t.column])[0]
-        return out
-    while open_:
-        grids = _sketch(long, open_)
-        expected = sum(3 * len(t.ranks) * t.inside / _GRID for t in open_)
-        brackets = defaultdict(list)
-        for t, grid in zip(open_, grids):
-            brackets[t.column] += [(t.lo, t.hi), *t.brackets(grid)]
-        pivots = {
-            c: sorted({e for b in bs for e in b if math.isfinite(e)}) for c, bs in brackets.items()
-        }
-        wanted = {c: set() for c in pivots}
-        rows = None
-        if expected <= RETURN_LIMIT / 2:
-            for t, grid in zip(open_, grids):
-                ps = pivots[t.column]
-                for lo, hi in t.brackets(grid):
-                    first = ps.index(lo) + 1 if math.isfinite(lo) else 0
-                    last = ps.index(hi) if math.isfinite(hi) else len(ps)
-                    wanted[t.column] |= {2 * i for i in range(first, last + 1)}
-            rows = _segments(long, pivots, wanted)
-        if rows is None:
-            rows = _segments(long, pivots, {c: set() for c in pivots})
-        by_column = defaultdict(list)
-        for r in rows:
-            by_column[r["column"]].append(r)
-        next_: list[_Interval] = []
-        for c in pivots:
-            wanted = [r for t in open_ if t.column == c for r in t.ranks]
-            whole = _Interval(c, wanted, 0, counts[c])
-            done, narrower = _settle(whole, pivots[c], by_column[c])
-            out[c] |= done
-            next_ += narrower
-        if sum(t.inside for t in next_) >= sum(t.inside for t in open_):
-            raise ArithmeticError("the counts of a round narrowed nothing")
-        open_ = next_
+    spark = df.sparkSession
+    ship(spark)
+    wide = df.select(*[columns[c].cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    # a wanted rank: column, rank, open prefix, rank inside it, values inside it
+    wanted = [(i, r, 0, r, counts[c]) for i, c in enumerate(names) for r in sorted(set(ranks[c]))]
+    done = 0
+    while wanted:
+        inside = {(i, parent): n for i, _, parent, _, n in wanted}
+        upto = _BITS if sum(inside.values()) <= FEW_VALUES else done + STEP
+        open_: dict[int, list[int]] = {}
+        for i, parent in inside:
+            open_.setdefault(i, []).append(parent)
+        running = Window.partitionBy("column", "parent").orderBy("bin")
+        bins = _scan(wide, open_, done, upto).withColumn(
+            "upto", F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        asked = small_table(
+            spark, [w[:4] for w in wanted], "column int, rank bigint, parent bigint, inner bigint"
+        )
+        hit = (F.col("inner") >= F.col("upto") - F.col("n")) & (F.col("inner") < F.col("upto"))
+        found = bins.join(F.broadcast(asked), ["column", "parent"]).where(hit).select(
+            "column", "rank", "bin", F.col("inner") - (F.col("upto") - F.col("n")), "n"
+        )
+        wanted, done = [tuple(r) for r in found.collect()], upto
+        if done == _BITS:
+            for i, rank, key, _, _ in wanted:
+                out[names[i]][rank] = _value(key)
+            break
     return out
 
 

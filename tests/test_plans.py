@@ -29,12 +29,25 @@ def numbers(rng, n):
     )
 
 
-@pytest.mark.parametrize("returned,tiny", [(200_000, 100_000), (200_000, 0), (60, 0)])
+@pytest.fixture
+def scans(monkeypatch):
+    """The bits that each scan has counted."""
+    seen, scan = [], quantiles._scan
+
+    def counted(wide, open_, done, upto):
+        seen.append(upto)
+        return scan(wide, open_, done, upto)
+
+    monkeypatch.setattr(quantiles, "_scan", counted)
+    return seen
+
+
+@pytest.mark.parametrize("few,most", [(1 << 22, [64]), (9_000, [16, 64]), (0, [16, 32, 48, 64])])
 @pytest.mark.parametrize("interpolate", [True, False])
-def test_exact_quantiles(spark, monkeypatch, returned, tiny, interpolate):
-    """One array, one round, and several rounds of narrowing give the same numbers."""
-    monkeypatch.setattr(quantiles, "RETURN_LIMIT", returned)
-    monkeypatch.setattr(quantiles, "TINY", tiny)
+def test_exact_quantiles(spark, monkeypatch, scans, few, most, interpolate):
+    """All bits at once, two scans, and sixteen bits a time give the same numbers."""
+    monkeypatch.setattr(quantiles, "FEW_VALUES", few)
+    monkeypatch.setattr(quantiles, "_PENDING", 2)
     pdf = numbers(np.random.default_rng(3), 9_001)
     df = spark.createDataFrame(pdf).repartition(5)
     found = exact_quantiles(
@@ -47,13 +60,13 @@ def test_exact_quantiles(spark, monkeypatch, returned, tiny, interpolate):
             ordered_ = np.sort(pdf[c].to_numpy())
             expected = [ordered_[min(int(len(pdf) * p), len(pdf) - 1)] for p in PROBABILITIES]
         assert found[c] == pytest.approx(expected, abs=1e-12)
+    assert scans[-1] == 64 and len(scans) <= 4 and (few == 9_000 or scans == most)
 
 
-@pytest.mark.parametrize("returned,tiny", [(200_000, 100_000), (200_000, 0), (60, 0)])
-def test_quantiles_of_infinite_values(spark, monkeypatch, returned, tiny):
+@pytest.mark.parametrize("few", [1 << 22, 2_000, 0])
+def test_quantiles_of_infinite_values(spark, monkeypatch, scans, few):
     """Infinite values and the largest doubles, next to a column without any."""
-    monkeypatch.setattr(quantiles, "RETURN_LIMIT", returned)
-    monkeypatch.setattr(quantiles, "TINY", tiny)
+    monkeypatch.setattr(quantiles, "FEW_VALUES", few)
     rng = np.random.default_rng(5)
     mixed = rng.normal(size=6_000)
     mixed[:2_000], mixed[2_000:3_500] = np.inf, -np.inf
@@ -65,6 +78,7 @@ def test_quantiles_of_infinite_values(spark, monkeypatch, returned, tiny):
     for c in pdf.columns:
         sorted_ = np.sort(pdf[c].to_numpy())
         assert found[c] == [sorted_[min(int(6_000 * p), 5_999)] for p in PROBABILITIES]
+    assert len(scans) <= 4
     ends = spark.createDataFrame([(-np.inf,), (np.inf,)], "x double")
     assert exact_quantiles(ends, {"x": F.col("x")}, (0.0, 0.5, 1.0)) == {"x": [-np.inf, None, np.inf]}
 
@@ -84,6 +98,15 @@ def test_first_of_a_group_is_limited_below_the_shuffle(spark):
     assert sorted(r["id"] for r in kept.collect()) == list(range(93, 100))
 
 
+def test_quantiles_of_signs_and_tiny_numbers(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW_VALUES", 0)
+    values = [-0.0, 0.0, 5e-324, -5e-324, 1.0, -1.0, 1e308, -1e308, 2.0**-1040]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    ranks = list(range(len(values)))
+    found = quantiles.order_statistics(df, {"x": F.col("x")}, {"x": ranks}, {"x": len(values)})
+    assert [found["x"][r] for r in ranks] == sorted(values)
+
+
 def test_quantiles_of_nulls(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
     found = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, (0.5,))
