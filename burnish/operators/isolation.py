@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from burnish.functions.names import cell
 from burnish.operators.impute import medians_of_gaps
 from burnish.operators.typing import number, numeric_columns
-from burnish.plans.materialize import materialize
+from burnish.plans.materialize import stored
 from burnish.plans.quantiles import exact_quantiles
 from burnish.plans.shipping import ship
 
@@ -192,7 +192,7 @@ def anomaly_scores(
     medians, rows = medians_of_gaps(df, columns)
     features = [F.coalesce(number(df, c), F.lit(medians.get(c, 0.0))) for c in columns]
     forest = fit_forest(df, features, row_key, rows, trees, sample)
-    scored = materialize(df.withColumn("__score", _scorer(df, forest, features)))
+    scored = stored(df.withColumn("__score", _scorer(df, forest, features)), "forest-scores")
     threshold = exact_quantiles(
         scored, {"score": F.col("__score")}, (clamp_share(contamination),)
     )["score"][0]

@@ -34,6 +34,11 @@ class Fence:
 class Handled:
     df: DataFrame
     counts: dict[str, int] = field(default_factory=dict)
+    #: Filled cells and fences of the columns, and whether any row or value was taken out since.
+    filled: dict[str, int] = field(default_factory=dict)
+    fences: dict[str, Fence] = field(default_factory=dict)
+    capped: set[str] = field(default_factory=set)
+    emptied: bool = False
 
     @property
     def total(self) -> int:
@@ -44,6 +49,13 @@ def fences(
     df: DataFrame, columns: Sequence[str], method: str, medians: bool = False
 ) -> dict[str, Fence]:
     """Fences of every column with at least four values; literals for a map-only pass."""
+    return _fences_and_counts(df, columns, method, medians)[0]
+
+
+def _fences_and_counts(
+    df: DataFrame, columns: Sequence[str], method: str, medians: bool
+) -> tuple[dict[str, Fence], dict[str, int]]:
+    """Fences, and the filled cells of all columns."""
     values = {c: number(df, c) for c in columns}
     stats = column_aggregates(
         df, values, lambda x: {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x)}
@@ -69,7 +81,8 @@ def fences(
                 edges[c] = (middle[c] - 3.5 * mad, middle[c] + 3.5 * mad)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return {c: Fence(*edges[c], stats[c]["mean"], middle[c]) for c in values}
+    found = {c: Fence(*edges[c], stats[c]["mean"], middle[c]) for c in values}
+    return found, {c: stats[c]["n"] or 0 for c in columns}
 
 
 def count_outside(
@@ -135,7 +148,9 @@ def handle_outliers(
     flagged: list[Column] = []
     for batch in _batches(columns, actions):
         want = any(actions[c] == "replace_median" for c in batch)
-        found = fences(result.df, batch, method, medians=want)
+        found, filled = _fences_and_counts(result.df, batch, method, want)
+        result.filled |= filled
+        result.fences |= found
         values = {c: number(result.df, c) for c in found}
         out = {c: f.outside(values[c]) for c, f in found.items()}
         limits = {c: (f.lo, f.hi) for c, f in found.items()}
@@ -146,10 +161,14 @@ def handle_outliers(
                 flagged.append(out[c])
             elif actions[c] != "remove" and result.counts[c]:  # else the column keeps its type
                 new[c] = treated(values[c], out[c], actions[c], f)
+                if actions[c] == "cap" and method == "iqr":
+                    result.capped.add(c)
+                result.emptied |= actions[c] == "nan"
         kept = result.df
         last = batch[-1]
         if actions[last] == "remove" and last in out:
             kept = kept.filter(~out[last])
+            result.emptied = True
         result.df = kept.withColumns(new) if new else kept
     if action == "flag" or flagged:
         any_out = reduce(or_, flagged) if flagged else F.lit(False)

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _KEY = "spark.checkpoint.dir"
 
@@ -44,7 +46,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it from there."""
+    """Write ``df`` as Parquet to the shared folder and read it from there.
+
+    Columns are written by position, so any names will do; those without a type stay literals.
+    """
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    places = {f.name: f"c{i}" for i, f in enumerate(df.schema)}
+    plain = df.toDF(*places.values())
+    typed = [f.name for f in plain.schema if not isinstance(f.dataType, T.NullType)]
+    plain = plain.select(*typed)
+    plain.write.parquet(folder)
+    back = df.sparkSession.read.schema(plain.schema).parquet(folder)
+    return back.select(
+        *[(F.col(p) if p in typed else F.lit(None)).alias(c) for c, p in places.items()]
+    )
