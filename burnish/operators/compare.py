@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from burnish.functions.names import cell
 from burnish.functions.nulls import NARROW_TOKENS
+from burnish.operators.grid import preview
 from burnish.operators.typing import data_columns, number, present
 from burnish.plans.fused import column_aggregates, small_table
 
@@ -67,3 +71,22 @@ def compare_stats(a: DataFrame, b: DataFrame) -> DataFrame:
         "column string, null_pct_a bigint, null_pct_b bigint, mean_a double, mean_b double, "
         "mean_delta double",
     )
+
+
+def compare_first_rows(
+    a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str], rows: int = 10
+) -> DataFrame:
+    """``(row, a, b)``: the first rows of both tables side by side, each as a struct.
+
+    A side is null where its table has fewer rows.
+    """
+
+    def numbered(df: DataFrame, order: Sequence[str], side: str) -> DataFrame:
+        # at most ``rows`` rows are left to number
+        head = preview(df, rows, order)
+        place = F.row_number().over(Window.orderBy(*[cell(c) for c in order]))
+        return head.select(
+            place.alias("row"), F.struct(*[cell(c) for c in data_columns(head)]).alias(side)
+        )
+
+    return numbered(a, order_a, "a").join(numbered(b, order_b, "b"), "row", "full")

@@ -7,7 +7,13 @@ from operator import or_
 
 from pyspark.sql import functions as F
 
-from burnish.operators.clean import CleanConfig, ColumnConfig, clean, round_output
+from burnish.operators.clean import (
+    CleanConfig,
+    ColumnConfig,
+    clean,
+    fill_or_median,
+    round_output,
+)
 from burnish.operators.coerce import coerce_columns
 from burnish.operators.dedup import drop_duplicate_rows
 from burnish.operators.impute import (
@@ -257,7 +263,29 @@ _impute(
     impute_mode,
 )
 _impute("impute_zero", "M4", "coalesce($c, 0)", impute_zero)
-_impute("leave_missing", "M10", "$c", lambda df, columns: df)
+_impute(
+    "leave_missing",
+    "M10",
+    "$c",
+    lambda df, columns: clean(
+        df,
+        CleanConfig(missing_strategy="none", duplicates="none", outlier_action="keep"),
+    ).df,
+)
+
+
+def _broken(df):
+    """A model whose job fails on the first gap."""
+    failed = F.raise_error(F.lit("no fit")).cast("double")
+    return df.withColumns({c: F.coalesce(c, failed) for c in ("discount", "tax")})
+
+
+_impute(
+    "median_where_a_model_fails",
+    "M14",
+    "coalesce($c, median($c) OVER ())",
+    lambda df, columns: fill_or_median(df, columns, _broken, []),
+)
 _impute(
     "impute_custom_value",
     "M9",
@@ -374,6 +402,33 @@ def _(t):
     return rounded(impute_mice(t.sql(CUSTOMER_GAPS), _GAPS))
 
 
+_STEPS = """CASE WHEN c_nationkey < 8 THEN 10.0 WHEN c_nationkey < 17 THEN 20.0 ELSE 40.0 END
+    + CASE WHEN c_acctbal < 4000 THEN 0.0 ELSE 5.0 END"""
+
+
+@query(
+    "forest_predicts_a_step_function",
+    "M13",
+    f"""SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS nation, {_STEPS} AS step,
+               true AS near
+        FROM {{customer}} WHERE c_custkey % 9 = 0""",
+)
+def _(t):
+    # Near the edge in the balance the forest may be a step off.
+    rows = t.sql(
+        f"""SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS balance,
+               CASE WHEN c_custkey % 9 <> 0 THEN {_STEPS} END AS step, {_STEPS} AS truth
+            FROM {{customer}}"""
+    )
+    filled = impute_random_forest(rows, ["nation", "balance", "step"], rounds=1, trees=12)
+    far = F.abs(F.col("step") - F.col("truth"))
+    edge = F.col("balance").between(3600, 4400)
+    return filled.where("c_custkey % 9 = 0").select(
+        "c_custkey", "nation", F.col("truth").alias("step"),
+        ((far < 1) | (edge & (far < 6))).alias("near"),
+    )
+
+
 @query("impute_random_forest", "M13")
 def _(t):
     return rounded(impute_random_forest(t.sql(CUSTOMER_GAPS), _GAPS))
@@ -443,7 +498,7 @@ def _(t):
     )
 
 
-@query("anomaly_flags", "V6 X4 S13")
+@query("anomaly_flags", "V6 X4")
 def _(t):
     flagged = anomaly_scores(
         t.sql("SELECT event_id, user_id, value FROM {events}"), 0.05, ["user_id", "value"], ["event_id"]
@@ -453,7 +508,7 @@ def _(t):
 
 @query(
     "clean_with_iqr_cap_and_median",
-    "C0 N1 N2 C1 C9 X1 X5 M2 M15 C18",
+    "C0 N1 N2 C1 C9 X1 X5 M2 M15 C18 S13",
     """WITH raw AS (SELECT event_id,
          CASE event_id % 10 WHEN 0 THEN NULL WHEN 7 THEN NULL ELSE event_type END AS kind,
          CASE WHEN event_id % 6 = 0 THEN NULL ELSE round(value, 2) END AS amount FROM {events}),

@@ -196,7 +196,7 @@ def _(t):
 
 @query(
     "grid_first_rows",
-    "P16 V11",
+    "P16",
     "SELECT * FROM {customer} ORDER BY c_custkey LIMIT 10",
 )
 def _(t):
@@ -307,7 +307,15 @@ def _(t):
     return scatter_series(t.sql(DIRTY_EVENTS), "user_id", "reading", 500, ["event_id"])
 
 
-@query("chart_axes", "A19", "SELECT 'c_name' AS x, 'c_custkey' AS y")
+@query(
+    "chart_axes",
+    "A19",
+    """SELECT CASE WHEN a THEN 'c_name' ELSE 'c_custkey' END AS x,
+              CASE WHEN a THEN 'c_custkey' WHEN b THEN 'c_name' END AS y
+       FROM (SELECT count(*) = count(try_cast(c_custkey AS DOUBLE)) AS a,
+                    count(*) = count(try_cast(c_name AS DOUBLE)) AS b
+             FROM (SELECT * FROM {customer} ORDER BY c_custkey LIMIT 20) h) v""",
+)
 def _(t):
     x, y = detect_axes(t("customer"), ["c_custkey"])
     return t.spark.createDataFrame([(x, y)], "x string, y string")

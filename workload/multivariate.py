@@ -70,6 +70,31 @@ def _(t):
     return rounded(found)
 
 
+_TRIPLE = """SELECT l_quantity + 0.0 AS x, l_quantity * 3 + l_extendedprice / 2000 AS y,
+    l_tax * 200 - l_quantity AS z FROM {lineitem}"""
+
+
+@query(
+    "loadings_of_three_columns",
+    "V4",
+    # The largest root of the characteristic polynomial of a 3 x 3 correlation matrix, by angles;
+    # its vector is normal to two rows of the matrix less the root.
+    f"""WITH r AS (SELECT corr(x, y) AS a, corr(x, z) AS b, corr(y, z) AS c FROM ({_TRIPLE}) v),
+        p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM r),
+        e AS (SELECT *, 2 * p * cos(acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3) AS l
+              FROM p),
+        v AS (SELECT a * c + b * l AS vx, a * b + l * c AS vy, l * l - a * a AS vz FROM e),
+        n AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) * CASE
+                WHEN abs(vx) >= abs(vy) AND abs(vx) >= abs(vz) THEN sign(vx)
+                WHEN abs(vy) >= abs(vz) THEN sign(vy) ELSE sign(vz) END AS s FROM v)
+        SELECT 1 AS component, 'x' AS feature, round(vx / s, 4) AS loading FROM n
+        UNION ALL SELECT 1, 'y', round(vy / s, 4) FROM n
+        UNION ALL SELECT 1, 'z', round(vz / s, 4) FROM n""",
+)
+def _(t):
+    return rounded(principal_components(t.sql(_TRIPLE), 1).loadings)
+
+
 @query(
     "scores_of_two_columns",
     "V3",

@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from burnish.functions.nulls import WIDE_TOKENS
 from burnish.operators.column_stats import column_stats, grid_histogram, top_prefixes
-from burnish.operators.compare import compare_columns, compare_shape, compare_stats
+from burnish.operators.compare import (
+    compare_columns,
+    compare_first_rows,
+    compare_shape,
+    compare_stats,
+)
 from burnish.operators.frequency import duplicate_rows, modes, top_values
 from burnish.operators.profile import profile
 from burnish.operators.quality import profile_summary, table_quality
@@ -353,16 +358,22 @@ def _(t):
 @query(
     "profile_report",
     "S14 G2",
-    """SELECT 'quantity' AS "column", 'numeric' AS type, count(*) AS non_null, 0::BIGINT AS null_pct,
-              count(DISTINCT l_quantity) AS "unique", min(l_quantity) AS min, max(l_quantity) AS max,
-              round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std
-       FROM {lineitem}
+    """WITH r AS (SELECT l_quantity AS v, row_number() OVER (ORDER BY l_quantity) - 1 AS i,
+                    count(*) OVER () AS n FROM {lineitem}),
+       q AS (SELECT max(CASE WHEN i = floor(n * 0.25) THEN v END) AS q1,
+                    max(CASE WHEN i = floor(n * 0.5) THEN v END) AS median,
+                    max(CASE WHEN i = floor(n * 0.75) THEN v END) AS q3 FROM r)
+       SELECT 'quantity' AS "column", 'numeric' AS type, count(*) AS non_null, 0::BIGINT AS null_pct,
+              count(DISTINCT v) AS "unique", min(v) AS min, max(v) AS max, max(median) AS median,
+              round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std,
+              count(CASE WHEN v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) THEN 1 END)
+                AS outliers
+       FROM r, q
        UNION ALL SELECT 'flag', 'text', count(*), 0, count(DISTINCT l_returnflag), NULL, NULL, NULL,
-              NULL FROM {lineitem}""",
+              NULL, NULL, NULL FROM {lineitem}""",
 )
 def _(t):
-    found = profile_report(t.sql(GAPPY).select("quantity", "flag"))
-    return found.drop("median", "outliers")
+    return profile_report(t.sql(GAPPY).select("quantity", "flag"))
 
 
 A = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM {customer}"
@@ -385,6 +396,26 @@ def _(t):
     )
 
 
+@query(
+    "compare_first_rows",
+    "V11",
+    f"""SELECT a.i AS row, a.id AS id_a, a.name AS name_a, a.balance AS balance_a, a.segment,
+               b.id AS id_b, b.name AS name_b, b.balance AS balance_b, b.nation, b.active
+        FROM (SELECT *, CAST(row_number() OVER (ORDER BY id) AS INT) AS i FROM ({A}) v
+              ORDER BY id LIMIT 10) a
+        FULL JOIN (SELECT *, CAST(row_number() OVER (ORDER BY balance, id) AS INT) AS i
+                   FROM (SELECT * FROM ({B}) w WHERE balance > 9000) u
+                   ORDER BY balance, id LIMIT 10) b ON a.i = b.i""",
+)
+def _(t):
+    few = t.sql(B).where("balance > 9000")
+    both = compare_first_rows(t.sql(A), few, ["id"], ["balance", "id"])
+    return both.selectExpr(
+        "row", "a.id AS id_a", "a.name AS name_a", "a.balance AS balance_a", "a.segment",
+        "b.id AS id_b", "b.name AS name_b", "b.balance AS balance_b", "b.nation", "b.active",
+    )
+
+
 @query(
     "compare_columns",
     "V8 U3 U4",

@@ -263,11 +263,20 @@ def _(t):
     )
 
 
-@query("sql_quick_preview", "L2 P16 S5", "SELECT count(*) AS shown FROM "
-       "(SELECT * FROM {orders} LIMIT 50) v")
+@query(
+    "sql_quick_preview",
+    "L2 P16 S5",
+    """SELECT least(50, (SELECT count(*) FROM {orders})) AS shown,
+              (SELECT count(*) FROM (SELECT DISTINCT * FROM {orders} LIMIT 50) v) AS own""",
+)
 def _(t):
+    # which rows are shown is open; they must be different rows of the table
     register(t("orders"), "orders")
-    return quick_preview(t.spark, "orders").selectExpr("count(*) AS shown")
+    columns = t("orders").columns
+    known = t("orders").distinct().withColumn("__own", F.lit(True))
+    marked = quick_preview(t.spark, "orders").join(known, columns, "left")
+    own = F.count_distinct(F.when(F.col("__own"), F.struct(*columns)))
+    return marked.agg(F.count("*").alias("shown"), own.alias("own"))
 
 
 @query(
