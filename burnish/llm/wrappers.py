@@ -30,6 +30,7 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ CAPTURE = 0.8
 REST = 0
 #: Layouts and references are joined by broadcast up to so many rows.
 MOST_ROWS = 500_000
+#: Cells of an alignment from which its rows are worked out whole.
+SMALL_TABLE = 256
 #: All references together are broadcast up to this many bytes.
 MOST_BROADCAST = 64 << 20
 
@@ -307,23 +310,76 @@ class Aligner:
         key = (a.key, b.key)
         found = self.known.get(key)
         if found is None:
-            found = self.known[key] = 1 + self._table(a, b)[-1][-1]
+            found = self.known[key] = 1 + self._total(a.children, b.children)
         return found
 
-    def _table(self, a: Node, b: Node) -> list[list[int]]:
-        rows = [[0] * (len(b.children) + 1)]
-        for x in a.children:
-            last, row = rows[-1], [0]
-            for j, y in enumerate(b.children):
-                w = self.weight(x, y)
-                best = last[j] + w
-                if row[j] > best:
-                    best = row[j]
-                if last[j + 1] > best:
-                    best = last[j + 1]
-                row.append(best)
-            rows.append(row)
-        return rows
+    def _total(self, xs: list[Node], ys: list[Node]) -> int:
+        head, tail = _common_ends(xs, ys)
+        total = sum(x.size for x in xs[:head]) + sum(x.size for x in xs[len(xs) - tail:])
+        xs, ys = xs[head:len(xs) - tail], ys[head:len(ys) - tail]
+        if not xs or not ys:
+            return total
+        last = None
+        for last, _ in self._rows(xs, ys):
+            pass
+        return total + int(last[-1])
+
+    def _rows(self, xs: list[Node], ys: list[Node]) -> Iterator[tuple]:
+        """Rows of the alignment table, each with the weights of its node.
+
+        Nodes of one shape weigh the same, so the trees below are matched once per pair of shapes.
+        Long rows are worked out whole: the running maximum of what comes from above.
+        """
+        if len(xs) * len(ys) < SMALL_TABLE:
+            row = [0] * (len(ys) + 1)
+            for x in xs:
+                last, row = row, [0]
+                weights = [self.weight(x, y) for y in ys]
+                for j, w in enumerate(weights):
+                    row.append(max(last[j] + w, row[j], last[j + 1]))
+                yield row, weights
+            return
+        shapes = {y.key: y for y in ys}
+        at = {key: i for i, key in enumerate(shapes)}
+        column = np.array([at[y.key] for y in ys])
+        weights_of: dict = {}
+        row = np.zeros(len(ys) + 1, dtype=np.int64)
+        for x in xs:
+            weights = weights_of.get(x.key)
+            if weights is None:
+                each = np.array([self.weight(x, y) for y in shapes.values()], dtype=np.int64)
+                weights = weights_of[x.key] = each[column]
+            last, row = row, np.zeros(len(ys) + 1, dtype=np.int64)
+            np.maximum(last[1:], last[:-1] + weights, out=row[1:])
+            np.maximum.accumulate(row, out=row)
+            yield row, weights
+
+    def _matched(self, xs: list[Node], ys: list[Node]) -> Iterator[tuple[Node, Node]]:
+        """The children that the best alignment puts together, last ones first."""
+        head, tail = _common_ends(xs, ys)
+        for k in range(1, tail + 1):
+            yield xs[-k], ys[-k]
+        mine, theirs = xs[head:len(xs) - tail], ys[head:len(ys) - tail]
+        i, j = len(mine), len(theirs)
+        if i and j:
+            # two bits per cell: it ends a pair, and it is what stands above it
+            joins, above, last = [], [], np.zeros(j + 1, dtype=np.int64)
+            for row, weights in self._rows(mine, theirs):
+                row, weights = np.asarray(row), np.asarray(weights)
+                joins.append(np.packbits((weights > 0) & (row[1:] == last[:-1] + weights)))
+                above.append(np.packbits(row[1:] == last[1:]))
+                last = row
+            while i and j:
+                byte, bit = (j - 1) >> 3, 7 - ((j - 1) & 7)
+                if joins[i - 1][byte] >> bit & 1:
+                    yield mine[i - 1], theirs[j - 1]
+                    i, j = i - 1, j - 1
+                elif above[i - 1][byte] >> bit & 1:
+                    i -= 1
+                else:
+                    j -= 1
+        for k in range(head - 1, -1, -1):
+            yield xs[k], ys[k]
 
     def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """Text nodes of the two trees that the match puts together."""
@@ -338,17 +394,21 @@ class Aligner:
             if a.key == b.key:
                 stack.extend(zip(a.children, b.children))
                 continue
-            rows = self._table(a, b)
-            i, j = len(a.children), len(b.children)
-            while i and j:
-                w = self.weight(a.children[i - 1], b.children[j - 1])
-                if w and rows[i][j] == rows[i - 1][j - 1] + w:
-                    stack.append((a.children[i - 1], b.children[j - 1]))
-                    i, j = i - 1, j - 1
-                elif rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
+            stack.extend(self._matched(a.children, b.children))
+
+
+def _common_ends(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
+    """How many children of equal shape both lists begin and end with.
+
+    No match of such a pair with others weighs more, so they are put together beforehand.
+    """
+    most, tail = min(len(xs), len(ys)), 0
+    while tail < most and xs[-1 - tail].key == ys[-1 - tail].key:
+        tail += 1
+    head = 0
+    while head < most - tail and xs[head].key == ys[head].key:
+        head += 1
+    return head, tail
 
 
 class Reference:
@@ -504,7 +564,7 @@ def _with_references(pages: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _references(pages: DataFrame) -> DataFrame:
-    """``host, layout, common, reference``: a page of about median size per host and layout.
+    """``host, layout, common, reference``: a page of about mean size per host and layout.
 
     ``common`` marks the host's layout with the most pages.
     """
@@ -522,11 +582,12 @@ def _references(pages: DataFrame) -> DataFrame:
                    large.count() <= MOST_ROWS)
     slim = slim.withColumn("layout", F.when(F.col("large"), F.col("layout")).otherwise(F.lit(REST)))
     groups = slim.groupBy("host", "layout").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("size", 0.5, 1000).alias("median")
+        F.count(F.lit(1)).alias("n"),
+        F.floor(F.sum("size") / F.count(F.lit(1))).alias("middle"),
     )
     groups = written(groups, "layout-sizes")
     small = groups.count() <= MOST_ROWS
-    mark = F.struct(F.abs(F.col("size") - F.col("median")).alias("off"), "hash", "page_id", "url")
+    mark = F.struct(F.abs(F.col("size") - F.col("middle")).alias("off"), "hash", "page_id", "url")
     first = _joined(slim, groups, ["host", "layout"], small).groupBy("host", "layout").agg(
         F.min(mark).alias("first")
     )

@@ -132,6 +132,45 @@ def test_template_is_learned_without_names(spark):
     assert wrappers.extract_main(df.where("false")).count() == 0
 
 
+def aligned(page, other):
+    tool, trees = wrappers.Aligner(), [wrappers.parse(page), wrappers.parse(other)]
+    for t in trees:
+        wrappers.measure(t, tool.keys)
+    return tool.weight(*trees), [(a.text, b.text) for a, b in tool.pairs(*trees)]
+
+
+def test_alignment_of_long_lists_is_the_one_of_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def page(depth=0):
+        out = ""
+        for _ in range(rng.integers(1, 5 if depth else 30)):
+            tag = ["p", "div", "b"][rng.integers(3)]
+            deeper = depth < 2 and rng.random() < 0.5
+            out += f"<{tag}>{page(depth + 1) if deeper else f'w{rng.integers(4)}'}</{tag}>"
+        return out
+
+    for _ in range(60):
+        pair = [f"<body>{page()}</body>" for _ in range(2)]
+        monkeypatch.setattr(wrappers, "SMALL_TABLE", 1 << 30)
+        plain = aligned(*pair)
+        monkeypatch.setattr(wrappers, "SMALL_TABLE", 0)
+        assert aligned(*pair) == plain
+
+
+def test_pages_of_many_paragraphs_align_fast():
+    n = 20_000
+    with_rules = "".join(f"<p>a{i}</p>" + "<hr>" * (i % 40 == 0) for i in range(n))
+    plain = "".join(f"<p>b{i}</p>" for i in range(n))
+    began = time.perf_counter()
+    for page in (plain, plain + "<ul><li>x</ul>"):
+        _, pairs = aligned(f"<body>{page}</body>", f"<body>{plain}</body>")
+        assert len(pairs) == n
+    assert time.perf_counter() - began < 10
+    _, pairs = aligned(f"<body>{with_rules}</body>", f"<body>{plain}</body>")
+    assert len(pairs) == n and time.perf_counter() - began < 60
+
+
 def test_named_parts_are_left_out(spark):
     page = ("<html><head><title>t</title></head><body><header>h</header><nav>n</nav>"
             "<main><h1>A&nbsp;B</h1><p>c&lt;d<br>e</p><ul><li>f<li>g</ul><form>q</form>"
