@@ -1,8 +1,14 @@
 """Chained-equation imputation: Bayesian ridge from sums, and random forests.
 
-Bayesian ridge needs only the sums of the products of the columns. Those of the
-complete rows never change and are taken once; a round then touches the incomplete rows
-alone, which are written down after every round to keep plans short.
+Bayesian ridge needs only the sums of the products of the columns, and every value it
+fills in is a linear function of the values that the row came with. So one scan takes
+the sums per gap pattern (which columns a row lacks), the rounds are linear algebra on
+those sums, and a last select applies each pattern's final coefficients. The stop rule asks
+for the largest change of any value; its root mean square, known from the sums, rules most
+rounds out, and a scan of the incomplete rows decides the others.
+
+Tables with too many patterns for that touch the incomplete rows in every round and write
+them down after it to keep plans short. Forests always do.
 """
 
 from __future__ import annotations
@@ -21,12 +27,14 @@ from burnish.functions.names import cell
 from burnish.operators.typing import number
 from burnish.plans.fused import column_aggregates
 from burnish.plans.materialize import materialize
-from burnish.plans.products import gram
+from burnish.plans.products import gram, grams_by_key
 
 ROUNDS, TOLERANCE = 10, 1e-3
 FOREST_TREES, FOREST_ROUNDS, FOREST_SEED = 50, 5, 42
 # The deepest trees that the library grows.
 FOREST_DEPTH = 30
+# Numbers that the sums of all gap patterns may have (32 MB); coefficients have fewer.
+MOST_SUMS = 4_000_000
 _RIDGE_ROUNDS, _RIDGE_TOLERANCE, _PRIOR = 300, 1e-3, 1e-6
 
 
@@ -97,6 +105,11 @@ class _Chain:
             | {m: v.isNull() for m, v in zip(self.m, values)}
         )
 
+    def pattern(self, started: DataFrame) -> DataFrame:
+        """Add ``__pattern``: a mark per column, 1 where the row lacks it."""
+        marks = [F.when(F.col(m), F.lit("1")).otherwise(F.lit("0")) for m in self.m]
+        return started.withColumn("__pattern", F.concat(*marks))
+
     def moved(self) -> Column:
         """Largest change of a row in the last round."""
         return F.greatest(*[F.abs(F.col(x) - F.col(f"__was_{x}")) for x in self.x], F.lit(0.0))
@@ -116,6 +129,94 @@ def impute_mice(
     if len(chain.columns) < 2:
         return chain.restored(chain.started(df), df.columns)
     started = chain.started(df)
+    most = MOST_SUMS // (len(chain.columns) + 1) ** 2
+    keys = chain.pattern(started).select("__pattern").distinct().limit(most + 1).collect()
+    if len(keys) <= most:
+        return _mice_by_pattern(started, chain, df.columns, rounds, tolerance)
+    return _mice_by_rounds(started, chain, df.columns, rounds, tolerance)
+
+
+def _mice_by_pattern(
+    started: DataFrame, chain: _Chain, names: Sequence[str], rounds: int, tolerance: float
+) -> DataFrame:
+    """All rounds on the sums of each gap pattern."""
+    rows = chain.pattern(started)
+    known = [
+        F.when(F.col(m), 0.0).otherwise(F.col(x) - F.lit(chain.means[c]))
+        for x, m, c in zip(chain.x, chain.m, chain.columns)
+    ]
+    found = grams_by_key(rows, "__pattern", known)
+    keys = sorted(found)
+    lacks = np.array([[mark == "1" for mark in k] for k in keys])
+    start = np.stack([found[k] for k in keys])
+    # Sums of the values as filled in so far, and those values as functions of the known ones.
+    sums = start.copy()
+    maps = np.zeros_like(sums)
+    maps[:, 0, 0] = 1.0
+    each, column = np.nonzero(~lacks)
+    maps[each, column + 1, column + 1] = 1.0
+    for _ in range(rounds):
+        before = maps.copy()
+        for c in chain.gaps:
+            i = chain.at(c) + 1
+            gap = lacks[:, i - 1]
+            coef, intercept = bayesian_ridge(sums[~gap].sum(axis=0), i)
+            line = np.insert(np.concatenate([[intercept], coef]), i, 0.0)
+            maps[gap, i] = line @ maps[gap]
+            row = line @ sums[gap]
+            row[:, i] = row @ line
+            sums[gap, i] = row
+            sums[gap, :, i] = row
+        change = maps - before
+        squares = np.einsum("kci,kij,kcj->kc", change, start, change)
+        typical = np.sqrt(np.max(np.maximum(squares, 0.0) / start[:, :1, 0]))
+        limit = tolerance * chain.far
+        if typical < limit and _largest(rows, chain, keys, lacks, change, known) < limit:
+            break
+    filled = _with_lines(rows, chain, keys, lacks, maps)
+    values = {
+        chain.x[chain.at(c)]: F.when(
+            F.col(chain.m[chain.at(c)]), F.lit(chain.means[c]) + _line(k, known)
+        ).otherwise(F.col(chain.x[chain.at(c)]))
+        for k, c in enumerate(chain.gaps)
+    }
+    return chain.restored(filled.withColumns(values), names)
+
+
+def _with_lines(
+    rows: DataFrame, chain: _Chain, keys: list[str], lacks: np.ndarray, maps: np.ndarray
+) -> DataFrame:
+    """Add ``__lines``: per column with gaps the coefficients of the row's pattern.
+
+    The broadcast table has less than ``MOST_SUMS`` numbers; complete rows match none of it.
+    """
+    at = [chain.at(c) + 1 for c in chain.gaps]
+    table = [(k, m[at].tolist()) for k, gap, m in zip(keys, lacks, maps) if gap.any()]
+    lines = rows.sparkSession.createDataFrame(
+        table, "__pattern string, __lines array<array<double>>"
+    )
+    return rows.join(F.broadcast(lines), "__pattern", "left")
+
+
+def _line(k: int, known: list[Column]) -> Column:
+    line = F.col("__lines")[k]
+    return reduce(lambda a, b: a + b, [line[j + 1] * x for j, x in enumerate(known)], line[0])
+
+
+def _largest(
+    rows: DataFrame, chain: _Chain, keys: list[str], lacks: np.ndarray, change: np.ndarray,
+    known: list[Column],
+) -> float:
+    """Largest change of any filled value in a round."""
+    step = _with_lines(rows.filter(F.col("__pattern").contains("1")), chain, keys, lacks, change)
+    moved = F.greatest(*[F.abs(_line(k, known)) for k in range(len(chain.gaps))], F.lit(0.0))
+    return step.agg(F.max(moved)).first()[0] or 0.0
+
+
+def _mice_by_rounds(
+    started: DataFrame, chain: _Chain, names: Sequence[str], rounds: int, tolerance: float
+) -> DataFrame:
+    """Each round by scans of the incomplete rows."""
     has_gap = reduce(or_, [F.col(m) for m in chain.m])
     fixed = _products(started.filter(~has_gap), chain)
     work = materialize(started.filter(has_gap))
@@ -140,7 +241,7 @@ def impute_mice(
         if largest < tolerance * chain.far:
             break
     complete = started.filter(~has_gap)
-    return chain.restored(complete.unionByName(work), df.columns)
+    return chain.restored(complete.unionByName(work), names)
 
 
 def impute_random_forest(

@@ -107,3 +107,37 @@ def gram(df: DataFrame, xs: list[Column]) -> np.ndarray:
     for i, j in pairs:
         out[i, j] = out[j, i] = row[f"{i},{j}"] or 0.0
     return out
+
+
+def grams_by_key(df: DataFrame, key: str, xs: list[Column]) -> dict[str, np.ndarray]:
+    """``gram`` for each value of a column that has few values."""
+    terms = [F.lit(1.0), *xs]
+    p = len(terms)
+    if len(xs) <= FEW_COLUMNS:
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        sums = [F.sum(terms[i] * terms[j]).alias(f"{i},{j}") for i, j in pairs]
+        out = {}
+        for r in df.groupBy(key).agg(*sums).collect():
+            out[r[key]] = total = np.zeros((p, p))
+            for i, j in pairs:
+                total[i, j] = total[j, i] = r[f"{i},{j}"] or 0.0
+        return out
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = batch.drop(columns="key").to_numpy(dtype=float)
+            for k, rows in batch.groupby("key").indices.items():
+                totals[k] = totals.get(k, 0.0) + x[rows].T @ x[rows]
+        for k, total in totals.items():
+            yield pd.DataFrame(
+                {"key": k, "i": np.arange(p, dtype=np.int32), "row": list(total)}
+            )
+
+    wide = df.select(F.col(key).alias("key"), *[x.alias(f"x{k}") for k, x in enumerate(terms)])
+    parts = wide.mapInPandas(partial, "key string, i int, row array<double>")
+    sums = [F.sum(F.col("row")[j]).alias(f"s{j}") for j in range(p)]
+    out = {}
+    for r in parts.groupBy("key", "i").agg(*sums).collect():
+        out.setdefault(r["key"], np.zeros((p, p)))[r["i"]] = [r[f"s{j}"] for j in range(p)]
+    return out

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from burnish.operators import nearest
+from burnish.operators import iterative, nearest
 from burnish.operators.isolation import anomaly_scores
 from burnish.operators.iterative import bayesian_ridge, impute_mice, impute_random_forest
 from burnish.operators.multivariate import correlations, principal_components
@@ -87,6 +87,26 @@ def test_chained_imputers(spark, impute):
     assert np.abs(got - full)[holes].mean() < 0.25 * plain_error
 
 
+@pytest.mark.parametrize("width,rounds", [(3, 10), (7, 1)])
+def test_chained_ridge_by_pattern_and_by_rounds_agree(spark, monkeypatch, width, rounds):
+    """Few and many columns, rows without gaps and without any value."""
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, width)) + rng.normal(size=(400, width)) / 5
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[7] = np.nan
+    names = [f"c{i}" for i in range(width)]
+    df = with_nulls(spark, pd.DataFrame(x, columns=names).assign(id=np.arange(len(x))))
+    scans = []
+    largest = iterative._largest
+    monkeypatch.setattr(iterative, "_largest", lambda *a: scans.append(1) or largest(*a))
+    by_pattern = impute_mice(df, names, rounds).toPandas().sort_values("id")
+    assert len(scans) <= 3
+    monkeypatch.setattr(iterative, "MOST_SUMS", 0)
+    by_rounds = impute_mice(df, names, rounds).toPandas().sort_values("id")
+    assert not by_rounds.isna().any().any()
+    assert np.allclose(by_pattern[names], by_rounds[names], rtol=1e-9, atol=1e-9)
+
+
 def test_chained_imputers_leave_empty_columns(spark):
     df = spark.createDataFrame(
         [(1.0, 2.0, None), (2.0, None, None), (3.0, 6.0, None)], "a double, b double, c double"
