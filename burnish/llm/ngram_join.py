@@ -9,9 +9,11 @@ text of fewer words is one shingle). Links join different texts of Jaccard simil
    MinHash values of a pair are compared in steps; it is dropped as soon as the posterior
    probability of reaching the threshold falls below the tolerance. The rest is verified exactly.
 3. Members of a bucket that are not linked to a common leader are compared with each other, in
-   blocks, across leaders only; a task hands on the exact links that join what it had not joined
-   yet, at most one per member. So no pair that shares a bucket is skipped unless its two texts
-   are connected already. Components of all links follow by large-star and small-star rounds.
+   blocks, across leaders only; the members of the bucket's largest leader, who are joined already,
+   meet the blocks of the others and never their own. A task hands on the exact links that join
+   what it had not joined yet, at most one per member. So no pair that shares a bucket is skipped
+   unless its two texts are connected already. Components of all links follow by large-star and
+   small-star rounds.
 4. Inside each class all pairs of different texts are counted exactly, in blocks of members, by a
    product of their shingle incidence matrices; only counts leave a task.
 
@@ -291,14 +293,26 @@ def _mark(df: DataFrame):
 def _block_pairs(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """Deal the members of each group into blocks and repeat each for every pair of blocks.
 
-    ``members`` tells the group's size ``n``. Returns ``group, i, j`` with ``i <= j`` and ``side``
-    0 or 1; a row sits in block ``i`` or ``j`` of its pair. A block holds about ``BLOCK`` members.
+    ``members`` tells the group's size ``n``, how many of these are ``n_joined`` with each other
+    already, and whether a row is one of them (``joined``). Returns ``group, i, j`` with ``i <= j``
+    and ``side`` 0 or 1; a row sits in block ``i`` or ``j`` of its pair. A block holds about
+    ``BLOCK`` members. Blocks of joined members come first and are paired with the others only.
     """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn(
-        "mine", F.pmod(F.xxhash64("digest"), F.col("blocks").cast("long")).cast("int")
+    def blocks(n):
+        return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+    dealt = members.withColumn("first", blocks(F.col("n_joined"))).withColumn(
+        "rest", blocks(F.col("n") - F.col("n_joined"))
+    )
+    own = F.when(F.col("joined"), F.col("first")).otherwise(F.col("rest")).cast("long")
+    mine = F.pmod(F.xxhash64("digest"), own) + F.when(F.col("joined"), 0).otherwise(F.col("first"))
+    dealt = dealt.withColumn("mine", mine.cast("int")).withColumn(
+        "other",
+        F.explode(F.sequence(
+            F.when(F.col("joined"), F.col("first")).otherwise(0),
+            F.col("first") + F.col("rest") - 1,
+        )),
     )
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(
         F.col(group).alias("group"),
         F.least("mine", "other").alias("i"),
@@ -308,6 +322,23 @@ def _block_pairs(members: DataFrame, group: str, columns: list[str]) -> DataFram
     )
 
 
+def _open_bands(placed: DataFrame) -> DataFrame:
+    """Members of the bands that hold more than one root, marked for ``_block_pairs``.
+
+    ``placed`` has ``digest, band, root``. Joined are those of the band's largest root.
+    """
+    roots = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = F.struct("size", "root")
+    bands = (
+        roots.groupBy("band")
+        .agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(largest).alias("top"))
+        .where("n > 2 and roots > 1")
+        .select("band", "n", F.col("top.size").alias("n_joined"), F.col("top.root").alias("most"))
+    )
+    marked = placed.join(written(bands, "open-bands"), "band")
+    return marked.withColumn("joined", F.col("root") == F.col("most")).drop("most")
+
+
 def _across(table: pa.Table) -> pa.Table:
     """Links of one block pair between members that nothing has joined yet.
 
@@ -442,13 +473,7 @@ def linked_digests(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
         "root", F.coalesce("lead", "digest")
     )
     placed = written(placed.select("digest", "band", "root"), "placed")
-    bands = (
-        placed.groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where("n > 2 and lo != hi")
-        .select("band", "n")
-    )
-    placed = placed.join(written(bands, "open-bands"), "band")
+    placed = _open_bands(placed)
     placed = placed.join(mins, "digest").join(grams, "digest")
     dealt = _block_pairs(placed, "band", ["digest", "root", "mins", "grams"])
     more = dealt.groupBy("group", "i", "j").applyInArrow(_across, "a binary, b binary")
@@ -465,7 +490,9 @@ def join_classes(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     """
     roots, docs, grams = linked_digests(df, text)
     sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "class-sizes")
-    members = roots.join(sizes, "root").join(grams, "digest")
+    members = roots.join(sizes, "root").join(grams, "digest").withColumns(
+        {"n_joined": F.lit(0), "joined": F.lit(False)}
+    )
     dealt = _block_pairs(members, "root", ["digest", "grams"])
     counts = dealt.groupBy("group", "i", "j").applyInArrow(_degrees, "digest binary, n bigint")
     counts = counts.groupBy("digest").agg(F.sum("n").alias("n_links"))

@@ -139,3 +139,49 @@ def test_components(spark):
         **{i: 3 for i in (3, 4, 5, 9)}, **{i: 20 for i in (20, 21, 22, 23)},
         **{i: 100 for i in range(100, 161)},
     }
+
+
+def dealt(spark, sizes):
+    """Block pairs of one band whose roots have these many members."""
+    rows = [(f"{r}-{i}".encode(), 7, f"{r}".encode()) for r, n in enumerate(sizes) for i in range(n)]
+    placed = spark.createDataFrame(rows, "digest binary, band long, root binary")
+    return J._block_pairs(J._open_bands(placed), "band", ["digest", "root"]).toPandas()
+
+
+def test_a_stranger_does_not_deal_a_hot_bucket_anew(spark):
+    got = dealt(spark, [5_000, 1])
+    assert len(got) < 3 * 5_000
+    stranger = got[got["root"].map(bytes) == b"1"]
+    met = got.merge(stranger[["i", "j"]], on=["i", "j"])
+    assert met["digest"].map(bytes).nunique() == 5_001
+
+
+def test_all_members_of_different_roots_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    sizes = [40, 23, 1, 1, 30]
+    pairs = Counter()
+    for (i, j), rows in dealt(spark, sizes).groupby(["i", "j"]):
+        assert len(rows) <= 80
+        own = [(bytes(d), bytes(r), s) for d, r, s in zip(rows["digest"], rows["root"], rows["side"])]
+        for x in range(len(own)):
+            for y in range(x + 1, len(own)):
+                if own[x][1] != own[y][1] and (i == j or own[x][2] != own[y][2]):
+                    pairs[frozenset((own[x][0], own[y][0]))] += 1
+    total = sum(sizes)
+    assert len(pairs) == (total * total - sum(n * n for n in sizes)) // 2
+    assert set(pairs.values()) == {1}
+    assert dealt(spark, [9]).empty
+
+
+def test_blocks_of_a_hot_bucket_find_the_links(spark, monkeypatch):
+    """Two chains share buckets with a crowd of near copies; small blocks."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(60)]
+        for at in range(int(rng.integers(0, 24))):  # from near copies to strangers
+            words[at] = f"v{rng.integers(0, 6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
