@@ -13,7 +13,8 @@ nor the rows of a pass grow with ties, copies or a common vector.
 Defined results: rows without ``vec_id``, and vectors that are null or hold null or non-finite
 components, take no part; vectors of different lengths are not compared; a query is not compared
 with any row of its own ``vec_id``; repeated query rows of one ``vec_id`` and vector are asked
-once; fewer candidates than ``k`` give them all; components and scores must fit in 64 bits.
+once; fewer candidates than ``k`` give them all; components and scores beyond 64 bits count as the
+ends of that range (plus or minus ``2**63 - 1``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from burnish.plans.shipping import ship
 
 #: Queries broadcast at a time, bins of a histogram, candidates scored at a time.
 QUERIES, BINS, ROWS = 4096, 4096, 2048
+#: The largest score.
+LARGEST = (1 << 63) - 1
 
 
 def whole_vectors(df: DataFrame, scale: int = 256) -> DataFrame:
@@ -38,7 +41,8 @@ def whole_vectors(df: DataFrame, scale: int = 256) -> DataFrame:
         "embedding",
         lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))),
     )
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    whole = F.transform("embedding", lambda x: F.greatest(
+        F.floor(x.cast("double") * scale).cast("long"), F.lit(-LARGEST)))
     return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
@@ -47,14 +51,28 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, bound: int):
         self.ids, self.k = ids, k
-        self.exact = bound < 1 << 53
-        self.vectors = vectors.astype(np.float64) if self.exact else vectors
-        self.low = np.full(len(ids), -bound, dtype=np.int64)
-        self.span = 2 * bound + 1  # of the open range, which begins at ``low``
+        self.vectors, self.real = vectors, vectors.astype(np.float64)
+        self.most = int(np.abs(vectors).max(initial=0))
+        wide = bound >= 1 << 62
+        self.low = np.full(len(ids), -1 << 63 if wide else -bound, dtype=np.int64)
+        self.span = 1 << 64 if wide else 2 * bound + 1  # of the open range from ``low`` on
         self.width = -(-self.span // BINS)
         self.need = np.full(len(ids), k, dtype=np.int64)
         self.done = np.zeros(len(ids), dtype=bool)
 
+    def products(self, rows: np.ndarray) -> np.ndarray:
+        """Inner products of all queries and rows; the parts that doubles can't hold apart."""
+        limit = rows.shape[1] * self.most * int(np.abs(rows).max(initial=0))
+        real = rows.astype(np.float64).T
+        if limit < 1 << 53:
+            return (self.real @ real).astype(np.int64)
+        got = self.vectors @ rows.T  # wraps where 64 bits do not suffice
+        if limit >= 1 << 62:
+            for q, r in np.argwhere(np.abs(self.real) @ np.abs(real) >= 2.0**62):
+                exact = sum(a * b for a, b in zip(self.vectors[q].tolist(), rows[r].tolist()))
+                got[q, r] = max(-LARGEST, min(LARGEST, exact))
+        return got
+
     def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Candidates' ids, scores and which of them are worth handing on."""
         ids = batch.column("vec_id").to_numpy()
@@ -62,8 +80,7 @@ class Block:
         for at in range(0, len(ids), ROWS):
             own = ids[at:at + ROWS]
             rows = flat[at:at + ROWS]
-            rows = rows.astype(np.float64) if self.exact else rows
-            got = (self.vectors @ rows.T).astype(np.int64)
+            got = self.products(rows)
             other = self.ids[:, None] != own[None, :]
             if len(own) > self.k:
                 masked = np.where(other, got, np.iinfo(np.int64).min)
@@ -77,9 +94,10 @@ def _histogram(block) -> object:
         b = block.value
         for batch in batches:
             for _, scores, worth in b.scores(batch):
-                where = scores - b.low[:, None]
-                worth = worth & (where >= 0) & (where < b.span) & ~b.done[:, None]
-                where //= b.width
+                # as unsigned numbers scores below ``low`` lie beyond the span
+                where = scores.view(np.uint64) - b.low.view(np.uint64)[:, None]
+                worth = worth & (where <= np.uint64(b.span - 1)) & ~b.done[:, None]
+                where = (where // np.uint64(b.width)).astype(np.int64)
                 query, column = np.nonzero(worth)
                 cells, n = np.unique(query * BINS + where[query, column], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +151,7 @@ def _located(candidates: DataFrame, block: Block) -> Block:
                 block.done[i] = True
                 continue
             at, above = found[i]
-            block.low[i] += at * block.width
+            block.low[i] = int(block.low[i]) + at * block.width
             block.need[i] -= above
         if block.width == 1 or block.done.all():
             return block
@@ -166,7 +184,7 @@ def top_k(df: DataFrame, asked: Column, k: int = 5) -> DataFrame:
             rows.sort(key=lambda r: (r["vec_id"], r["v"]))
             ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
             table = np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), size)
-            bound = size * most * most
+            bound = size * most * int(np.abs(table).max(initial=0))
             block = _located(candidates.select("vec_id", "v"), Block(ids, table, k, bound))
             shared = spark.sparkContext.broadcast(block)
             parts.append(candidates.select("vec_id", "v").mapInArrow(

@@ -290,6 +290,25 @@ def test_top_k_with_ties_and_copies(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_vectors_that_overflow(spark):
+    """Scores beyond 64 bits count as the ends of the range; all others stay exact."""
+    end = (1 << 63) - 1
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(60)]
+    rows += [(100, [1e7, 3e6, -2e6, 1e6]), (101, [1e7, 1e6, 3.0, 2e6]), (102, [-3e12, 1.0, 0.0, 0.0]),
+             (150, [2e12, 0.0, 0.0, 5.0]), (103, [-1e300, 1e300, 1.0, 1.0]), (104, [2e12, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
+    whole = {i: [max(-end, min(end, int(np.floor(256 * x)) if abs(x) < 1e16 else int(x)))
+                 for x in v] for i, v in rows}
+    expected = []
+    for i in (0, 50, 100, 150):
+        scores = sorted((-max(-end, min(end, sum(a * b for a, b in zip(whole[i], w)))), j)
+                        for j, w in whole.items() if j != i)
+        expected += [(i, n, j, -s) for n, (s, j) in enumerate(scores[:5], 1)]
+    assert got == sorted(expected)
+
+
 # 5: toxicity
 
 
@@ -336,6 +355,19 @@ def test_toxicity_of_awkward_rows(spark, awkward, empty):
     assert toxicity.keep_clean(awkward, labels).columns == awkward.columns
 
 
+def test_toxicity_learns_one_text_of_a_repeated_id(spark):
+    """Thousands of rows of one labelled id weigh like one; the fold of a null id is false."""
+    rows = [(i, "vile scum words " * 3 if i % 2 else "kind calm words " * 3) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame(rows + [(1, rows[1][1])] * 2_000, "doc_id long, text string")
+    a, b = toxicity.fit(once, labels), toxicity.fit(more, labels)
+    assert a.lexicon == b.lexicon
+    assert np.allclose(a.node, b.node) and np.allclose(a.curve, b.curve)
+    ids = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert all(r[0] is not None for r in ids.select(toxicity.held_out(F.col("doc_id"))).collect())
+
+
 # 6: decontamination
 
 
