@@ -2,6 +2,7 @@
 
 First and last come out of a rank whose limit is pushed below the shuffle, ``drop_all`` out of a
 grouped aggregate: a group that holds a third of the table costs one row per task either way.
+Of a large table only the rows that may repeat are shuffled whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from burnish.functions.names import cell
 from burnish.operators.frequency import row_keys
 from burnish.operators.typing import ROW_ORDER, data_columns
+from burnish.plans import fused
+from burnish.plans.repeats import split_repeats
 
 
 def drop_duplicate_rows(
@@ -29,10 +32,20 @@ def drop_duplicate_rows(
     """
     if keep == "none":
         return df
+    keys = list(subset or data_columns(df))
+    if fused.estimated_bytes(df) <= fused.SMALL_BYTES:
+        return _dropped(df, keep, subset, keys, order_by)
+    once, others = split_repeats(df, row_keys(df, keys))
+    return once.union(_dropped(others, keep, subset, keys, order_by))
+
+
+def _dropped(
+    df: DataFrame, keep: str, subset: Sequence[str] | None, keys: list[str],
+    order_by: Sequence[str],
+) -> DataFrame:
     if not subset and keep != "drop_all" and ROW_ORDER not in df.columns:
         # Equal rows are interchangeable.
         return df.distinct()
-    keys = list(subset or data_columns(df))
     position = list(order_by) or ([ROW_ORDER] if ROW_ORDER in df.columns else [])
     found = row_keys(df, keys)
     if keep == "drop_all":

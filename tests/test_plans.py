@@ -9,7 +9,7 @@ from burnish.operators.chart import group_medians
 from burnish.operators.dedup import drop_duplicate_rows
 from burnish.operators.frequency import cell_counts, keep_top, top_values
 from burnish.operators.impute import impute_fill
-from burnish.plans import ordered, quantiles
+from burnish.plans import fused, ordered, quantiles, repeats
 from burnish.plans.quantiles import exact_quantiles
 
 PROBABILITIES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -98,6 +98,28 @@ def test_first_of_a_group_is_limited_below_the_shuffle(spark):
     assert sorted(r["id"] for r in kept.collect()) == list(range(93, 100))
 
 
+@pytest.mark.parametrize("keep", ["keep_first", "keep_last", "drop_all"])
+@pytest.mark.parametrize("words", [1 << 18, 1])
+def test_only_rows_that_may_repeat_are_shuffled(spark, monkeypatch, keep, words):
+    """A full bitmap and one of a single word give the rows of the plan for small tables."""
+    df = spark.range(3_000).selectExpr(
+        "id", "if(id % 50 = 0, id % 100, id) AS k", "if(id % 7 = 0, NULL, 'a') AS t",
+        "if(id % 3 = 0, 0.0D, -0.0D) AS z", "repeat('long ', 40) AS wide",
+    )
+    keys = ["k", "t", "z", "wide"]
+    expected = sorted(drop_duplicate_rows(df, keep, keys, ["id"]).collect())
+    assert len(expected) < 3_000
+    monkeypatch.setattr(fused, "SMALL_BYTES", -1)
+    monkeypatch.setattr(repeats, "WORDS", words)
+    assert sorted(drop_duplicate_rows(df, keep, keys, ["id"]).collect()) == expected
+    once, others = repeats.split_repeats(df, [F.col(c) for c in keys])
+    assert once.count() + others.count() == 3_000
+    if words > 1:
+        assert others.count() < 80
+    whole = df.drop("id").union(df.drop("id"))
+    assert drop_duplicate_rows(whole).count() == df.drop("id").distinct().count()
+
+
 def test_quantiles_of_signs_and_tiny_numbers(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "FEW_VALUES", 0)
     values = [-0.0, 0.0, 5e-324, -5e-324, 1.0, -1.0, 1e308, -1e308, 2.0**-1040]
