@@ -1,8 +1,9 @@
-"""Files, catalog, sample tables and the golden facts about them."""
+"""Files, catalog, and facts of small tables."""
 
 import json
 
 import pytest
+from small_tables import NUMERIC, expected, iqr_fences, small
 from pyspark.sql import functions as F
 
 from burnish.functions.numbers import natural_key
@@ -18,7 +19,6 @@ from burnish.operators.quality import table_quality
 from burnish.operators.typing import ROW_ORDER, infer_types, numeric_columns
 from burnish.sources import catalog, sinks
 from burnish.sources.delimited import load_files, read_delimited, read_sniffed, table_name
-from burnish.sources.samples import SAMPLES, load_sample, sample
 from burnish.sql import run_sql, save_result
 
 CSV = 'id,name , note\n1, "a, ""b""" ,x\n\n2,short\n,,\n3,"  in  ",y,extra\n'
@@ -68,125 +68,118 @@ def test_sinks(spark, tmp_path):
 
 
 def test_catalog(spark):
-    load_sample(spark, "messy")
-    found = catalog.list_tables(spark, ["messy"]).first()
-    assert (found["rows"], found["cols"], found["duplicates"], found["nulls"]) == (12, 10, 1, 21)
-    assert found["completeness"] == 83
-    stored = save_result(run_sql(spark, "SELECT dept, count(*) n FROM messy GROUP BY dept"),
-                         "by dept", durable=True)
-    assert stored in catalog.names(spark) and spark.table(stored).count() == 4
+    catalog.register(small(spark, "stations"), "stations")
+    found = catalog.list_tables(spark, ["stations"]).first()
+    table = expected("stations")
+    nulls = int(table.isna().sum().sum())
+    assert (found["rows"], found["cols"], found["duplicates"], found["nulls"]) == (12, 8, 1, nulls)
+    assert found["completeness"] == round((1 - nulls / table.size) * 100)
+    stored = save_result(run_sql(spark, "SELECT terrain, count(*) n FROM stations GROUP BY terrain"),
+                         "by terrain", durable=True)
+    assert stored in catalog.names(spark) and spark.table(stored).count() == 3
     catalog.drop(spark, stored)
-    catalog.drop(spark, "messy")
-    assert not {stored, "messy"} & set(catalog.names(spark))
-
-
-@pytest.mark.parametrize(
-    "name,numeric",
-    [
-        ("sales", ["qty", "unit_price", "total", "discount", "profit"]),
-        ("employees", ["salary"]),
-        ("messy", ["id", "age", "salary", "score"]),
-        ("transactions", ["amount"]),
-    ],
-)
-def test_typed_view(spark, name, numeric):
-    assert numeric_columns(infer_types(sample(spark, name))) == numeric
-    assert set(SAMPLES) == {"sales", "employees", "messy", "transactions"}
-
-
-def test_messy_profile(spark):
-    rows = {r["column"]: r for r in profile(sample(spark, "messy")).collect()}
-    nulls = {"age": 3, "salary": 2, "score": 3, "date": 1, "phone": 5, "notes": 7}
-    assert {c: r["null_count"] for c, r in rows.items() if r["null_count"]} == nulls
-    age = rows["age"]
-    assert (age["median"], age["std"]) == (34, 323.356657)
-    assert (age["skewness"], age["kurtosis"]) == (2.9886, 8.9504)
-    assert sum(age["histogram"]["counts"]) == 9
-    assert rows["dept"]["mode"] == "Engineering" and rows["dept"]["type"] == "text"
-    assert table_quality(infer_types(sample(spark, "messy"))).first()["duplicates"] == 1
-
-
-def test_messy_correlations(spark):
-    df = infer_types(sample(spark, "messy"))
-    found = {(r[0], r[1]): r[2] for r in correlations(df, ["age", "salary", "score"]).collect()}
-    assert found["age", "salary"] == -0.4060
-    assert found["age", "score"] == -0.3698
-    assert found["salary", "score"] == 0.1099
-
-
-@pytest.mark.parametrize(
-    "table,column,lo,hi",
-    [
-        ("messy", "age", 11, 59),
-        ("messy", "salary", 41000, 105000),
-        ("messy", "score", 5.625, 10.425),
-        ("sales", "qty", -5.875, 17.125),
-        ("employees", "salary", -8750, 243250),
-        ("transactions", "amount", -480.77125, 891.25875),
-    ],
-)
-def test_fences(spark, table, column, lo, hi):
-    df = drop_duplicate_rows(infer_types(sample(spark, table)))
+    catalog.drop(spark, "stations")
+    assert not {stored, "stations"} & set(catalog.names(spark))
+
+
+@pytest.mark.parametrize("name", NUMERIC)
+def test_typed_view(spark, name):
+    assert numeric_columns(infer_types(small(spark, name))) == NUMERIC[name]
+
+
+def test_profile_of_stations(spark):
+    rows = {r["column"]: r for r in profile(small(spark, "stations")).collect()}
+    table = expected("stations")
+    assert {c: r["null_count"] for c, r in rows.items()} == table.isna().sum().to_dict()
+    for c in NUMERIC["stations"]:
+        assert rows[c]["median"] == pytest.approx(table[c].median())
+        assert rows[c]["std"] == pytest.approx(table[c].std(), abs=1e-6)
+        assert rows[c]["skewness"] == pytest.approx(table[c].skew(), abs=1e-4)
+        assert rows[c]["kurtosis"] == pytest.approx(table[c].kurt(), abs=1e-4)
+        assert sum(rows[c]["histogram"]["counts"]) == table[c].count()
+    assert rows["terrain"]["mode"] == "Valley" and rows["terrain"]["type"] == "text"
+    assert table_quality(infer_types(small(spark, "stations"))).first()["duplicates"] == 1
+
+
+def test_correlations_of_stations(spark):
+    df = infer_types(small(spark, "stations"))
+    names = ["height", "temp", "wind"]
+    table = expected("stations")[names].corr()
+    found = {(r[0], r[1]): r[2] for r in correlations(df, names).collect()}
+    for a, b in [("height", "temp"), ("height", "wind"), ("temp", "wind")]:
+        assert found[a, b] == pytest.approx(table.loc[a, b], abs=1e-4)
+
+
+@pytest.mark.parametrize("name,column", [(n, c) for n, cs in NUMERIC.items() for c in cs])
+def test_fences(spark, name, column):
+    df = drop_duplicate_rows(infer_types(small(spark, name)))
     found = fences(df, [column], "iqr")[column]
-    assert (found.lo, found.hi) == pytest.approx((lo, hi))
+    assert (found.lo, found.hi) == pytest.approx(
+        iqr_fences(expected(name).drop_duplicates()[column]))
 
 
-def test_sales_example(spark):
-    load_sample(spark, "sales")
+def test_sums_over_a_registered_table(spark):
+    catalog.register(infer_types(small(spark, "harvest")), "harvest")
     rows = run_sql(
         spark,
-        """SELECT region, category, sum(total) AS revenue, avg(profit) AS avg_profit,
-                  count(*) AS orders
-           FROM sales GROUP BY region, category ORDER BY revenue DESC LIMIT 3""",
+        """SELECT farm, crop, sum(crates * price) AS revenue, avg(price) AS mean_price,
+                  count(*) AS lots
+           FROM harvest GROUP BY farm, crop ORDER BY revenue DESC LIMIT 3""",
     ).collect()
     assert [(r[0], r[1], round(r[2], 2), round(r[3], 3), r[4]) for r in rows] == [
-        ("East", "Clothing", 3184.5, 477.675, 2),
-        ("South", "Furniture", 2593.0, 334.05, 2),
-        ("North", "Electronics", 2439.9, 276.0, 2),
+        ("Lower", "apples", 810.0, 4.5, 1),
+        ("Upper", "plums", 291.5, 8.125, 2),
+        ("Brook", "apples", 280.9, 4.85, 2),
     ]
+    catalog.drop(spark, "harvest")
 
 
-def test_messy_clean(spark):
-    raw = sample(spark, "messy")
+def test_clean_stations(spark):
+    raw = small(spark, "stations")
     out = clean(raw, CleanConfig(), ["id"])
+    table = expected("stations").drop_duplicates()
+    outside = {c: ~table[c].between(*iqr_fences(table[c])) & table[c].notna()
+               for c in NUMERIC["stations"]}
     stats = out.stats.first()
     assert (stats["rows_in"], stats["rows_out"], stats["dupes"]) == (12, 11, 1)
-    assert stats["outliers"] == 2 and stats["rows_removed"] == 1
+    assert stats["outliers"] == sum(int(o.sum()) for o in outside.values()) >= 2
+    assert stats["rows_removed"] == 1
     rows = out.df.collect()
-    assert all(11 <= r["age"] <= 59 for r in rows)
-    assert "Carol White" in {r["name"] for r in rows}
+    for c in ("height", "wind"):
+        lo, hi = iqr_fences(table[c])
+        assert all(lo <= r[c] <= hi for r in rows)
+    assert "Old Mill" in {r["place"] for r in rows}
     assert all(r[c] is not None for r in rows for c in out.df.columns)
     again = clean(out.df, CleanConfig(outlier_method="none"), ["id"]).stats.first()
     assert again["str_ops"] == 0 and again["dupes"] == 0
 
 
 def test_clean_overrides_and_models(spark):
-    raw = sample(spark, "messy")
+    raw = small(spark, "stations")
     for model in ("mean", "median", "mice"):
         out = clean(raw, CleanConfig(ml_model=model, outlier_method="modified_z"), ["id"]).df
-        assert out.filter(F.col("age").isNull() | F.col("score").isNull()).count() == 0
+        assert out.filter(F.col("height").isNull() | F.col("temp").isNull()).count() == 0
     cfg = CleanConfig(
         outlier_action="remove",
         missing_strategy="none",
         str_transform="lower",
         columns={
-            "age": ColumnConfig(outlier_action="nan", missing="custom", custom_fill=40),
-            "name": ColumnConfig(str_transform="title"),
-            "phone": ColumnConfig(missing="drop"),
+            "height": ColumnConfig(outlier_action="nan", missing="custom", custom_fill=40),
+            "place": ColumnConfig(str_transform="title"),
+            "code": ColumnConfig(missing="drop"),
         },
     )
     rows = clean(raw, cfg, ["id"]).df.collect()
-    assert {r["name"] for r in rows} == {
-        "Alice Johnson", "Carol White", "David Lee", "Eve Martinez", "Grace Kim", "Iris Chen",
-        "Karen Davis"}
-    assert all(r["dept"] == r["dept"].lower() for r in rows)
-    employees = clean(sample(spark, "employees"), CleanConfig(), ["emp_id"]).df
-    assert {r["remote"] for r in employees.collect()} == {0.0, 1.0}
+    assert {r["place"] for r in rows} == {
+        "Cape North", "Old Mill", "Pine Gate", "Stone Weir", "Long Beach", "Barn Hill"}
+    assert all(r["terrain"] == r["terrain"].lower() for r in rows)
+    harvest = clean(small(spark, "harvest"), CleanConfig(outlier_method="none"), ["lot"]).df
+    assert {r["organic"] for r in harvest.collect()} == {0.0, 1.0}
 
 
 def test_isolation_forest_flag(spark):
     cfg = CleanConfig(outlier_method="isolation_forest", outlier_action="flag", ml_model="median")
-    out = clean(sample(spark, "messy"), cfg, ["id"]).df
+    out = clean(small(spark, "stations"), cfg, ["id"]).df
     assert {"_outlier_flag", "_anomaly_score"} <= set(out.columns)
     assert out.agg(F.sum("_outlier_flag")).first()[0] == 1
 
@@ -217,10 +210,11 @@ def test_model_failure_falls_back_to_the_median(spark, monkeypatch):
 
     monkeypatch.setattr(module, "impute_mice", broken)
     cfg = CleanConfig(ml_model="mice", outlier_method="none")
-    out = clean(sample(spark, "messy"), cfg, ["id"])
+    out = clean(small(spark, "stations"), cfg, ["id"])
     assert any("median instead" in line for line in out.log)
     assert out.log[-1] == "rows: in=12 out=11"
-    assert {r["age"] for r in out.df.filter("id = 3 OR id = 2").collect()} == {34.0}
+    middle = expected("stations").drop_duplicates()["height"].median()
+    assert {r["height"] for r in out.df.filter("id = 6 OR id = 2").collect()} == {middle}
 
 
 def test_odd_column_names(spark):
