@@ -8,7 +8,8 @@ for the largest change of any value; its root mean square, known from the sums,
 rounds out, and a scan of the incomplete rows decides the others.
 
 Tables with too many patterns for that touch the incomplete rows in every round and write
-them down after it to keep plans short. Forests always do.
+them down after it to keep plans short. Forests always do; the complete rows are cut into bins
+once and written as a table of bytes, from which the forests of all columns and rounds learn.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,16 @@ from pyspark.sql import functions as F
 from burnish.functions.names import cell
 from burnish.operators.typing import number
 from burnish.plans.fused import column_aggregates
-from burnish.plans.materialize import materialize
+from burnish.plans.materialize import materialize, stored
 from burnish.plans.products import gram, grams_by_key
+from burnish.plans.quantiles import exact_quantiles
 
 ROUNDS, TOLERANCE = 10, 1e-3
 FOREST_TREES, FOREST_ROUNDS, FOREST_SEED = 50, 5, 42
 # The deepest trees that the library grows.
 FOREST_DEPTH = 30
+# Bins per column: a byte each.
+FOREST_BINS = 64
 # Numbers that the sums of all gap patterns may have (32 MB); coefficients have fewer.
 MOST_SUMS = 4_000_000
 _RIDGE_ROUNDS, _RIDGE_TOLERANCE, _PRIOR = 300, 1e-3, 1e-6
@@ -251,8 +255,13 @@ def impute_random_forest(
     trees: int = FOREST_TREES,
     tolerance: float = TOLERANCE,
     max_depth: int = FOREST_DEPTH,
+    bins: int = FOREST_BINS,
 ) -> DataFrame:
-    """The same rounds with a random forest per column with gaps."""
+    """The same rounds with a random forest per column with gaps.
+
+    The raw rows are read to find the ``bins`` (at most 128), to write the table of the complete
+    rows' bins, to write the incomplete rows, and to put the result together; no fit reads them.
+    """
     chain = _Chain(df, columns)
     if not chain.gaps:
         return df
@@ -261,12 +270,15 @@ def impute_random_forest(
         return chain.restored(started, df.columns)
     has_gap = reduce(or_, [F.col(m) for m in chain.m])
     complete = started.filter(~has_gap)
-    work = materialize(started.filter(has_gap))
+    binned = _binning(df, chain, bins)
+    labels = [chain.x[chain.at(c)] for c in chain.gaps]
+    table = stored(binned(complete).select(*_bytes(chain), *labels), "forest-bins")
+    work = stored(started.filter(has_gap), "forest-gaps")
     for _ in range(rounds):
         step = work.select("*", *[F.col(x).alias(f"__was_{x}") for x in chain.x])
         for c in chain.gaps:
-            step = _forest_step(complete, step, chain, chain.at(c), trees, max_depth)
-        step = materialize(step)
+            step = _forest_step(table, binned(step), chain, chain.at(c), trees, max_depth, bins)
+        step = stored(step, "forest-gaps")
         largest = step.agg(F.max(chain.moved())).first()[0] or 0.0
         work = step.drop(*[f"__was_{x}" for x in chain.x])
         if largest < tolerance * chain.far:
@@ -274,28 +286,52 @@ def impute_random_forest(
     return chain.restored(complete.unionByName(work), df.columns)
 
 
+def _bytes(chain: _Chain) -> list[Column]:
+    return [F.col(f"__b{i}").cast("tinyint").alias(f"__b{i}") for i in range(len(chain.x))]
+
+
+def _binning(df: DataFrame, chain: _Chain, bins: int) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``__b0, ...``: the bins of the working columns, cut at exact quantiles of known values."""
+    values = {c: number(df, c) for c in chain.columns}
+    shares = [i / bins for i in range(1, bins)]
+    cuts = exact_quantiles(df, values, shares, chain.filled, interpolate=False)
+    # Infinite cuts become the outermost finite ones, which part the infinities from the rest.
+    most = np.finfo(float).max
+    inner = [np.unique(np.clip(cuts[c], -most, most)).tolist() for c in chain.columns]
+    bucketizer = Bucketizer(
+        splitsArray=[[-np.inf, *cut, np.inf] for cut in inner],
+        inputCols=chain.x,
+        outputCols=[f"__b{i}" for i in range(len(chain.x))],
+    )
+    return bucketizer.transform
+
+
 def _forest_step(
-    complete: DataFrame, step: DataFrame, chain: _Chain, i: int, trees: int, max_depth: int
+    table: DataFrame, step: DataFrame, chain: _Chain, i: int, trees: int, max_depth: int, bins: int
 ) -> DataFrame:
     """Learn from every row that has the column, predict the rows that lack it."""
     features = VectorAssembler(
-        inputCols=[x for j, x in enumerate(chain.x) if j != i], outputCol="__features"
+        inputCols=[f"__b{j}" for j in range(len(chain.x)) if j != i], outputCol="__features"
     )
     gap = F.col(chain.m[i])
-    known = complete.select(*chain.x).unionAll(step.filter(~gap).select(*chain.x))
+    wanted = [*features.getInputCols(), chain.x[i]]
+    known = table.select(*wanted).unionAll(
+        step.filter(~gap).select(*_bytes(chain), chain.x[i]).select(*wanted)
+    )
     model = RandomForestRegressor(
         featuresCol="__features",
         labelCol=chain.x[i],
         predictionCol="__predicted",
         numTrees=trees,
         maxDepth=max_depth,
+        maxBins=bins,
         featureSubsetStrategy="all",
         seed=FOREST_SEED,
     ).fit(features.transform(known).select("__features", chain.x[i]))
     return (
         model.transform(features.transform(step))
         .withColumn(chain.x[i], F.when(gap, F.col("__predicted")).otherwise(F.col(chain.x[i])))
-        .drop("__features", "__predicted")
+        .drop("__features", "__predicted", *[f"__b{j}" for j in range(len(chain.x))])
     )
 
 

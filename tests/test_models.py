@@ -87,6 +87,29 @@ def test_chained_imputers(spark, impute):
     assert np.abs(got - full)[holes].mean() < 0.25 * plain_error
 
 
+def test_forests_learn_from_the_table_of_bins(spark, tmp_path, monkeypatch):
+    """No fit reads the raw rows; infinite, equal and few values have bins."""
+    rng = np.random.default_rng(3)
+    n = 300
+    pdf = pd.DataFrame({
+        "kind": rng.integers(0, 3, n).astype(float), "same": 7.0, "id": np.arange(n),
+        "far": np.where(rng.random(n) < 0.4, np.inf, 1.0),
+    })
+    pdf["y"] = np.where(rng.random(n) < 0.2, np.nan, pdf.kind * 10 + (pdf.far > 1))
+    with_nulls(spark, pdf).write.parquet(str(tmp_path / "raw"))
+    plans = []
+    fit = iterative.RandomForestRegressor.fit
+    monkeypatch.setattr(
+        iterative.RandomForestRegressor, "fit",
+        lambda self, df: plans.append(df.inputFiles()) or fit(self, df))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    got = impute_random_forest(raw, ["kind", "same", "far", "y"], rounds=2, trees=5)
+    got = got.toPandas().sort_values("id")
+    assert plans and not any("/raw/" in f for files in plans for f in files)
+    assert np.array_equal(got["same"], pdf["same"]) and np.array_equal(got["far"], pdf["far"])
+    assert np.allclose(got["y"], pdf.kind * 10 + (pdf.far > 1), atol=0.2)
+
+
 @pytest.mark.parametrize("width,rounds", [(3, 10), (7, 1)])
 def test_chained_ridge_by_pattern_and_by_rounds_agree(spark, monkeypatch, width, rounds):
     """Few and many columns, rows without gaps and without any value."""
