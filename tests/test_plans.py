@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from burnish.operators import frequency
 from burnish.operators.chart import group_medians
 from burnish.operators.dedup import drop_duplicate_rows
 from burnish.operators.frequency import cell_counts, keep_top, top_values
@@ -171,3 +172,23 @@ def test_top_values_limit_before_the_shuffle(spark):
     plan = keep_top(cell_counts(df, {"v": F.col("v")}), 3)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+@pytest.mark.parametrize("kind", ["hot", "even", "few", "unique", "none"])
+def test_top_values_of_large_tables(spark, monkeypatch, kind):
+    """The summary's candidates give the plain result; it says itself when it cannot tell."""
+    texts = {
+        "hot": "CASE WHEN id % 2 = 0 THEN concat('t', id % 24 DIV 2) "
+               "WHEN id % 5 = 1 THEN repeat('long', 40 + id % 2) ELSE concat('u', id) END",
+        "even": "concat('e', id % 7000)", "few": "concat('f', id % 9)", "unique": "concat('u', id)",
+        "none": "CAST(NULL AS STRING)",
+    }
+    df = spark.range(0, 42_000, 1, 12).selectExpr(f"{texts[kind]} AS x", "concat('y', id % 3) AS y")
+    plain = [tuple(r) for r in top_values(df, ["x", "y"], 13).collect()]
+    counted = []
+    counts = frequency.cell_counts
+    monkeypatch.setattr(
+        frequency, "cell_counts", lambda df, values: counted.extend(values) or counts(df, values))
+    monkeypatch.setattr(frequency, "SMALL_BYTES", 0)
+    assert [tuple(r) for r in top_values(df, ["x", "y"], 13).collect()] == plain
+    assert counted == (["x"] if kind in ("even", "unique") else [])
