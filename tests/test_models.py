@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from burnish.operators import iterative, nearest
 from burnish.operators.isolation import anomaly_scores
 from burnish.operators.iterative import bayesian_ridge, impute_mice, impute_random_forest
-from burnish.operators.multivariate import correlations, principal_components
+from burnish.operators.multivariate import (
+    correlations,
+    leading_eigenvectors,
+    principal_components,
+)
 from burnish.operators.nearest import impute_knn, neighbours
+from burnish.plans import products
 
 
 def with_nulls(spark, pdf):
@@ -200,3 +205,49 @@ def test_pair_sums_by_aggregate_and_by_matrices(spark, monkeypatch, few):
     rows = np.column_stack([np.ones(full.count()), *full.toPandas()[list("abc")].to_numpy().T])
     sums = products.gram(full, [F.col(c) for c in "abc"])
     assert np.allclose(sums, rows.T @ rows)
+
+
+def test_tiles_and_blocks_of_wide_tables(spark, monkeypatch):
+    """64 columns in tiles of 20 give what one matrix gives; equal columns, gaps, a constant."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 6)) @ rng.normal(size=(6, 64)) * 3 + rng.normal(size=(700, 64)) + 100
+    x[:, 5], x[:, 41] = 7.0, x[:, 3]
+    pdf = pd.DataFrame(x, columns=[f"c{i:02}" for i in range(64)])
+    pdf = pdf.mask(rng.random(x.shape) < 0.03).assign(id=np.arange(len(x)))
+    names = list(pdf.columns[:64])
+    df = with_nulls(spark, pdf).repartition(5)
+
+    def results():
+        found = principal_components(df, 3, names)
+        rows = correlations(df, names).collect()
+        assert len(rows) == 64 * 64
+        return (
+            {(r[0], r[1]): r[2] for r in rows},
+            found.explained.toPandas().sort_values("component").to_numpy(),
+            found.loadings.toPandas().sort_values(["component", "feature"])["loading"].to_numpy(),
+            found.scores.toPandas().sort_values("id")[["pc1", "pc2", "pc3"]].to_numpy(),
+        )
+
+    plain = results()
+    monkeypatch.setattr(products, "TILE", 20)
+    monkeypatch.setattr(products, "TILES", 4)
+    tiled = results()
+    assert plain[0].keys() == tiled[0].keys() and tiled[0]["c05", "c01"] is None
+    for pair, value in plain[0].items():
+        assert (value is None) == (tiled[0][pair] is None)
+        assert value is None or abs(value - tiled[0][pair]) < 2e-4
+    for one, other in zip(plain[1:], tiled[1:]):
+        assert np.allclose(one, other, rtol=0, atol=1e-6)
+
+
+def test_leading_eigenvectors():
+    rng = np.random.default_rng(5)
+    for p, k in [(3, 3), (40, 3), (200, 4)]:
+        a = rng.normal(size=(p, 2 * p))
+        a = a @ a.T / p
+        values, vectors = leading_eigenvectors(lambda q: a @ q, p, k)
+        exact, axes = np.linalg.eigh(a)
+        assert np.allclose(values, exact[::-1][:k])
+        assert np.allclose(np.abs(np.sum(vectors * axes[:, ::-1][:, :k], axis=0)), 1, atol=1e-8)
+    flat, _ = leading_eigenvectors(lambda q: q * 0, 9, 2)
+    assert np.allclose(flat, 0)
