@@ -1,15 +1,18 @@
 """Toxic spans by a linear-chain conditional random field, document scores from its marginals.
 
 1. Labelled documents tell how much more often toxic documents hold a word or a word beginning
-   (counts in Spark; the strongest features, at most ``FEATURES``, are the lexicon).
+   (counts in Spark; the strongest features, at most ``FEATURES``, are the lexicon). How strong a
+   feature must be follows from the data: under labels drawn at random, at most ``CHANCE`` times
+   as many features may reach the limit, so few labels still give a lexicon and many a clean one.
 2. Tokens of toxic documents that carry a lexicon feature are labelled toxic, all others not. On
    these labelled tokens a two-state chain is fitted: its node weights look at the token and both
    neighbours, its edge weights at the state before.
 3. Forward-backward gives every token of every whole text its marginal. A logistic curve over the
-   expected number, share and largest marginal of toxic tokens is the document's score; it is
-   fitted on labelled documents that the lexicon did not see. Tokens above one half are spans.
+   expected number, share and largest marginal of toxic tokens is the document's score. Tokens
+   above one half are spans.
 
-The model is fitted on at most ``ROWS`` labelled documents (the smallest hashes of ``doc_id``), of
+Chain and curve see each labelled document through a lexicon counted without its own fold, the
+scores use the lexicon of all folds. The model is fitted on at most ``ROWS`` labelled documents (the smallest hashes of ``doc_id``), of
 which ``CHAIN_ROWS`` train the chain; scoring is one map-only pass with the model broadcast (a
 lexicon of bounded size). Inputs of a score are the text's words, nothing else.
 
@@ -29,17 +32,25 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.llm.common import hash_key, prepare, slices, written
 
 #: Labelled documents the model is fitted on at most, and those that train the chain.
 ROWS, CHAIN_ROWS = 8000, 1200
-#: Features in the lexicon at most, and the likelihood ratio a feature must reach.
-FEATURES, LEAST_RATIO = 3000, 28.0
+#: Features in the lexicon at most, and the likelihood ratio a feature must reach at least.
+FEATURES, LEAST_RATIO = 3000, 6.0
+#: Folds of the labelled documents, random labellings, and the share of features due to chance.
+FOLDS, SHAMS, CHANCE = 5, 4, 0.3
+#: Documents of the usual mix that a feature's odds start from, so rare features count little.
+_USUAL = 2.0
+#: Steps per unit in which the limit of the ratio is sought.
+_STEPS = 2
 #: Lengths of word beginnings that are features.
 STEMS = (4, 5, 6, 7)
+#: Slopes of the document score (toxic tokens, largest marginal, share) that few labels start from.
+SLOPES = (1.0, 1.0, 0.3)
 #: Limits between the bins of a token's log-odds.
 BINS = (1.0, 2.0, 3.0, 4.0, 5.0)
 
@@ -129,10 +140,15 @@ def marginals(odds: np.ndarray, offsets: np.ndarray, edge: np.ndarray) -> tuple:
 
 def fit_chain(bins: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bin_count: int,
               rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """Weights that make the token labels likely (with a small ridge), by steps of Adam."""
+    """Weights that make the token labels likely, by steps of Adam.
+
+    A small ridge holds them near weights that rise with the bin, for bins that few tokens have.
+    """
     node = np.zeros((3, bin_count + 1))
+    node[0, :bin_count] = np.arange(bin_count) - 1.0
     node[0, 0] = -3.0
     edge = np.zeros((2, 2))
+    start = np.concatenate([node.ravel(), edge.ravel()])
     if not len(bins):
         return node, edge
     border = bin_count
@@ -161,7 +177,7 @@ def fit_chain(bins: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bin_cou
         joint = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
         grad = np.concatenate([grad_node.ravel(), (seen - joint).ravel()])
         weights = np.concatenate([node.ravel(), edge.ravel()])
-        grad = grad / max(1, labels.sum()) - 1e-3 * weights
+        grad = grad / max(1, labels.sum()) - 1e-3 * (weights - start)
         grad[-4] = 0  # the edge from clean to clean is the origin
         moment[0] = 0.9 * moment[0] + 0.1 * grad
         moment[1] = 0.99 * moment[1] + 0.01 * grad**2
@@ -184,18 +200,31 @@ def summary(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's steps, with a small ridge."""
+    """Logistic regression by Newton's steps; a ridge holds the slopes near ``SLOPES``.
+
+    More toxic tokens never make a text less toxic: slopes that come out negative are 0.
+    """
     w = np.zeros(x.shape[1])
     if not len(y):
         return w
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     if y.min() == y.max():
         return w
-    ridge = np.diag([1e-3, 0.1, 0.1, 0.1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        w = w + np.linalg.solve(hessian, x.T @ (y - p) - ridge @ w)
+    base, used = w[0], np.arange(x.shape[1])
+    while True:
+        z, usual = x[:, used], np.array([0.0, *SLOPES])[used]
+        v = usual.copy()
+        v[0] = base - z[:, 1:].mean(axis=0) @ v[1:]
+        ridge = np.diag(np.where(used > 0, 0.5, 1e-3))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
+            hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge
+            v = v + np.linalg.solve(hessian, z.T @ (y - p) - ridge @ (v - usual))
+        if v[1:].min(initial=0.0) >= 0:
+            break
+        used = np.delete(used, 1 + np.argmin(v[1:]))
+    w[:] = 0.0
+    w[used] = v
     return w
 
 
@@ -220,43 +249,118 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # of rows that share a labelled id one text is learned from, whatever their number
     one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
     train = train.groupBy("doc_id", "toxic", "key").agg(one.alias("text"))
-    train = written(train.withColumn("part", F.when(F.col("key") % 5 < 3, 0).otherwise(1)),
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    shams = [(F.pmod(hash_key(F.lit(f"sham {j}"), F.col("doc_id")), F.lit(1_000_000))
+              < int(share * 1_000_000)).cast("int") for j in range(SHAMS)]
+    fold = F.pmod(hash_key(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    train = written(train.withColumn("fold", fold).withColumn("shams", F.array(*shams)),
                     "labelled-texts")
-    sizes = {(r["part"], r["toxic"]): r["n"] for r in
-             train.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = Model(lexicon=_lexicon(train.where("part = 0"), sizes.get((0, 1), 0),
-                                   sizes.get((0, 0), 0)))
-    rows = train.where("part = 0").orderBy("key", "doc_id").limit(CHAIN_ROWS)
-    bins, offsets, toxic = _binned(rows, model)
+    model, *blind = [Model(lexicon=x) for x in _lexicons(train)]
+    rows = train.orderBy("key", "doc_id").limit(CHAIN_ROWS)
+    bins, offsets, toxic = _binned(rows, blind)
     labels_of = np.repeat(toxic, np.diff(offsets)) * (bins > 0)
     model.node, model.edge = fit_chain(bins, offsets, labels_of.astype(np.int64), len(BINS) + 2)
-    model.curve = _fitted_curve(train.where("part = 1"), model)
+    for m in blind:
+        m.node, m.edge = model.node, model.edge
+    model.curve = _fitted_curve(train, blind)
     return model
 
 
-def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Log-odds of the features that stand out in toxic documents."""
+def _lexicons(train: DataFrame) -> list[dict[str, float]]:
+    """Log-odds of the features that stand out in toxic documents: of all folds, then without each."""
+    # counted in each batch: clean and toxic rows of each fold, then the toxic ones of each sham
+    places = 2 * FOLDS + SHAMS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            counts = [Counter() for _ in range(places)]
+            for text, y, fold, shams in zip(*(batch.column(c).to_pylist() for c in
+                                              ("text", "toxic", "fold", "shams"))):
                 own = {f for w in set(_TOKEN.findall((text or "").lower())) for f in features(w)}
-                counts[y].update(own)
-            names = list(counts[0].keys() | counts[1].keys())
+                counts[2 * fold + y].update(own)
+                for j, sham in enumerate(shams):
+                    if sham:
+                        counts[2 * FOLDS + j].update(own)
+            names = list(set().union(*counts[: 2 * FOLDS]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()),
-                 pa.array([counts[1][f] for f in names], pa.int64()),
-                 pa.array([counts[0][f] for f in names], pa.int64())],
-                ["feature", "toxic", "clean"],
+                 *[pa.array([c[f] for f in names], pa.int64()) for c in counts]],
+                ["feature", *[f"n{i}" for i in range(places)]],
             )
 
-    counts = (
-        train.select("text", "toxic").mapInArrow(counted, "feature string, toxic long, clean long")
-        .groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-        .where("a > 1")
+    kinds = ", ".join(f"n{i} long" for i in range(places))
+    counts = train.select("text", "toxic", "fold", "shams").mapInArrow(
+        counted, f"feature string, {kinds}"
+    ).groupBy("feature").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(places)])
+    seen = [F.col(f"n{i}") for i in range(places)]
+    toxic = sum(seen[1 : 2 * FOLDS : 2], F.lit(0))
+    clean = sum(seen[0 : 2 * FOLDS : 2], F.lit(0))
+    some = F.greatest(toxic, *seen[2 * FOLDS :]) > 1
+    counts = written(counts.where(some), "feature-counts")
+
+    rows = train.groupBy("fold").agg(
+        F.count_if(F.col("toxic") == 0).alias("clean"),
+        F.count_if(F.col("toxic") == 1).alias("toxic"),
+        *[F.sum(F.col("shams")[j]).alias(f"sham{j}") for j in range(SHAMS)],
+    ).collect()
+    n1, n0 = sum(r["toxic"] for r in rows), sum(r["clean"] for r in rows)
+    of_fold = {r["fold"]: (r["toxic"], r["clean"]) for r in rows}
+    real = _ratio(toxic, clean, n1, n0)
+    shams = []
+    for j in range(SHAMS):
+        m1 = sum(r[f"sham{j}"] for r in rows)
+        a = seen[2 * FOLDS + j]
+        shams.append(_ratio(a, toxic + clean - a, m1, n1 + n0 - m1))
+    reach = counts.select(F.posexplode(F.array(real, *shams)).alias("kind", "ratio"))
+    steps = (
+        reach.where(F.col("ratio") >= LEAST_RATIO)
+        .groupBy((F.col("kind") > 0).alias("sham"), F.floor(F.col("ratio") * _STEPS).alias("step"))
+        .agg(F.count(F.lit(1)).alias("n")).collect()
     )
-    a, b, n1, n0 = F.col("a"), F.col("b"), float(max(toxic, 1)), float(max(clean, 1))
+    least = _least_ratio({r["step"]: r["n"] for r in steps if not r["sham"]},
+                         {r["step"]: r["n"] / SHAMS for r in steps if r["sham"]})
+
+    sides = [(toxic, clean, n1, n0)]
+    for i in range(FOLDS):
+        own1, own0 = of_fold.get(i, (0, 0))
+        sides.append((toxic - seen[2 * i + 1], clean - seen[2 * i], n1 - own1, n0 - own0))
+    each = F.array(*[
+        F.struct(_odds(*side).alias("odds"), _ratio(*side).alias("ratio"), (side[0] > 1).alias("some"))
+        for side in sides
+    ])
+    order = Window.partitionBy("of").orderBy(F.desc("ratio"), "feature")
+    best = (
+        counts.select("feature", F.posexplode(each).alias("of", "x")).select("feature", "of", "x.*")
+        .where(F.col("some") & (F.col("ratio") >= least))
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FEATURES)
+        .select("of", "feature", "odds").collect()
+    )
+    out: list[dict[str, float]] = [{} for _ in sides]
+    for r in best:
+        out[r["of"]][r["feature"]] = r["odds"]
+    return out
+
+
+def _least_ratio(real: dict[int, float], sham: dict[int, float]) -> float:
+    """The lowest limit that few features reach by chance; the floor where none does."""
+    found, least = [0.0, 0.0], None
+    for step in sorted(real.keys() | sham.keys(), reverse=True):
+        found[0] += real.get(step, 0)
+        found[1] += sham.get(step, 0)
+        if found[0] and found[1] <= CHANCE * found[0]:
+            least = step
+    return LEAST_RATIO if least is None else max(LEAST_RATIO, least / _STEPS)
+
+
+def _odds(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Log-odds of a toxic document that holds the feature, above those of any document."""
+    share = (n1 + 0.5) / (n1 + n0 + 1)
+    return F.log((a + _USUAL * share) / (b + _USUAL * (1 - share))) - F.lit(np.log(share / (1 - share)))
+
+
+def _ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Likelihood ratio of a feature that is likelier in toxic documents, else 0."""
+    n1, n0 = float(max(n1, 1)), float(max(n0, 1))
 
     def term(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -264,13 +368,7 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     rate = (a + b) / (n1 + n0)
     ratio = 2 * (term(a, rate * n1) + term(b, rate * n0)
                  + term(n1 - a, (1 - rate) * n1) + term(n0 - b, (1 - rate) * n0))
-    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
-    best = (
-        counts.withColumn("odds", odds).withColumn("ratio", ratio)
-        .where((F.col("odds") > 0) & (F.col("ratio") >= LEAST_RATIO))
-        .orderBy(F.desc("ratio"), "feature").limit(FEATURES)
-    )
-    return {r["feature"]: r["odds"] for r in best.select("feature", "odds").collect()}
+    return F.when(_odds(a, b, n1, n0) > 0, ratio).otherwise(0.0)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +377,21 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.take(pa.array(rows))
 
 
-def _binned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_fold(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[tuple]:
+    """Parts of one fold each with the model that has not counted them."""
+    for batch in batches:
+        folds = batch.column("fold").to_numpy()
+        for i in np.unique(folds):
+            own = batch.take(pa.array(np.flatnonzero(folds == i)))
+            for part in _parts([own]):
+                yield part, models[i]
+
+
+def _binned(rows: DataFrame, models: list[Model]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins of the chain's training tokens; one byte a token comes to the driver."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part, model in _by_fold(batches, models):
             bins, offsets = tokens(part.column("text"), model)
             data = [bins[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -291,7 +399,7 @@ def _binned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
                 ["key", "toxic", "bins"],
             )
 
-    found = rows.select("text", "key", "toxic").mapInArrow(
+    found = rows.select("text", "key", "toxic", "fold").mapInArrow(
         encoded, "key long, toxic int, bins binary"
     ).collect()
     found.sort(key=lambda r: (r["key"], bytes(r["bins"])))
@@ -301,9 +409,9 @@ def _binned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
     return flat, offsets, np.array([r["toxic"] for r in found], dtype=np.int64)
 
 
-def _fitted_curve(rows: DataFrame, model: Model) -> np.ndarray:
+def _fitted_curve(rows: DataFrame, models: list[Model]) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part, model in _by_fold(batches, models):
             bins, offsets = tokens(part.column("text"), model)
             p = marginals(_potentials(bins, offsets, model.node), offsets, model.edge)[0]
             x = summary(p, offsets)
@@ -312,7 +420,7 @@ def _fitted_curve(rows: DataFrame, model: Model) -> np.ndarray:
                 ["key", "toxic", "x1", "x2", "x3"],
             )
 
-    found = rows.select("text", "key", "toxic").mapInArrow(
+    found = rows.select("text", "key", "toxic", "fold").mapInArrow(
         summed, "key long, toxic int, x1 double, x2 double, x3 double"
     ).collect()
     found = sorted(map(tuple, found))

@@ -368,6 +368,29 @@ def test_toxicity_learns_one_text_of_a_repeated_id(spark):
     assert all(r[0] is not None for r in ids.select(toxicity.held_out(F.col("doc_id"))).collect())
 
 
+def test_few_labels_rank_toxic_documents(spark):
+    """Sixty labels are enough for words that toxic documents share; slopes are never negative."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"wort{i}" for i in range(400)])
+    bad = np.array(["vile", "scum", "filth", "swine"])
+    rows = []
+    for i in range(300):
+        text = rng.choice(words, 60).tolist()
+        if i % 6 == 0:
+            text[5:5] = rng.choice(bad, 3, replace=False).tolist()
+        rows.append((i, " ".join(text), int(i % 6 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    known = labels.where(~toxicity.held_out(F.col("doc_id"))).orderBy("doc_id").limit(60)
+    model = toxicity.fit(docs, known)
+    assert {"=vile", "=scum", "=filth", "=swine"} & model.lexicon.keys()
+    assert (model.curve[1:] >= 0).all()
+    held = toxicity.score(docs, model).where(toxicity.held_out(F.col("doc_id"))).collect()
+    high = [r["score"] for r in held if r["doc_id"] % 6 == 0]
+    low = [r["score"] for r in held if r["doc_id"] % 6]
+    assert np.mean([a > b for a in high for b in low]) > 0.9
+
+
 # 6: decontamination
 
 
