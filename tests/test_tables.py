@@ -20,6 +20,7 @@ from burnish.operators.typing import ROW_ORDER, infer_types, numeric_columns
 from burnish.sources import catalog, sinks
 from burnish.sources.delimited import load_files, read_delimited, read_sniffed, table_name
 from burnish.sql import run_sql, save_result
+from workload import QUERIES, Tables
 
 CSV = 'id,name , note\n1, "a, ""b""" ,x\n\n2,short\n,,\n3,"  in  ",y,extra\n'
 
@@ -265,3 +266,21 @@ def test_long_digit_runs_sort_naturally(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r["n"] for r in df.orderBy(natural_key(F.col("n"))).collect()]
     assert got == ["a2", "a10", "a010b", "a" + "9" * 30, "a" + "1" * 31]
+
+
+def test_having_keeps_no_group_whose_mean_is_the_limit(spark, tmp_path):
+    """Three 0.1 and three 0.0 have a mean above 0.05 in doubles; NaN and huge values still count."""
+    rows = [(k, d, 1.0) for k, part in {
+        1: [0.08, 0.02, 0.09, 0.01, 0.07, 0.03] * 50,
+        2: [0.1, 0.1, 0.1, 0.0, 0.0, 0.0],
+        3: [0.05] * 9 + [0.06],
+        4: [0.1] * 5,
+        5: [0.1] * 6 + [None],
+        6: [float("nan")] + [0.0] * 6,
+        7: [0.07, 0.06, 0.1, 0.07, 0.0, 0.0] * 7,
+        8: [1e30] * 6,
+    }.items() for d in part]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_extendedprice double")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["sql_having"].run(Tables(spark, str(tmp_path))).collect()
+    assert sorted((r["l_suppkey"], r["n"]) for r in got) == [(3, 10), (5, 7), (6, 7), (8, 6)]
