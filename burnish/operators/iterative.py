@@ -10,15 +10,20 @@ rounds out, and a scan of the incomplete rows decides the others.
 Tables with too many patterns for that touch the incomplete rows in every round and write
 them down after it to keep plans short. Forests always do; the complete rows are cut into bins
 once and written as a table of bytes, from which the forests of all columns and rounds learn.
+Rows of equal bins are one cell to a tree. A table that has a bounded number of cells, however many
+its rows, is grouped by them, and each tree grows on the cells in a task of its own; other tables,
+and trees of a few nodes, are left to Spark's forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -30,6 +35,7 @@ from burnish.plans.fused import column_aggregates
 from burnish.plans.materialize import materialize, stored
 from burnish.plans.products import gram, grams_by_key
 from burnish.plans.quantiles import exact_quantiles
+from burnish.plans.shipping import ship
 
 ROUNDS, TOLERANCE = 10, 1e-3
 FOREST_TREES, FOREST_ROUNDS, FOREST_SEED = 50, 5, 42
@@ -37,6 +43,9 @@ FOREST_TREES, FOREST_ROUNDS, FOREST_SEED = 50, 5, 42
 FOREST_DEPTH = 30
 # Bins per column: a byte each.
 FOREST_BINS = 64
+# Cells (distinct rows of bins) from which a task grows a tree: fewer make a tree of a few nodes, and
+# more are Spark's forest's; their bins take 4 MB at most.
+FEWEST_CELLS, MOST_CELLS, MOST_CELL_BYTES = 64, 1 << 15, 1 << 22
 # Numbers that the sums of all gap patterns may have (32 MB); coefficients have fewer.
 MOST_SUMS = 4_000_000
 _RIDGE_ROUNDS, _RIDGE_TOLERANCE, _PRIOR = 300, 1e-3, 1e-6
@@ -96,6 +105,8 @@ class _Chain:
         self.gaps = sorted(gaps, key=lambda c: (-self.filled[c], self.columns.index(c)))
         self.x = [f"__x{i}" for i in range(len(self.columns))]
         self.m = [f"__m{i}" for i in range(len(self.columns))]
+        # Columns whose features have too many cells.
+        self.wide: set[int] = set()
 
     def at(self, column: str) -> int:
         return self.columns.index(column)
@@ -318,23 +329,156 @@ def _forest_step(
     known = table.select(*wanted).unionAll(
         step.filter(~gap).select(*_bytes(chain), chain.x[i]).select(*wanted)
     )
-    model = RandomForestRegressor(
-        featuresCol="__features",
-        labelCol=chain.x[i],
-        predictionCol="__predicted",
-        numTrees=trees,
-        maxDepth=max_depth,
-        maxBins=bins,
-        featureSubsetStrategy="all",
-        seed=FOREST_SEED,
-    ).fit(features.transform(known).select("__features", chain.x[i]))
+    cells = None if i in chain.wide else _cells(known, chain, i)
+    if cells is not None and len(cells[0]) >= FEWEST_CELLS:
+        forest = _grown(step.sparkSession, cells, trees, max_depth, bins)
+        predicted = F.lit(chain.means[chain.columns[i]]) + _predictor(step.sparkSession, forest)(
+            *[F.col(c).cast("tinyint") for c in features.getInputCols()]
+        )
+        predictions = step.withColumn("__predicted", predicted)
+    else:
+        model = RandomForestRegressor(
+            featuresCol="__features",
+            labelCol=chain.x[i],
+            predictionCol="__predicted",
+            numTrees=trees,
+            maxDepth=max_depth,
+            maxBins=bins,
+            featureSubsetStrategy="all",
+            seed=FOREST_SEED,
+        ).fit(features.transform(known).select("__features", chain.x[i]))
+        predictions = model.transform(features.transform(step))
     return (
-        model.transform(features.transform(step))
+        predictions
         .withColumn(chain.x[i], F.when(gap, F.col("__predicted")).otherwise(F.col(chain.x[i])))
         .drop("__features", "__predicted", *[f"__b{j}" for j in range(len(chain.x))])
     )
 
 
+def _cells(known: DataFrame, chain: _Chain, i: int) -> tuple | None:
+    """Bins, rows and mean label (around the column's mean) of every cell, or None if too many."""
+    inputs = [c for c in known.columns if c != chain.x[i]]
+    most = min(MOST_CELLS, MOST_CELL_BYTES // len(inputs))
+    around = F.col(chain.x[i]) - F.lit(chain.means[chain.columns[i]])
+    found = (
+        known.groupBy(*inputs).agg(F.count(F.lit(1)).alias("n"), F.avg(around).alias("mean"))
+        .limit(most + 1).toArrow()
+    )
+    if len(found) > most:
+        chain.wide.add(i)
+        return None
+    bins = np.stack([found.column(c).to_numpy() for c in inputs], axis=1).astype(np.int8)
+    order = np.lexsort(bins.T[::-1])
+    return bins[order], found.column("n").to_numpy()[order], found.column("mean").to_numpy()[order]
+
+
+@dataclass
+class _Forest:
+    """Nodes of all trees: feature (-1: leaf), last bin to the left, left child, value."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+    roots: np.ndarray
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        out, rows = np.zeros(len(bins)), np.arange(len(bins))
+        for root in self.roots:
+            node = np.full(len(bins), root)
+            while True:
+                inner = self.feature[node] >= 0
+                if not inner.any():
+                    break
+                right = bins[rows, self.feature[node]] > self.cut[node]
+                node = np.where(inner, self.left[node] + right, node)
+            out += self.value[node]
+        return out / len(self.roots)
+
+
+def _tree(bins: np.ndarray, n: np.ndarray, mean: np.ndarray, depth: int, bin_count: int,
+          rng: np.random.Generator) -> list[np.ndarray]:
+    """A regression tree on rows drawn with replacement, grown level by level.
+
+    A cell is drawn as often as its ``n`` rows together. Nodes split where the squared error falls
+    most, on any feature, down to ``depth`` or nodes of equal labels.
+    """
+    w = rng.poisson(n).astype(float)
+    if not w.any():
+        w = n.astype(float)
+    drawn = w > 0
+    x, w, t = bins[drawn].astype(np.int64), w[drawn], (w * mean)[drawn]
+    at, size, base = np.zeros(len(x), dtype=np.int64), 1, 0
+    levels = []
+    for level in range(depth + 1):
+        sw, st = np.bincount(at, w, size), np.bincount(at, t, size)
+        feature, cut = np.full(size, -1), np.zeros(size, dtype=np.int64)
+        # what rounding errors alone would gain
+        best = 1e-10 * np.bincount(at, t * t / w, size)
+        for j in range(x.shape[1] if level < depth else 0):
+            spot = at * bin_count + x[:, j]
+            lw = np.bincount(spot, w, size * bin_count).reshape(size, -1).cumsum(axis=1)
+            lt = np.bincount(spot, t, size * bin_count).reshape(size, -1).cumsum(axis=1)
+            rw, rt = sw[:, None] - lw, st[:, None] - lt
+            both = (lw > 0) & (rw > 0)
+            gain = (lt**2 / np.where(both, lw, 1.0) + rt**2 / np.where(both, rw, 1.0)
+                    - (st**2 / sw)[:, None])
+            gain[~both] = -1.0
+            k = gain.argmax(axis=1)
+            gain = gain[np.arange(size), k]
+            better = gain > best
+            best[better], feature[better], cut[better] = gain[better], j, k[better]
+        split = feature >= 0
+        child = 2 * (np.cumsum(split) - 1)
+        levels.append([feature, cut, np.where(split, base + size + child, -1), st / sw])
+        go = split[at]
+        x, w, t, at = x[go], w[go], t[go], at[go]
+        if not len(x):
+            break
+        at = child[at] + (x[np.arange(len(x)), feature[at]] > cut[at])
+        base, size = base + size, 2 * int(split.sum())
+    return [np.concatenate(parts) for parts in zip(*levels)]
+
+
+def _grown(spark, cells: tuple, trees: int, depth: int, bin_count: int) -> _Forest:
+    """The trees, each grown in a task."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(cells)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rng = np.random.default_rng((FOREST_SEED, k))
+                parts = _tree(*shared.value, depth, bin_count, rng)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k]), *[pa.array([p]) for p in parts]],
+                    ["k", "feature", "cut", "left", "value"],
+                )
+
+    kind = "k bigint, feature array<bigint>, cut array<bigint>, left array<bigint>, value array<double>"
+    found = spark.range(0, trees, 1, trees).mapInArrow(grow, kind).toArrow().sort_by("k")
+    shared.unpersist()
+    sizes = np.array([len(x) for x in found.column("feature")])
+    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = {c: found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            for c in ("feature", "cut", "left", "value")}
+    return _Forest(flat["feature"].astype(np.int16), flat["cut"].astype(np.int16),
+                   (flat["left"] + np.repeat(roots, sizes)).astype(np.int32), flat["value"], roots)
+
+
+def _predictor(spark, forest: _Forest) -> Callable[..., Column]:
+    """Mean of the trees from the columns of bins; equal rows of a batch are predicted once."""
+    shared = spark.sparkContext.broadcast(forest)
+
+    @F.arrow_udf("double")
+    def predict(*columns: pa.Array) -> pa.Array:
+        bins = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        some, place = np.unique(bins, axis=0, return_inverse=True)
+        return pa.array(shared.value.predict(some)[place.reshape(-1)])
+
+    return predict
+
+
 IMPUTERS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {
     "mice": impute_mice,
     "iterative": impute_mice,

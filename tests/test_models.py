@@ -251,3 +251,26 @@ def test_leading_eigenvectors():
         assert np.allclose(np.abs(np.sum(vectors * axes[:, ::-1][:, :k], axis=0)), 1, atol=1e-8)
     flat, _ = leading_eigenvectors(lambda q: q * 0, 9, 2)
     assert np.allclose(flat, 0)
+
+
+def test_forests_grow_on_cells_in_tasks(spark, monkeypatch):
+    """Thousands of rows of some hundred cells need no fit over rows; copies change the draws only."""
+    rng = np.random.default_rng(11)
+    n = 400
+    pdf = pd.DataFrame({
+        "a": rng.integers(0, 20, n).astype(float), "b": rng.integers(0, 20, n).astype(float),
+    })
+    truth = np.where(pdf.a < 8, 10.0, 30.0) + np.where(pdf.b < 12, 0.0, 5.0)
+    pdf["y"] = np.where(rng.random(n) < 0.2, np.nan, truth)
+    pdf = pd.concat([pdf] * 10, ignore_index=True).assign(id=np.arange(10 * n))
+    fits = []
+    fit = iterative.RandomForestRegressor.fit
+    monkeypatch.setattr(
+        iterative.RandomForestRegressor, "fit", lambda self, df: fits.append(1) or fit(self, df))
+    df = with_nulls(spark, pdf)
+    got = impute_random_forest(df, ["a", "b", "y"], rounds=2, trees=10).toPandas()
+    assert not fits
+    assert np.allclose(got.sort_values("id")["y"], np.tile(truth, 10), atol=0.5)
+    monkeypatch.setattr(iterative, "MOST_CELLS", 100)
+    again = impute_random_forest(df, ["a", "b", "y"], rounds=1, trees=5).toPandas()
+    assert fits and np.allclose(again.sort_values("id")["y"], np.tile(truth, 10), atol=0.5)
