@@ -401,7 +401,8 @@ def _tree(bins: np.ndarray, n: np.ndarray, mean: np.ndarray, depth: int, bin_cou
     """A regression tree on rows drawn with replacement, grown level by level.
 
     A cell is drawn as often as its ``n`` rows together. Nodes split where the squared error falls
-    most, on any feature, down to ``depth`` or nodes of equal labels.
+    most, on any feature, half way between the bins drawn there, down to ``depth`` or nodes of equal
+    labels.
     """
     w = rng.poisson(n).astype(float)
     if not w.any():
@@ -425,9 +426,11 @@ def _tree(bins: np.ndarray, n: np.ndarray, mean: np.ndarray, depth: int, bin_cou
                     - (st**2 / sw)[:, None])
             gain[~both] = -1.0
             k = gain.argmax(axis=1)
-            gain = gain[np.arange(size), k]
+            gain, first = gain[np.arange(size), k], lw[np.arange(size), k]
+            # bins up to the next one drawn split the node alike
+            last = (lw <= first[:, None]).sum(axis=1)
             better = gain > best
-            best[better], feature[better], cut[better] = gain[better], j, k[better]
+            best[better], feature[better], cut[better] = gain[better], j, ((k + last) // 2)[better]
         split = feature >= 0
         child = 2 * (np.cumsum(split) - 1)
         levels.append([feature, cut, np.where(split, base + size + child, -1), st / sw])

@@ -274,3 +274,14 @@ def test_forests_grow_on_cells_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(iterative, "MOST_CELLS", 100)
     again = impute_random_forest(df, ["a", "b", "y"], rounds=1, trees=5).toPandas()
     assert fits and np.allclose(again.sort_values("id")["y"], np.tile(truth, 10), atol=0.5)
+
+
+def test_trees_cut_half_way_between_the_bins_they_drew():
+    """Bins that no row of a node has go to the nearer side."""
+    seen = np.array([[b] for b in [*range(0, 11), *range(21, 32)]], dtype=np.int8)
+    label = np.where(seen[:, 0] < 16, -1.0, 1.0)
+    rows = np.full(len(seen), 50)
+    parts = iterative._tree(seen, rows, label, 30, 64, np.random.default_rng(1))
+    forest = iterative._Forest(*parts, np.array([0]))
+    bins = np.arange(64, dtype=np.int8)[:, None]
+    assert np.array_equal(forest.predict(bins), np.where(bins[:, 0] < 16, -1.0, 1.0))
