@@ -11,8 +11,9 @@ Tables with too many patterns for that touch the incomplete rows in every round
 them down after it to keep plans short. Forests always do; the complete rows are cut into bins
 once and written as a table of bytes, from which the forests of all columns and rounds learn.
 Rows of equal bins are one cell to a tree. A table that has a bounded number of cells, however many
-its rows, is grouped by them, and each tree grows on the cells in a task of its own; other tables,
-and trees of a few nodes, are left to Spark's forest.
+its rows, is grouped by them, and each tree grows on the cells in a task of its own. Trees of few
+cells are sent to the rows; larger ones predict where they grew, and what they say is joined to the
+rows. Other tables, and trees of a few nodes, are left to Spark's forest.
 """
 
 from __future__ import annotations
@@ -44,8 +45,12 @@ FOREST_DEPTH = 30
 # Bins per column: a byte each.
 FOREST_BINS = 64
 # Cells (distinct rows of bins) from which a task grows a tree: fewer make a tree of a few nodes, and
-# more are Spark's forest's; their bins take 4 MB at most.
-FEWEST_CELLS, MOST_CELLS, MOST_CELL_BYTES = 64, 1 << 15, 1 << 22
+# more are Spark's forest's; their bins take 16 MB at most.
+FEWEST_CELLS, MOST_CELLS, MOST_CELL_BYTES = 64, 1 << 20, 1 << 24
+# Cells up to which trees are sent to the rows; cells that a larger tree predicts in a task.
+SENT_CELLS, ASKED_CELLS = 1 << 15, 1 << 20
+# Nodes whose sums a tree holds at once.
+NODES_AT_ONCE = 1 << 12
 # Numbers that the sums of all gap patterns may have (32 MB); coefficients have fewer.
 MOST_SUMS = 4_000_000
 _RIDGE_ROUNDS, _RIDGE_TOLERANCE, _PRIOR = 300, 1e-3, 1e-6
@@ -330,9 +335,19 @@ def _forest_step(
         step.filter(~gap).select(*_bytes(chain), chain.x[i]).select(*wanted)
     )
     cells = None if i in chain.wide else _cells(known, chain, i)
-    if cells is not None and len(cells[0]) >= FEWEST_CELLS:
+    mean = F.lit(chain.means[chain.columns[i]])
+    if cells is not None and len(cells[0]) > SENT_CELLS:
+        inputs = features.getInputCols()
+        answers = _answers(step.filter(gap), inputs, cells, trees, max_depth, bins)
+        same = [F.col(c).cast("tinyint") == F.col(f"__of{c}") for c in inputs]
+        predictions = (
+            step.join(answers.withColumnsRenamed({c: f"__of{c}" for c in inputs}), same, "left")
+            .withColumn("__predicted", mean + F.col("__answer"))
+            .drop("__answer", *[f"__of{c}" for c in inputs])
+        )
+    elif cells is not None and len(cells[0]) >= FEWEST_CELLS:
         forest = _grown(step.sparkSession, cells, trees, max_depth, bins)
-        predicted = F.lit(chain.means[chain.columns[i]]) + _predictor(step.sparkSession, forest)(
+        predicted = mean + _predictor(step.sparkSession, forest)(
             *[F.col(c).cast("tinyint") for c in features.getInputCols()]
         )
         predictions = step.withColumn("__predicted", predicted)
@@ -396,6 +411,28 @@ class _Forest:
         return out / len(self.roots)
 
 
+def _best_cuts(x, w, t, at, sw, st, best, bin_count: int) -> tuple[np.ndarray, ...]:
+    """Largest gain above ``best``, its feature (-1: none) and cut, of some nodes of one level."""
+    size, best = len(sw), best.copy()
+    feature, cut = np.full(size, -1), np.zeros(size, dtype=np.int64)
+    for j in range(x.shape[1]):
+        spot = at * bin_count + x[:, j]
+        lw = np.bincount(spot, w, size * bin_count).reshape(size, -1).cumsum(axis=1)
+        lt = np.bincount(spot, t, size * bin_count).reshape(size, -1).cumsum(axis=1)
+        rw, rt = sw[:, None] - lw, st[:, None] - lt
+        both = (lw > 0) & (rw > 0)
+        gain = (lt**2 / np.where(both, lw, 1.0) + rt**2 / np.where(both, rw, 1.0)
+                - (st**2 / sw)[:, None])
+        gain[~both] = -1.0
+        k = gain.argmax(axis=1)
+        gain, first = gain[np.arange(size), k], lw[np.arange(size), k]
+        # bins up to the next one drawn split the node alike
+        last = (lw <= first[:, None]).sum(axis=1)
+        better = gain > best
+        best[better], feature[better], cut[better] = gain[better], j, ((k + last) // 2)[better]
+    return best, feature, cut
+
+
 def _tree(bins: np.ndarray, n: np.ndarray, mean: np.ndarray, depth: int, bin_count: int,
           rng: np.random.Generator) -> list[np.ndarray]:
     """A regression tree on rows drawn with replacement, grown level by level.
@@ -408,29 +445,22 @@ def _tree(bins: np.ndarray, n: np.ndarray, mean: np.ndarray, depth: int, bin_cou
     if not w.any():
         w = n.astype(float)
     drawn = w > 0
-    x, w, t = bins[drawn].astype(np.int64), w[drawn], (w * mean)[drawn]
+    x, w, t = bins[drawn], w[drawn], (w * mean)[drawn]
     at, size, base = np.zeros(len(x), dtype=np.int64), 1, 0
     levels = []
     for level in range(depth + 1):
+        order = np.argsort(at, kind="stable")
+        x, w, t, at = x[order], w[order], t[order], at[order]
         sw, st = np.bincount(at, w, size), np.bincount(at, t, size)
         feature, cut = np.full(size, -1), np.zeros(size, dtype=np.int64)
         # what rounding errors alone would gain
         best = 1e-10 * np.bincount(at, t * t / w, size)
-        for j in range(x.shape[1] if level < depth else 0):
-            spot = at * bin_count + x[:, j]
-            lw = np.bincount(spot, w, size * bin_count).reshape(size, -1).cumsum(axis=1)
-            lt = np.bincount(spot, t, size * bin_count).reshape(size, -1).cumsum(axis=1)
-            rw, rt = sw[:, None] - lw, st[:, None] - lt
-            both = (lw > 0) & (rw > 0)
-            gain = (lt**2 / np.where(both, lw, 1.0) + rt**2 / np.where(both, rw, 1.0)
-                    - (st**2 / sw)[:, None])
-            gain[~both] = -1.0
-            k = gain.argmax(axis=1)
-            gain, first = gain[np.arange(size), k], lw[np.arange(size), k]
-            # bins up to the next one drawn split the node alike
-            last = (lw <= first[:, None]).sum(axis=1)
-            better = gain > best
-            best[better], feature[better], cut[better] = gain[better], j, ((k + last) // 2)[better]
+        for low in range(0, size if level < depth else 0, NODES_AT_ONCE):
+            some = slice(low, min(low + NODES_AT_ONCE, size))
+            rows = slice(*np.searchsorted(at, [some.start, some.stop]))
+            best[some], feature[some], cut[some] = _best_cuts(
+                x[rows], w[rows], t[rows], at[rows] - low, sw[some], st[some], best[some], bin_count
+            )
         split = feature >= 0
         child = 2 * (np.cumsum(split) - 1)
         levels.append([feature, cut, np.where(split, base + size + child, -1), st / sw])
@@ -469,6 +499,52 @@ def _grown(spark, cells: tuple, trees: int, depth: int, bin_count: int) -> _Fore
                    (flat["left"] + np.repeat(roots, sizes)).astype(np.int32), flat["value"], roots)
 
 
+def _answers(
+    gaps: DataFrame, inputs: list[str], cells: tuple, trees: int, depth: int, bin_count: int
+) -> DataFrame:
+    """Mean of the trees (``__answer``) for the distinct cells of the rows with gaps.
+
+    A task grows a tree and predicts a block of them; more blocks than one grow the same tree again.
+    """
+    spark = gaps.sparkSession
+    asked = stored(
+        gaps.select(*[F.col(c).cast("tinyint").alias(c) for c in inputs]).distinct(), "forest-asked"
+    )
+    blocks = -(-asked.count() // ASKED_CELLS)
+    if not blocks:
+        return asked.withColumn("__answer", F.lit(0.0))
+    block = F.pmod(F.xxhash64(*inputs), F.lit(blocks))
+    task = (F.col("__tree") * blocks + block).cast("int")
+    dealt = asked.crossJoin(F.broadcast(spark.range(trees).toDF("__tree"))).select(
+        task.alias("__task"), *inputs
+    )
+    ship(spark)
+    shared = spark.sparkContext.broadcast(cells)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            tasks = batch.column(0).to_numpy()
+            bins = np.stack([batch.column(c).to_numpy() for c in inputs], axis=1)
+            for k in np.unique(tasks).tolist():
+                parts.setdefault(k, []).append(bins[tasks == k])
+        for k, found in parts.items():
+            rng = np.random.default_rng((FOREST_SEED, k // blocks))
+            tree = _Forest(*_tree(*shared.value, depth, bin_count, rng), np.array([0]))
+            for bins in found:
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(bins[:, j]) for j in range(len(inputs))],
+                     pa.array(tree.predict(bins))],
+                    [*inputs, "__answer"],
+                )
+
+    kind = ", ".join([*[f"{c} tinyint" for c in inputs], "__answer double"])
+    said = dealt.repartitionById(trees * blocks, "__task").mapInArrow(grow, kind)
+    answers = stored(said.groupBy(*inputs).agg(F.avg("__answer").alias("__answer")), "forest-answers")
+    shared.unpersist()
+    return answers
+
+
 def _predictor(spark, forest: _Forest) -> Callable[..., Column]:
     """Mean of the trees from the columns of bins; equal rows of a batch are predicted once."""
     shared = spark.sparkContext.broadcast(forest)

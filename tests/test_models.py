@@ -15,6 +15,7 @@ from burnish.operators.multivariate import (
 )
 from burnish.operators.nearest import impute_knn, neighbours
 from burnish.plans import products
+from workload import QUERIES, Tables
 
 
 def with_nulls(spark, pdf):
@@ -285,3 +286,52 @@ def test_trees_cut_half_way_between_the_bins_they_drew():
     forest = iterative._Forest(*parts, np.array([0]))
     bins = np.arange(64, dtype=np.int8)[:, None]
     assert np.array_equal(forest.predict(bins), np.where(bins[:, 0] < 16, -1.0, 1.0))
+
+
+def test_forests_of_many_cells_predict_where_they_grew(spark, monkeypatch):
+    """Trees that answer in their tasks, block by block, say what trees that are sent say."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame(rng.integers(0, 15, (1500, 3)).astype(float), columns=list("abc"))
+    pdf["y"] = np.where(rng.random(1500) < 0.3, np.nan, pdf.a * 3 + (pdf.b > 6) + pdf.c)
+    pdf.loc[rng.random(1500) < 0.1, "c"] = np.nan
+    df = with_nulls(spark, pdf.assign(id=np.arange(1500)))
+
+    def filled():
+        got = impute_random_forest(df, ["a", "b", "c", "y"], rounds=2, trees=4).toPandas()
+        return got.sort_values("id").reset_index(drop=True)
+
+    sent = filled()
+    monkeypatch.setattr(iterative, "SENT_CELLS", 100)
+    monkeypatch.setattr(iterative, "ASKED_CELLS", 100)
+    monkeypatch.setattr(iterative, "_grown", None)
+    pd.testing.assert_frame_equal(filled(), sent, rtol=1e-9)
+
+
+def test_trees_of_many_nodes_are_grown_in_parts(monkeypatch):
+    rng = np.random.default_rng(13)
+    cells = np.unique(rng.integers(0, 64, (3000, 3)).astype(np.int8), axis=0)
+    args = cells, rng.integers(1, 9, len(cells)), rng.normal(size=len(cells)), 30, 64
+    whole = iterative._tree(*args, np.random.default_rng(1))
+    monkeypatch.setattr(iterative, "NODES_AT_ONCE", 7)
+    parts = iterative._tree(*args, np.random.default_rng(1))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
+
+
+def test_forests_on_many_rows_and_cells_need_no_fit_over_rows(spark, monkeypatch, tmp_path):
+    """Customers with balances of their own, and three continuous columns (over 32,768 cells)."""
+    fits = []
+    monkeypatch.setattr(iterative.RandomForestRegressor, "fit", lambda self, df: fits.append(1))
+    spark.range(40_000).select(
+        F.col("id").alias("c_custkey"), (F.rand(1) * 25).cast("int").alias("c_nationkey"),
+        F.round(F.rand(2) * 11000 - 1000, 2).alias("c_acctbal"),
+        F.element_at(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "AUTOMOBILE"))),
+                     (F.col("id") % 3 + 1).cast("int")).alias("c_mktsegment"),
+    ).write.parquet(str(tmp_path / "customer.parquet"))
+    got = QUERIES["random_forest_fills_gaps_alone"].run(Tables(spark, str(tmp_path))).first()
+    assert tuple(got) == (40_000, 0, 0, 3637, 3077) and not fits
+    x = [F.rand(i) for i in (3, 4, 5)]
+    df = spark.range(60_000).select("id", *[c.alias(n) for c, n in zip(x, "abc")])
+    truth = F.col("a") * 4 + F.col("b") + F.col("c")
+    df = df.withColumn("y", F.when(F.col("id") % 10 != 0, truth))
+    got = impute_random_forest(df, ["a", "b", "c", "y"], rounds=1, trees=3).where("id % 10 = 0")
+    assert got.agg(F.max(F.abs(F.col("y") - truth))).first()[0] < 0.5 and not fits
